@@ -128,7 +128,7 @@ def _train_next_shard(
 
     def train(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return state
+            return state.rename(columns={"state_client": "client_id"})
         client = int(key[0])
         x, y = _matrix(rows)
         begin = np.asarray(state["weights"].iloc[0])
@@ -142,7 +142,8 @@ def _train_next_shard(
             "loss": [float(state["loss"].iloc[0]) + loss], "weights": [weights],
         })
 
-    return df.groupBy("client_id").cogroup(current.groupBy("client_id")).applyInPandas(
+    state = current.withColumnRenamed("client_id", "state_client")
+    return df.groupBy("client_id").cogroup(state.groupBy("state_client")).applyInPandas(
         train, RESULT_SCHEMA
     )
 
@@ -200,7 +201,8 @@ def client_scores(df: DataFrame, results: DataFrame, dims: Sequence[int]) -> Dat
     holdout = df.filter("is_val").select("client_id", "shard", "features", "label")
     models = as_vectors(federated_average(results, by=["client_id"]), ["client_id"])
     parts = holdout.select("client_id", "shard").distinct()
-    per_part = parts.join(models, "client_id").select("client_id", "shard", "weights")
+    per_part = parts.join(models, "client_id").select(
+        F.col("client_id").alias("model_client"), F.col("shard").alias("model_shard"), "weights")
 
     def score(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
@@ -213,7 +215,8 @@ def client_scores(df: DataFrame, results: DataFrame, dims: Sequence[int]) -> Dat
         return counts
 
     counts = (
-        holdout.groupBy("client_id", "shard").cogroup(per_part.groupBy("client_id", "shard"))
+        holdout.groupBy("client_id", "shard").cogroup(
+            per_part.groupBy("model_client", "model_shard"))
         .applyInPandas(score, "client_id int, truth int, prediction int, n bigint")
         .groupBy("client_id", "truth", "prediction").agg(F.sum("n").alias("n"))
     )

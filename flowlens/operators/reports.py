@@ -81,10 +81,10 @@ def main_results(centralized: DataFrame, runs: DataFrame) -> DataFrame:
     """
     best = centralized.agg(
         F.coalesce(F.max("test_metrics.macro_f1"), F.lit(0.0)).alias("_best")).scalar()
-    target = best * F.lit(TARGET_SHARE)
     reached = F.array_min(F.transform(
-        F.filter("history", lambda h: h["global_val_macro_f1"] >= target), lambda h: h["round"]))
-    per_run = runs.select(
+        F.filter("history", lambda h: h["global_val_macro_f1"] >= F.col("_target")),
+        lambda h: h["round"]))
+    per_run = runs.withColumn("_target", best * F.lit(TARGET_SHARE)).select(
         "method", "alpha",
         F.struct("run_name", "mu", "profile").alias("_who"),
         F.coalesce("test_metrics.macro_f1", F.lit(0.0)).alias("_f1"),

@@ -134,7 +134,7 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Status F is a centralised run, O and P are the two federated methods; scores
     are shares of the price.
     """
-    score = F.col("o_totalprice") / 600_000.0
+    score = F.col("o_totalprice") / 700_001.0
     method = F.when(F.col("o_orderstatus") == "O", "fedavg").when(
         F.col("o_orderstatus") == "P", "fedprox")
     traffic = 1.0 + (F.col("o_custkey") % 7) / 4.0
