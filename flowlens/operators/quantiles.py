@@ -28,7 +28,8 @@ def exact_percentiles(
     spark = df.sparkSession
     values = df.select(F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    slack = 2.0 / accuracy
+    # Twice for the sketch's own error, twice for the neighbouring ranks.
+    slack = 4.0 / accuracy
     edges = [min(1.0, max(0.0, f + s)) for f in fractions for s in (-slack, slack)]
     sketch = values.agg(
         F.count("_v").alias("n"),
@@ -40,10 +41,11 @@ def exact_percentiles(
     for i, f in enumerate(fractions if n else ()):
         position = (n - 1) * f
         low = int(position)
-        # The outermost brackets are open: there the sketch needs no help.
-        lo = sketch["at"][2 * i] if edges[2 * i] > 0.0 else float("-inf")
-        hi = sketch["at"][2 * i + 1] if edges[2 * i + 1] < 1.0 else float("inf")
-        plan.append((i, float(f), lo, hi, low, min(low + 1, n - 1), position - low))
+        # Few values are sorted as a whole; the outermost brackets are open.
+        lo = sketch["at"][2 * i] if n > accuracy and edges[2 * i] > 0.0 else float("-inf")
+        hi = sketch["at"][2 * i + 1] if n > accuracy and edges[2 * i + 1] < 1.0 else float("inf")
+        share = position - low
+        plan.append((i, float(f), lo, hi, low, low + (share > 0.0), share))
     brackets = spark.createDataFrame(plan, schema)
     if not plan:
         return brackets.select("fraction", F.lit(None).cast("double").alias("value"))
