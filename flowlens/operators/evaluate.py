@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,28 @@ def classification_metrics(
     )
 
 
+def scores_of_matrix(matrix: np.ndarray) -> tuple[float, float, float]:
+    """Accuracy, macro F1 and weighted F1 of one small confusion matrix (rows are the truth).
+
+    For confusion counts that are already on the driver, one cell per class pair.
+    """
+    support, predicted, hits = matrix.sum(axis=1), matrix.sum(axis=0), np.diag(matrix)
+    rows = matrix.sum()
+    if rows == 0:
+        return 0.0, 0.0, 0.0
+    seen = (support + predicted) > 0
+    f1 = 2.0 * hits[seen] / (support + predicted)[seen]
+    return float(hits.sum() / rows), float(f1.mean()), float((f1 * support[seen]).sum() / rows)
+
+
+def matrix_of_counts(counts: DataFrame, num_classes: int) -> np.ndarray:
+    """Collect ``truth, prediction, n`` with integer classes: at most one row per class pair."""
+    matrix = np.zeros((num_classes, num_classes), dtype=np.int64)
+    for row in counts.collect():
+        matrix[row["truth"], row["prediction"]] += row["n"]
+    return matrix
+
+
 def class_report(df: DataFrame, truth: str, prediction: str, classes: Sequence) -> DataFrame:
     """Precision, recall, F1 and support of every class of the dictionary, absent ones as 0."""
     kind = df.schema[truth].dataType.simpleString()

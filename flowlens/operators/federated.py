@@ -31,7 +31,7 @@ from flowlens.functions.network import (
 )
 from flowlens.functions.scalar import argmax_index
 from flowlens.operators.evaluate import (
-    classification_metrics, overall_scores, per_class_scores,
+    confusion_counts, matrix_of_counts, overall_scores, per_class_scores, scores_of_matrix,
 )
 from flowlens.operators.partition import client_holdout
 from flowlens.operators.ranking import group_sizes
@@ -99,23 +99,44 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["label"].to_numpy()
 
 
-RESULT_SCHEMA = "client_id int, shard int, n bigint, loss double, weights array<double>"
+RESULT_SCHEMA = (
+    "client_id int, shard int, n bigint, loss double, weights array<double>, "
+    "confusion array<bigint>"
+)
+
+
+def _confusion(weights: np.ndarray, dims: Sequence[int], holdout: pd.DataFrame) -> np.ndarray:
+    """Confusion counts of a holdout, flattened: one cell per class pair."""
+    classes = dims[-1]
+    if holdout.empty:
+        return np.zeros(classes * classes, dtype=np.int64)
+    x = np.stack(holdout["features"].to_numpy()).astype(np.float64)
+    predicted = logits(weights, dims, x).argmax(axis=1)
+    return np.bincount(
+        holdout["label"].to_numpy() * classes + predicted, minlength=classes * classes)
 
 
 def train_shards(df: DataFrame, start: np.ndarray, settings: LocalTraining) -> DataFrame:
-    """Train every (client, shard) of ``df`` from ``start``: one weight vector per shard."""
+    """Train every (client, shard) of ``df`` from ``start``: one weight vector per shard.
+
+    ``confusion`` counts the shard's own holdout under the shard's weights.
+    """
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         client, shard = int(key[0]), int(key[1])
-        x, y = _matrix(pdf)
-        seed = int(np.random.SeedSequence((settings.seed, client, shard)).generate_state(1)[0])
-        weights, loss = train_epochs(
-            start, settings.dims, x, y, settings.epochs, settings.rate, settings.batch,
-            seed, settings.dropout, settings.mu,
-        )
+        held = pdf["is_val"].to_numpy()
+        rows = pdf[~held]
+        weights, loss = start, 0.0
+        if len(rows):
+            x, y = _matrix(rows)
+            seed = int(np.random.SeedSequence((settings.seed, client, shard)).generate_state(1)[0])
+            weights, loss = train_epochs(
+                start, settings.dims, x, y, settings.epochs, settings.rate, settings.batch,
+                seed, settings.dropout, settings.mu,
+            )
         return pd.DataFrame({
-            "client_id": [client], "shard": [shard], "n": [len(y)],
-            "loss": [loss], "weights": [weights],
+            "client_id": [client], "shard": [shard], "n": [len(rows)], "loss": [loss],
+            "weights": [weights], "confusion": [_confusion(weights, settings.dims, pdf[held])],
         })
 
     return df.groupBy("client_id", "shard").applyInPandas(train, RESULT_SCHEMA)
@@ -140,6 +161,7 @@ def _train_next_shard(
         return pd.DataFrame({
             "client_id": [client], "shard": [0], "n": [int(state["n"].iloc[0]) + len(y)],
             "loss": [float(state["loss"].iloc[0]) + loss], "weights": [weights],
+            "confusion": [None],
         })
 
     state = current.withColumnRenamed("client_id", "state_client")
@@ -151,16 +173,18 @@ def _train_next_shard(
 def train_clients(df: DataFrame, start: np.ndarray, settings: LocalTraining) -> DataFrame:
     """Local training of every client: ``client_id, shard, n, loss, weights``, stored durably.
 
-    ``n`` counts training rows, ``loss`` sums row losses over all epochs.
+    ``n`` counts training rows, ``loss`` sums row losses over all epochs. Where a
+    client is one shard, ``confusion`` already scores its model on its holdout.
     """
-    rows = df.filter(~F.col("is_val")).select("client_id", "shard", "row_key", "features", "label")
     if settings.shards == "average":
-        return durable(train_shards(rows, start, settings))
+        return durable(train_shards(df, start, settings))
+    rows = df.filter(~F.col("is_val")).select("client_id", "shard", "row_key", "features", "label")
     last_shard = rows.agg(F.max("shard")).first()[0]
     clients = rows.select("client_id").distinct()
     current = clients.select(
         "client_id", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("n"),
         F.lit(0.0).alias("loss"), F.lit(start).alias("weights"),
+        F.lit(None).cast("array<bigint>").alias("confusion"),
     )
     for epoch in range(settings.epochs):
         for shard in range(last_shard + 1):
@@ -191,8 +215,8 @@ def as_vectors(long_form: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def client_scores(df: DataFrame, results: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """Macro F1 of each client's own model on its own holdout: ``client_id, macro_f1``.
+def client_confusion(df: DataFrame, results: DataFrame, dims: Sequence[int]) -> DataFrame:
+    """Each client's averaged model on its own holdout: ``client_id, truth, prediction, n``.
 
     Each (client, shard) part of the holdout meets the client's weights and
     returns confusion counts, so a large holdout is scored by many tasks.
@@ -207,31 +231,63 @@ def client_scores(df: DataFrame, results: DataFrame, dims: Sequence[int]) -> Dat
     def score(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
             return pd.DataFrame({"client_id": [], "truth": [], "prediction": [], "n": []})
-        x = np.stack(rows["features"].to_numpy()).astype(np.float64)
-        predicted = logits(np.asarray(model["weights"].iloc[0]), dims, x).argmax(axis=1)
-        pairs = pd.DataFrame({"truth": rows["label"].to_numpy(), "prediction": predicted})
-        counts = pairs.value_counts().reset_index(name="n")
-        counts.insert(0, "client_id", int(key[0]))
-        return counts
+        counts = _confusion(np.asarray(model["weights"].iloc[0]), dims, rows)
+        cells = np.flatnonzero(counts)
+        return pd.DataFrame({
+            "client_id": int(key[0]), "truth": cells // dims[-1],
+            "prediction": cells % dims[-1], "n": counts[cells],
+        })
 
-    counts = (
+    return (
         holdout.groupBy("client_id", "shard").cogroup(
             per_part.groupBy("model_client", "model_shard"))
         .applyInPandas(score, "client_id int, truth int, prediction int, n bigint")
         .groupBy("client_id", "truth", "prediction").agg(F.sum("n").alias("n"))
     )
-    return overall_scores(per_class_scores(counts, ["client_id"]), ["client_id"]).select(
-        "client_id", "macro_f1"
-    )
 
 
-def evaluate_weights(df: DataFrame, weights: np.ndarray, dims: Sequence[int]) -> DataFrame:
-    """Accuracy, macro and weighted F1 of one model on ``features, label``."""
+def client_results(df: DataFrame, results: DataFrame, settings: LocalTraining) -> list[dict]:
+    """Per client its loss and the macro F1 of its model on its holdout, by client.
+
+    One row per client reaches the driver. Only clients cut into several shards
+    need a second look at their holdout, with their averaged weights.
+    """
+    classes = settings.dims[-1]
+    rows = results.groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("shards"),
+        F.try_divide(F.sum("loss"), F.sum("n") * F.lit(settings.epochs)).alias("loss"),
+        F.first("confusion").alias("confusion"),
+    ).collect()
+    again = [r["client_id"] for r in rows if r["shards"] > 1 or r["confusion"] is None]
+    matrices = {
+        r["client_id"]: np.array(r["confusion"]).reshape(classes, classes)
+        for r in rows if r["client_id"] not in set(again)
+    }
+    if again:
+        matrices.update((k, np.zeros((classes, classes), dtype=np.int64)) for k in again)
+        chosen = F.col("client_id").isin(again)
+        for cell in client_confusion(
+            df.filter(chosen), results.filter(chosen), settings.dims
+        ).collect():
+            matrices[cell["client_id"]][cell["truth"], cell["prediction"]] += cell["n"]
+    return [
+        {"client_id": r["client_id"], "loss": r["loss"] or 0.0,
+         "macro_f1": scores_of_matrix(matrices[r["client_id"]])[1]}
+        for r in sorted(rows, key=lambda r: r["client_id"])
+    ]
+
+
+def evaluate_weights(df: DataFrame, weights: np.ndarray, dims: Sequence[int]) -> dict[str, float]:
+    """Accuracy, macro and weighted F1 of one model on ``features, label``.
+
+    The rows are reduced to confusion counts by one aggregation.
+    """
     model = Model(tuple(dims), weights, classes=tuple(str(i) for i in range(dims[-1])))
     scored = df.select(
         "label", argmax_index(class_probabilities("features", model)).alias("prediction")
     )
-    return classification_metrics(scored, "label", "prediction")
+    matrix = matrix_of_counts(confusion_counts(scored, "label", "prediction"), dims[-1])
+    return dict(zip(("accuracy", "macro_f1", "weighted_f1"), scores_of_matrix(matrix)))
 
 
 def evaluate_models(df: DataFrame, models: dict[int, np.ndarray], dims: Sequence[int]) -> DataFrame:
@@ -243,16 +299,13 @@ def evaluate_models(df: DataFrame, models: dict[int, np.ndarray], dims: Sequence
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["features"].to_numpy()).astype(np.float64)
-            truth = batch["label"].to_numpy()
             for client, weights in models.items():
-                pairs = pd.DataFrame({
-                    "truth": truth, "prediction": logits(weights, dims, x).argmax(axis=1)})
-                counts = pairs.value_counts().reset_index(name="n")
-                counts.insert(0, "client_id", client)
-                yield counts
+                counts = _confusion(weights, dims, batch)
+                cells = np.flatnonzero(counts)
+                yield pd.DataFrame({
+                    "client_id": client, "truth": cells // dims[-1],
+                    "prediction": cells % dims[-1], "n": counts[cells],
+                })
 
     counts = (
         df.select("features", "label")
@@ -355,11 +408,8 @@ def fit_federated(
         step = replace(settings, seed=settings.seed + 1_000_003 * number)
         results = train_clients(local, weights, step)
         weights = np.array(as_vectors(federated_average(results)).first()["weights"])
-        losses = results.groupBy("client_id").agg(
-            (F.sum("loss") / F.sum(F.col("n") * settings.epochs)).alias("loss"))
-        per_client = client_scores(local, results, settings.dims).join(
-            losses, "client_id").orderBy("client_id").collect()
-        overall = evaluate_weights(val, weights, settings.dims).first()
+        per_client = client_results(local, results, settings)
+        overall = evaluate_weights(val, weights, settings.dims)
         f1s = np.array([r["macro_f1"] for r in per_client])
         pending.append({
             "round": number,
