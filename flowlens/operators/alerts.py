@@ -13,6 +13,7 @@ from flowlens.operators.quantiles import exact_percentiles
 # Fixed values of the live view.
 WINDOW_SECONDS = 60
 RECENT_LATENCIES = 500
+RETAINED_ALERTS = 5000
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 500
 
@@ -46,6 +47,11 @@ def latest_alerts(
     )
 
 
+def retained_alerts(alerts: DataFrame, size: int = RETAINED_ALERTS) -> DataFrame:
+    """The newest ``size`` alerts: what a bounded history of that length would hold."""
+    return alerts.orderBy(*newest_first()).limit(size)
+
+
 def org_counts(alerts: DataFrame) -> DataFrame:
     """Alerts per organisation, in order."""
     return (
@@ -85,37 +91,40 @@ def live_summary(
         F.count_if(in_window & F.col("is_attack")).alias("n_threats"),
     )
 
-    def total(column: str) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0)).cast("double")
-
-    def row(section: str, key: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(section).alias("section"), F.lit(key).alias("key"), value.alias("value")
-        )
-
-    rate = F.round(total("n_recent") / F.lit(float(window_s)), 1) if window_s > 0 else F.lit(0.0)
-    overall = cube.agg(F.array(
-        row("rates", "events_per_s", rate),
-        row("rates", "threats_in_window", total("n_threats")),
-        row("totals", "alerts", total("n")),
-        *[
-            row("by_class", c, F.coalesce(
-                F.sum(F.when(F.col("pred_class") == c, F.col("n"))), F.lit(0)).cast("double"))
-            for c in classes
-        ],
-    ).alias("_rows")).select(F.inline("_rows"))
-    orgs = cube.groupBy("org_id").agg(F.sum("n").cast("double").alias("value")).select(
-        F.lit("by_org").alias("section"), F.col("org_id").alias("key"), "value")
+    def entry(section: str, key: Column | str, value: Column | str) -> Column:
+        key = F.lit(key) if isinstance(key, str) else key
+        value = F.col(value) if isinstance(value, str) else value
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+
+    known = F.col("pred_class").isin(list(classes))
+    shares = F.array_compact(F.array(
+        entry("rates", "events_per_s", "n_recent"),
+        entry("rates", "threats_in_window", "n_threats"),
+        entry("totals", "alerts", "n"),
+        entry("by_org", F.col("org_id"), "n"),
+        F.when(known, entry("by_class", F.col("pred_class"), "n")),
+    ))
+    # Every fixed line exists even when nothing was seen.
+    fixed = [("rates", "events_per_s"), ("rates", "threats_in_window"), ("totals", "alerts")]
+    zeros = alerts.sparkSession.createDataFrame(
+        [(s, k, 0) for s, k in fixed + [("by_class", c) for c in classes]],
+        "section string, key string, value bigint")
+    per_second = F.round(F.sum("value") / F.lit(float(window_s or 1)), 1)
+    counts = (
+        cube.select(F.inline(shares)).unionByName(zeros).groupBy("section", "key")
+        .agg(F.when(F.col("key") == "events_per_s", per_second)
+             .otherwise(F.sum("value").cast("double")).alias("value"))
+    )
     latency = recent_latency(seen, recent).select(F.inline(F.array(
-        row("latency", "p50_ms", F.col("latency_p50_ms")),
-        row("latency", "p95_ms", F.col("latency_p95_ms")),
+        entry("latency", "p50_ms", "latency_p50_ms"),
+        entry("latency", "p95_ms", "latency_p95_ms"),
     )))
-    return overall.unionByName(orgs).unionByName(latency)
+    return counts.unionByName(latency)
 
 
 def delivered_alerts(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     """Alerts whose event was sent; an event alerted twice counts twice."""
-    return alerts.join(sent.select("event_id"), "event_id", "left_semi")
+    return alerts.join(sent.select("event_id").distinct(), "event_id", "left_semi")
 
 
 def latency_report(alerts: DataFrame, latency: str = "latency_ms") -> DataFrame:

@@ -676,7 +676,7 @@ def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = spark.read.schema(
         "window_start bigint, window_end bigint, org_id string, total bigint, attacks bigint, "
         "by_class map<string,bigint>").parquet(log)
-    return _flat_windows(st.latest_per_window(updates))
+    return _flat_windows(st.latest_per_window(updates, EVENT_TAXONOMY.classes))
 
 
 @query(f"""WITH {EVENT_LOGITS} SELECT pred_class, org_id, count(*) AS n,
@@ -710,6 +710,12 @@ def latest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         alerts(spark, sf_dir), only_attacks=True, org_id="org-3", display=True)
 
 
+@query(f"WITH {ALERTS} SELECT event_id, ts_scored, org_id FROM alerts "
+       "ORDER BY ts_scored DESC, event_id DESC LIMIT 5000")
+def retained_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.retained_alerts(alerts(spark, sf_dir)).select("event_id", "ts_scored", "org_id")
+
+
 @query(f"WITH {ALERTS} SELECT org_id, count(*) AS alert_count FROM alerts GROUP BY 1")
 def org_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.org_counts(alerts(spark, sf_dir))

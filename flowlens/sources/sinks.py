@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame
 from flowlens.session import path_exists
 
 
-def write_partitioned(df: DataFrame, path: str, by: str | Sequence[str] = "label_8") -> None:
+def write_partitioned(
+    df: DataFrame, path: str, by: str | Sequence[str] = "label_8", rebalance: bool = False
+) -> None:
     """Overwrite a Parquet table partitioned by ``by``.
 
-    Rows stay where they are: an input task writes one file per value it holds,
-    so a value with a third of all rows is written by as many tasks as read it.
+    By default rows stay where they are, and an input task writes one file per
+    value it holds. ``rebalance`` shuffles them into well-sized files first:
+    adaptive execution then splits a value with a third of all rows over many
+    tasks and packs small values together.
     """
     columns = [by] if isinstance(by, str) else list(by)
+    if rebalance:
+        df = df.hint("rebalance", *columns)
     df.write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 

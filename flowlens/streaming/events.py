@@ -43,7 +43,7 @@ def flow_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None
     return reader.load(path) if path else reader.load()
 
 
-def require(df: DataFrame, contract: str) -> Column:
+def require(contract: str) -> Column:
     """Why a row violates its contract: the first missing required field, else NULL."""
     return F.coalesce(*[
         F.when(F.col(name).isNull(), F.lit(f"missing {name}")) for name in REQUIRED[contract]
@@ -65,7 +65,7 @@ def with_defaults(df: DataFrame, contract: str) -> DataFrame:
 
 def validate_events(df: DataFrame, contract: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows with defaults, and rejected rows with a ``reason``."""
-    reason = require(df, contract)
+    reason = require(contract)
     return (
         with_defaults(df.filter(reason.isNull()), contract),
         df.withColumn("reason", reason).filter(F.col("reason").isNotNull()),
@@ -85,7 +85,7 @@ def parse_flows(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFr
         F.from_json(text, schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("_e"),
     ).select("value", "_e.*")
     reason = F.coalesce(
-        F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")), require(parsed, "flow"))
+        F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")), require("flow"))
     judged = parsed.withColumn("reason", reason)
     return (
         with_defaults(judged.filter(F.col("reason").isNull()), "flow"),
@@ -144,12 +144,18 @@ def window_metrics(
     )
 
 
-def latest_per_window(updates: DataFrame) -> DataFrame:
-    """Final counts from a log of ``update``-mode emissions: the largest total per window."""
-    newest = F.max_by(F.struct("attacks", "by_class"), "total")
+def latest_per_window(updates: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """Final counts from a log of ``update``-mode emissions.
+
+    The counts of a window only grow, so the last emission is the largest.
+    """
+    by_class: list[Column] = []
+    for name in classes:
+        by_class += [F.lit(name), F.max(F.col("by_class")[name])]
     return updates.groupBy("window_start", "window_end", "org_id").agg(
-        F.max("total").alias("total"), newest.alias("_last")
-    ).select("window_start", "window_end", "org_id", "total", "_last.attacks", "_last.by_class")
+        F.max("total").alias("total"), F.max("attacks").alias("attacks"),
+        F.create_map(*by_class).alias("by_class"),
+    )
 
 
 def write_events(
@@ -260,10 +266,15 @@ def run_scoring_stream(
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         model, stats = read_registry(spark, registry)
-        flows, dead = parse_flows(batch)
-        score_events(flows, model, stats).write.mode("overwrite").parquet(
-            f"{alerts_path}/batch={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+        # Both outputs come from one read of the source.
+        texts = batch.select("value").persist()
+        try:
+            flows, dead = parse_flows(texts)
+            score_events(flows, model, stats).write.mode("overwrite").parquet(
+                f"{alerts_path}/batch={batch_id}")
+            dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+        finally:
+            texts.unpersist()
         if on_batch:
             on_batch(batch_id)
 
