@@ -79,11 +79,11 @@ def parse_flows(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFr
     required field goes to the dead letters instead of failing the query.
     """
     schema = T.StructType(FLOW_EVENT.fields + [T.StructField(CORRUPT, T.StringType())])
-    text = F.col(value).cast("string")
-    parsed = raw.select(
-        text.alias("value"),
-        F.from_json(text, schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("_e"),
-    ).select("value", "_e.*")
+    texts = raw.select(F.col(value).cast("string").alias("value"))
+    event = F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    # As a generator the parser runs once per text; as a plain column the optimizer
+    # would copy it into every condition on its fields.
+    parsed = texts.select("value", F.inline(F.array(event)))
     reason = F.coalesce(
         F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")), require("flow"))
     judged = parsed.withColumn("reason", reason)
@@ -112,7 +112,7 @@ def decode_alerts(raw: DataFrame, value: str = "value") -> DataFrame:
         T.StructField(f.name, T.StringType() if f.name == "probs" else f.dataType)
         for f in ALERT_EVENT.fields
     ])
-    events = raw.select(F.from_json(F.col(value).cast("string"), flat).alias("_e")).select("_e.*")
+    events = raw.select(F.inline(F.array(F.from_json(F.col(value).cast("string"), flat))))
     return events.withColumn("probs", F.from_json("probs", "map<string,double>"))
 
 
