@@ -18,14 +18,16 @@ from __future__ import annotations
 from collections.abc import Hashable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import broadcast_rows
+from flowlens.session import broadcast_rows, durable
 
 BUCKET_BITS = 12
 # Hash values stay within this many bits, so the bucket is a right shift.
 HASH_BITS = 60
+# Beyond every row number: an edge that takes in all copies of its row.
+LAST_COPY = 2**63 - 1
 
 
 def hash_pair(keys: Sequence[str], seed: int, portable: bool = False) -> tuple[Column, Column]:
@@ -70,8 +72,9 @@ def stable_rank(
 ) -> DataFrame:
     """Add the 1-based rank of each row in the random order of its ``by`` value.
 
-    ``keys`` (default: all columns) must identify a row. The bucket offsets
-    share the partitioning of the ranked rows, so joining them shuffles nothing more.
+    ``keys`` (default: all columns) should identify a row; copies get different
+    ranks in no particular order. The bucket offsets share the partitioning of
+    the ranked rows, so joining them shuffles nothing more.
     """
     keyed = _keyed(df, by, keys, seed, portable, bits)
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +100,12 @@ def group_sizes(df: DataFrame, by: str | None) -> dict[Any, int]:
 
 def boundary_hashes(
     keyed: DataFrame, cuts: dict[Any, Iterable[int]], bits: int
-) -> dict[tuple[Any, int], tuple[int, int]]:
-    """Hash pair of the row at each requested rank, by (group, rank)."""
+) -> dict[tuple[Any, int], Row]:
+    """The row at each requested rank, by (group, rank).
+
+    ``_h1, _h2`` is its hash pair; where copies share it, ``copies`` counts those
+    up to the rank and ``after`` those beyond it.
+    """
     spark = keyed.sparkSession
     wanted = [(g, int(r)) for g, ranks in cuts.items() for r in sorted(set(ranks))]
     if not wanted:
@@ -137,16 +144,51 @@ def boundary_hashes(
         hashes.withColumn("_end", F.col("_start") + F.sum("_n").over(within))
         .withColumn("_r", F.explode(F.filter(
             "_ranks", lambda r: (r > F.col("_end") - F.col("_n")) & (r <= F.col("_end")))))
-        .select("_g", "_r", "_h1", "_h2", "_end")
+        .select("_g", "_r", "_h1", "_h2", (F.col("_end") - F.col("_r")).alias("after"),
+                (F.col("_r") - F.col("_end") + F.col("_n")).alias("copies"))
         .collect()
     )
-    tied = [(row["_g"], row["_r"]) for row in found if row["_r"] != row["_end"]]
-    if tied:
-        raise ValueError(
-            f"keys do not identify rows: copies straddle the boundary (group, rank) {tied[0]}; "
-            "deduplicate first or pass identifying keys"
-        )
-    return {(row["_g"], row["_r"]): (row["_h1"], row["_h2"]) for row in found}
+    return {(row["_g"], row["_r"]): row for row in found}
+
+
+def _copy_numbers(numbered: DataFrame, tied: list) -> dict[tuple[Any, int], int]:
+    """For boundaries inside a group of copies: the number of the last copy before the boundary.
+
+    Copies are counted per partition, so a group with a third of all rows is
+    never brought together; only the partition of the boundary is looked into.
+    """
+    spark = numbered.sparkSession
+    group_type = numbered.schema["_g"].dataType.simpleString()
+    targets = broadcast_rows(spark.createDataFrame(
+        [(r["_g"], r["_r"], r["_h1"], r["_h2"], r["copies"]) for r in tied],
+        f"_tg {group_type}, _r bigint, _t1 bigint, _t2 bigint, _m bigint"), len(tied))
+    same = (
+        F.col("_g").eqNullSafe(F.col("_tg"))
+        & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2"))
+    )
+    copies = numbered.select(
+        "_g", "_h1", "_h2", "_h3", F.shiftright("_h3", 33).alias("_part"))
+    upto = Window.partitionBy("_g", "_h1", "_h2").orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    places = (
+        copies.join(targets, same, "left_semi")
+        .groupBy("_g", "_h1", "_h2", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(upto))
+        .join(targets, same & (F.col("_m") > F.col("_end") - F.col("_n"))
+              & (F.col("_m") <= F.col("_end")))
+        .select("_tg", "_r", "_t1", "_t2", F.col("_part").alias("_tp"),
+                (F.col("_m") - F.col("_end") + F.col("_n")).alias("_place"))
+    )
+    places = broadcast_rows(places, len(tied))
+    here = same & (F.col("_part") == F.col("_tp"))
+    within = Window.partitionBy("_g", "_h1", "_h2", "_part").orderBy("_h3")
+    rows = (
+        copies.join(places, here, "left_semi")
+        .withColumn("_rn", F.row_number().over(within))
+        .join(places, here & (F.col("_rn") == F.col("_place")))
+        .select("_tg", "_r", "_h3").collect()
+    )
+    return {(r["_tg"], r["_r"]): r["_h3"] for r in rows}
 
 
 def assign_intervals(
@@ -167,8 +209,10 @@ def assign_intervals(
     ``lo < rank <= hi`` get ``value`` in ``column``. Intervals of a group do not
     overlap. Rows in none are dropped, or kept with NULL when ``keep_rest``.
 
-    Runs two jobs when called; ``df`` should be a stored table or otherwise
-    cheap to read.
+    Runs a job when called that reads ``df`` twice; ``df`` should be a stored
+    table or otherwise cheap to read. Copies (rows with equal ``keys``) may
+    straddle a boundary: then the rows are stored once with a number each, and
+    the copies are divided by number, so that the counts stay exact.
     """
     spark = df.sparkSession
     intervals = [i for i in intervals if i[2] > i[1]]
@@ -177,16 +221,25 @@ def assign_intervals(
     for group, lo, hi, _ in intervals:
         cuts.setdefault(group, set()).update(r for r in (lo, hi) if r > 0)
     edges = boundary_hashes(keyed, cuts, bits)
+    tied = [row for row in edges.values() if row["after"] > 0]
+    numbers: dict[tuple[Any, int], int] = {}
+    if tied:
+        # The numbers of the copies have to survive retries, hence the stored copy.
+        keyed = durable(keyed.withColumn("_h3", F.monotonically_increasing_id()))
+        numbers = _copy_numbers(keyed, tied)
 
-    def edge(group: Any, rank: int) -> tuple[int, int]:
-        return edges[(group, rank)] if rank > 0 else (-1, -1)
+    def edge(group: Any, rank: int) -> tuple[int, int, int]:
+        if rank == 0:
+            return -1, -1, -1
+        row = edges[(group, rank)]
+        return row["_h1"], row["_h2"], numbers.get((group, rank), LAST_COPY)
 
     rows = [(g, *edge(g, lo), *edge(g, hi), value) for g, lo, hi, value in intervals]
     group_type = keyed.schema["_g"].dataType.simpleString()
     table = spark.createDataFrame(
         rows,
-        f"_tg {group_type}, _lo1 bigint, _lo2 bigint, _hi1 bigint, _hi2 bigint, "
-        f"{column} {value_type}",
+        f"_tg {group_type}, _lo1 bigint, _lo2 bigint, _lo3 bigint, "
+        f"_hi1 bigint, _hi2 bigint, _hi3 bigint, {column} {value_type}",
     )
     # One row per bucket an interval touches: an equi-join, about one match per row.
     shift = HASH_BITS - bits
@@ -195,10 +248,14 @@ def assign_intervals(
         F.shiftright("_hi1", shift).cast("int"),
     )))
     bound = len(cuts) * 2**bits + 2 * len(intervals)
-    above = (F.col("_h1") > F.col("_lo1")) | (
-        (F.col("_h1") == F.col("_lo1")) & (F.col("_h2") > F.col("_lo2")))
-    below = (F.col("_h1") < F.col("_hi1")) | (
-        (F.col("_h1") == F.col("_hi1")) & (F.col("_h2") <= F.col("_hi2")))
+    number = F.col("_h3") if tied else F.lit(LAST_COPY)
+
+    def beyond(edge: str) -> Column:
+        h1, h2, h3 = (F.col(f"_{edge}{i}") for i in (1, 2, 3))
+        return (F.col("_h1") > h1) | ((F.col("_h1") == h1) & (
+            (F.col("_h2") > h2) | ((F.col("_h2") == h2) & (number > h3))))
+
+    above, below = beyond("lo"), ~beyond("hi")
     match = (
         F.col("_g").eqNullSafe(F.col("_tg")) & (F.col("_b") == F.col("_tb")) & above & below
     )

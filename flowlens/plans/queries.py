@@ -322,7 +322,7 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STANDARD = ", ".join(
-    f"round(({_log(c)} - avg({_log(c)}) OVER ()) / stddev_pop({_log(c)}) OVER (), 6) AS {c}"
+    f"round(({_log(c)} - avg({_log(c)}) OVER ()) / stddev_pop({_log(c)}) OVER (), 4) AS {c}"
     for c in LINE_FEATURES)
 
 
@@ -331,7 +331,7 @@ STANDARD = ", ".join(
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = line_flows(spark, sf_dir)
     stats = pf.FeatureStats.collect(pf.fit_feature_stats(flows, LINE_FEATURES))
-    return rounded(pf.standardize(flows, stats))
+    return rounded(pf.standardize(flows, stats), 4)
 
 
 @query(f"WITH {LINES}, scores AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ship_ms, "
@@ -344,7 +344,7 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = pf.training_frame(
         flows, stats, classes=("A", "N", "R"), drop_features=["tax"], keep=LINE_KEYS)
     return rounded(frame.select(
-        *LINE_KEYS, *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(3)], "label"))
+        *LINE_KEYS, *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(3)], "label"), 4)
 
 
 # --- Ranks, splits, samples ----------------------------------------------------------

@@ -58,7 +58,7 @@ def test_org_counts_are_ordered(spark):
         ("org-0", 234), ("org-1", 233), ("org-2", 233)]
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=5, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(s.lists(s.floats(-1e6, 1e6), min_size=1, max_size=400), s.sampled_from([10, 100, 100_000]))
 def test_percentiles_equal_numpy(spark, values, accuracy):
