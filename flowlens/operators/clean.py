@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from flowlens.functions.scalar import is_finite
 from flowlens.labels import DEFAULT_TAXONOMY, Taxonomy
 
-NON_FEATURES = ("label", "label_34", "label_8", "source_file")
+NON_FEATURES = ("label", "label_34", "label_8", "source_file", "row_key")
 
 
 def feature_columns(df: DataFrame) -> list[str]:
-    """Feature names: every column but labels and provenance, in alphabetical order."""
+    """Feature names: every column but labels, provenance and row key, in alphabetical order."""
     return sorted(set(df.columns) - set(NON_FEATURES))
 
 

@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import broadcast_rows, durable
+from flowlens.session import MAX_BROADCAST_ROWS, broadcast_rows, durable
 
 BUCKET_BITS = 12
 # Hash values stay within this many bits, so the bucket is a right shift.
@@ -61,6 +61,15 @@ def _keyed(
     ).withColumn("_b", F.shiftright("_h1", HASH_BITS - bits).cast("int"))
 
 
+def with_row_key(df: DataFrame, column: str = "row_key") -> DataFrame:
+    """Add one number that identifies a row by its contents.
+
+    Stored with a wide table it lets every later rank, split, sample or client
+    assignment read this column instead of all of them.
+    """
+    return df.withColumn(column, F.xxhash64(*df.columns))
+
+
 def stable_rank(
     df: DataFrame,
     by: str,
@@ -241,13 +250,17 @@ def assign_intervals(
         f"_tg {group_type}, _lo1 bigint, _lo2 bigint, _lo3 bigint, "
         f"_hi1 bigint, _hi2 bigint, _hi3 bigint, {column} {value_type}",
     )
-    # One row per bucket an interval touches: an equi-join, about one match per row.
-    shift = HASH_BITS - bits
+    # One row per bucket an interval touches: an equi-join, about one match per row. With
+    # many groups the buckets get wider, so that the table stays small enough to broadcast.
+    room = max(1, MAX_BROADCAST_ROWS // (2 * max(1, len(cuts))))
+    join_bits = min(bits, room.bit_length() - 1)
+    shift = HASH_BITS - join_bits
+    keyed = keyed.withColumn("_b", F.shiftright("_h1", shift).cast("int"))
     table = table.withColumn("_tb", F.explode(F.sequence(
         F.shiftright(F.greatest("_lo1", F.lit(0)), shift).cast("int"),
         F.shiftright("_hi1", shift).cast("int"),
     )))
-    bound = len(cuts) * 2**bits + 2 * len(intervals)
+    bound = len(cuts) * 2**join_bits + 2 * len(intervals)
     number = F.col("_h3") if tied else F.lit(LAST_COPY)
 
     def beyond(edge: str) -> Column:

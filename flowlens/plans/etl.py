@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.labels import DEFAULT_TAXONOMY, Taxonomy
 from flowlens.operators.clean import StageCounter, clean
 from flowlens.operators.profile import class_counts, feature_summary, fit_feature_stats
+from flowlens.operators.ranking import with_row_key
 from flowlens.operators.split import (
     STREAM_FRACTION, TRAIN_CAP_PER_CLASS, TRAIN_FRACTION, VAL_FRACTION, VAL_TEST_TOTAL_CAP,
     stratified_split,
@@ -34,6 +35,7 @@ def run_stages(
     val: float = VAL_FRACTION,
     train_cap: int | None = TRAIN_CAP_PER_CLASS,
     val_test_cap: int | None = VAL_TEST_TOTAL_CAP,
+    rebalance: bool = False,
 ) -> dict[str, str]:
     """Run the stages whose tables are missing or named in ``force``.
 
@@ -52,7 +54,8 @@ def run_stages(
         counter = StageCounter()
         raw = counter.watch(read_flow_csv(spark, raw_dir, max_files), "parsed")
         rows = counter.watch(clean(raw, scope, taxonomy), "clean")
-        write_partitioned(rows, cleaned, "label_8")
+        # The key spares the split stage reading every feature to rank the rows.
+        write_partitioned(with_row_key(rows), cleaned, "label_8", rebalance)
         counts = counter.counts()
         loss = counter.loss("parsed", "clean")
         write_table(spark.createDataFrame(
@@ -68,7 +71,7 @@ def run_stages(
     def split() -> None:
         rows = spark.read.parquet(cleaned)
         write_partitioned(stratified_split(
-            rows, seed=seed, stream=stream, train=train, val=val,
+            rows, keys=["row_key"], seed=seed, stream=stream, train=train, val=val,
             train_cap=train_cap, val_test_cap=val_test_cap), splits, "split")
 
     def feature_stats() -> None:

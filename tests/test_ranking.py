@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as s
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranking import assign_intervals, stable_rank
+from flowlens.operators.ranking import assign_intervals, stable_rank, with_row_key
 from flowlens.operators.split import (
     cap_per_group, cap_total, last_rank, split_plan, stratified_sample, stratified_split,
 )
@@ -128,3 +128,16 @@ def test_samples(spark):
     sample = stratified_sample(df, 400, "cls", ["id"]).groupBy("cls").count().collect()
     assert {r["cls"]: r["count"] for r in sample} == {0: 136, 1: 88, 2: 88, 3: 88}
     assert stratified_sample(df, 5000, "cls", ["id"]).count() == 4000
+
+
+def test_many_groups_still_join_on_the_map_side(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 700).cast("int").alias("cls"))
+    kept = cap_per_group(df, 2, "cls", ["id"])
+    assert kept.groupBy("cls").count().filter("count != 2").count() == 0
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_key_replaces_all_columns(spark):
+    df = with_row_key(classes(spark, 1000))
+    assert df.select("row_key").distinct().count() == 1000
+    assert cap_total(df, 100, "cls", ["row_key"]).count() in range(97, 101)

@@ -128,7 +128,9 @@ def test_stages_resume_and_force(spark, tmp_path):
     assert {r["feature"] for r in spark.read.parquet(f"{out}/feature_stats").collect()} == {
         "flow_duration", "rate"}
     assert run_stages(spark, str(raw), out) == dict.fromkeys(STAGES, "skipped")
-    again = run_stages(spark, str(raw), out, force=["profile"])
+    plan = split_table(spark, out, "train").select("row_key", "label_8")
+    assert plan.columns == ["row_key", "label_8"]
+    again = run_stages(spark, str(raw), out, force=["profile"], rebalance=True)
     assert again == {**dict.fromkeys(STAGES, "skipped"), "profile": "done"}
     with pytest.raises(ValueError):
         run_stages(spark, str(raw), out, force=["deploy"])
