@@ -46,7 +46,7 @@ MAX_WEIGHTS_PER_PASS = 8_000_000
 
 @dataclass(frozen=True)
 class LocalTraining:
-    """Settings of local training; the defaults are the reference values."""
+    """Settings of local training; the defaults are those of the full-size profile."""
 
     dims: tuple[int, ...]
     epochs: int = 3

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions.network import parameter_count
 from flowlens.labels import Taxonomy
 from flowlens.operators.clean import map_labels
 from flowlens.operators.profile import FeatureStats
@@ -124,6 +125,22 @@ def linear_model(features: int, classes: tuple[str, ...]) -> Model:
         (features, len(classes)), np.concatenate([weights.ravel(), bias]), "test:linear", classes)
 
 
+DENSE_DIMS = (2, 3, 4)
+
+
+def dense_weight(position: int) -> float:
+    """A weight of the small network as a function of its place in the flat vector."""
+    return ((position * 7) % 13 - 6) / 5.0
+
+
+def dense_model() -> Model:
+    """A network with one hidden layer, small enough to be written out in SQL."""
+    count = parameter_count(DENSE_DIMS)
+    return Model(
+        DENSE_DIMS, np.array([dense_weight(i) for i in range(count)]), "test:dense",
+        EVENT_TAXONOMY.classes)
+
+
 TEN = tuple(f"c{i}" for i in range(10))
 EVENT_MODEL_STATS = FeatureStats(("k", "value"), (3.0, 2.0), (1.5, 0.5))
 

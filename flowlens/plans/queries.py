@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from flowlens.operators import split as sp
 from flowlens.plans.etl import run_stages
 from flowlens.plans.fixtures import (
     EVENT_MODEL_STATS, EVENT_TAXONOMY, LINE_FEATURES, LINE_KEYS, TEN, alerts, centralized_runs,
-    dirty_lines, federated_runs, flow_events, labelled_events, line_flows,
+    dense_model, dense_weight, dirty_lines, federated_runs, flow_events, labelled_events, line_flows,
     linear_model, millis, rounded, run_documents, table, vectors,
 )
 from flowlens.session import scratch_path
@@ -551,6 +552,41 @@ def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.withColumn("p_ddos", F.col("probs")["DDoS"]).drop("probs", "device_id"))
 
 
+def _dense_sql() -> str:
+    """Hidden layer, layer norm, GELU and output layer of ``dense_model`` as CTEs."""
+    w = [f"{dense_weight(i)}::DOUBLE" for i in range(31)]
+    hidden = ", ".join(f"x[1] * {w[2 * i]} + x[2] * {w[2 * i + 1]} + {w[6 + i]}" for i in range(3))
+    shifted = ", ".join(
+        f"(z[{i + 1}] - m) / sqrt(v + 1e-5::DOUBLE) * {w[9 + i]} + {w[12 + i]}" for i in range(3))
+    out = ", ".join(
+        " + ".join([f"a[{j + 1}] * {w[15 + 3 * c + j]}" for j in range(3)] + [w[27 + c]])
+        for c in range(4))
+    t = "(1 / (1 + 0.3275911::DOUBLE * abs(u) / sqrt(2::DOUBLE)))"
+    erf = (
+        f"sign(u) * (1 - {t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * "
+        f"(1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE)))) "
+        "* exp(-u * u / 2))")
+    return f"""h AS (SELECT event_id, [{hidden}] AS z FROM inputs),
+moments AS (SELECT *, list_avg(z) AS m FROM h),
+spread AS (SELECT *, list_avg([(e - m) * (e - m) for e in z]) AS v FROM moments),
+normed AS (SELECT event_id, [{shifted}] AS n FROM spread),
+active AS (SELECT event_id, [u * 0.5 * (1 + {erf}) for u in n] AS a FROM normed),
+outputs AS (SELECT event_id, [{out}] AS z FROM active),
+dense_exps AS (SELECT event_id, [exp(e - list_max(z)) for e in z] AS e FROM outputs),
+dense AS (SELECT event_id, [v / list_sum(e) for v in e] AS p FROM dense_exps)"""
+
+
+@query(f"""WITH {EVENT_LOGITS}, {_dense_sql()} SELECT event_id, round(p[1], 6) AS p0,
+  round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(p[4], 6) AS p3 FROM dense""")
+def score_dense_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer norm and GELU, checked against the same network written in SQL."""
+    vector = features_to_vector("features", EVENT_MODEL_STATS.names)
+    scored = flow_events(spark, sf_dir).select(
+        "event_id", sc.class_probabilities(vector, dense_model(), EVENT_MODEL_STATS).alias("p"))
+    return rounded(scored.select(
+        "event_id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(4)]))
+
+
 @query()
 def score_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = (64, 256, 128, 64, 10)
@@ -820,6 +856,45 @@ def round_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fd.round_summary(results, 54600), 4)
 
 
+@query("""WITH ranked AS (
+  SELECT vec_id, label, embedding, md5(concat_ws('|', 42, vec_id)) AS h,
+         row_number() OVER (ORDER BY md5(concat_ws('|', 42, vec_id))) AS rank,
+         count(*) OVER () AS n FROM embeddings),
+clients AS (
+  SELECT *, CASE WHEN rank <= (n // 4 + 1) * (n % 4) THEN (rank - 1) // (n // 4 + 1)
+    ELSE (n % 4) + (rank - 1 - (n // 4 + 1) * (n % 4)) // (n // 4) END AS client FROM ranked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY client ORDER BY h) AS place,
+         count(*) OVER (PARTITION BY client) AS size FROM clients),
+train AS (
+  SELECT * FROM placed WHERE place > greatest(1, CAST(floor(size * 0.1::DOUBLE) AS BIGINT))),
+cells AS (
+  SELECT label, CAST(unnest(list_append(CAST(embedding AS DOUBLE[]), 1::DOUBLE)) AS DOUBLE) AS v,
+         unnest(range(65)) AS j FROM train),
+sums AS (SELECT label, j, sum(v) AS s FROM cells GROUP BY ALL),
+totals AS (SELECT j, sum(s) AS t FROM sums GROUP BY ALL)
+SELECT CAST(CASE WHEN j = 64 THEN 640 + c.v ELSE c.v * 64 + j END AS INTEGER) AS pos,
+  round(-0.5::DOUBLE * (0.1::DOUBLE * t - coalesce(s, 0)) / (SELECT count(*) FROM train), 6) + 0.0
+    AS value
+FROM totals CROSS JOIN range(10) c(v) LEFT JOIN sums USING (j) WHERE sums.label = c.v
+UNION ALL
+SELECT CAST(CASE WHEN j = 64 THEN 640 + c.v ELSE c.v * 64 + j END AS INTEGER),
+  round(-0.05::DOUBLE * t / (SELECT count(*) FROM train), 6) + 0.0
+FROM totals CROSS JOIN range(10) c(v) WHERE c.v NOT IN (SELECT label FROM train)""")
+def fedavg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One full-batch step per client from zero weights, averaged: a closed form in SQL."""
+    settings = fd.LocalTraining((64, 10), epochs=1, rate=0.5, batch=10**9, dropout=0.0)
+    clients = pt.assign_clients(
+        vectors(spark, sf_dir), 4, "iid", keys=["vec_id"], portable=True)
+    rows = pt.client_holdout(clients, keys=["vec_id"], portable=True).select(
+        "client_id", F.lit(0).alias("shard"), F.col("vec_id").alias("row_key"),
+        "features", "label", "is_val")
+    trained = fd.train_clients(rows, np.zeros(650), settings)
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return fd.federated_average(trained).select(
+        "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
 def _client_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.lay_out_clients(_skewed(spark, sf_dir), "vec_id", shard_rows=400)
 

@@ -34,7 +34,7 @@ def events(spark, n=5):
     return spark.createDataFrame(rows, FLOW_EVENT), rows
 
 
-def test_parameter_count_of_the_reference_network():
+def test_parameter_count_of_the_published_network():
     assert parameter_count((46, 256, 128, 64, 8)) == 54600
 
 
