@@ -322,8 +322,9 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.fit_feature_stats(line_flows(spark, sf_dir), LINE_FEATURES))
 
 
+# Adding zero turns a rounded -0.0 into 0.0.
 STANDARD = ", ".join(
-    f"round(({_log(c)} - avg({_log(c)}) OVER ()) / stddev_pop({_log(c)}) OVER (), 4) AS {c}"
+    f"round(({_log(c)} - avg({_log(c)}) OVER ()) / stddev_pop({_log(c)}) OVER (), 4) + 0.0 AS {c}"
     for c in LINE_FEATURES)
 
 

@@ -22,7 +22,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(value + 0.0)
+        return repr(value)
     if isinstance(value, int) and not isinstance(value, bool):
         return repr(float(value))
     return repr(value)
