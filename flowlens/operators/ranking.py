@@ -107,6 +107,11 @@ def group_sizes(df: DataFrame, by: str | None) -> dict[Any, int]:
         F.count(F.lit(1)).alias("n")).collect()}
 
 
+def histogram_bits(largest_rank: int) -> int:
+    """Hash bits for a histogram with about 100 000 rows per bucket, within 64 to 16 384 buckets."""
+    return min(14, max(6, (largest_rank // 100_000).bit_length()))
+
+
 def boundary_hashes(
     keyed: DataFrame, cuts: dict[Any, Iterable[int]], bits: int
 ) -> dict[tuple[Any, int], Row]:
@@ -210,7 +215,7 @@ def assign_intervals(
     seed: int = 42,
     portable: bool = False,
     keep_rest: bool = False,
-    bits: int = BUCKET_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Label each row by the interval its random rank falls into.
 
@@ -225,6 +230,7 @@ def assign_intervals(
     """
     spark = df.sparkSession
     intervals = [i for i in intervals if i[2] > i[1]]
+    bits = bits or histogram_bits(max((hi for _, _, hi, _ in intervals), default=1))
     keyed = _keyed(df, by, keys, seed, portable, bits)
     cuts: dict[Any, set[int]] = {}
     for group, lo, hi, _ in intervals:
@@ -253,7 +259,7 @@ def assign_intervals(
     # One row per bucket an interval touches: an equi-join, about one match per row. With
     # many groups the buckets get wider, so that the table stays small enough to broadcast.
     room = max(1, MAX_BROADCAST_ROWS // (2 * max(1, len(cuts))))
-    join_bits = min(bits, room.bit_length() - 1)
+    join_bits = min(BUCKET_BITS, room.bit_length() - 1)
     shift = HASH_BITS - join_bits
     keyed = keyed.withColumn("_b", F.shiftright("_h1", shift).cast("int"))
     table = table.withColumn("_tb", F.explode(F.sequence(

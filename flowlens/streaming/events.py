@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowlens.functions.scalar import class_count_map
+from flowlens.functions.scalar import class_count_map, model_version
 from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
 from flowlens.operators.scoring import Model, score_events
@@ -222,11 +222,9 @@ def alerts_table_sink(
 
 def read_registry(spark: SparkSession, path: str) -> tuple[Model, FeatureStats]:
     """The newest active model: weights, classes and feature statistics as one row."""
-    row = spark.read.parquet(path).orderBy(F.col("updated_at").desc()).limit(1).first()
-    model = Model(
-        tuple(row["dims"]), row["weights"], f"{row['kind'] or 'unknown'}:{row['model_file']}",
-        tuple(row["classes"]),
-    )
+    newest = spark.read.parquet(path).orderBy(F.col("updated_at").desc()).limit(1)
+    row = newest.withColumn("version", model_version("kind", "model_file")).first()
+    model = Model(tuple(row["dims"]), row["weights"], row["version"], tuple(row["classes"]))
     return model, FeatureStats(tuple(row["feature_names"]), tuple(row["mean"]), tuple(row["std"]))
 
 
