@@ -74,8 +74,8 @@ def lay_out_clients(
     The result is partitioned by (client, shard) and kept on executors, so that
     the rounds read it without another shuffle; a lost part is rebuilt from ``df``.
     """
-    held = client_holdout(df, val_fraction, keys=[key], seed=seed)
-    sizes = group_sizes(held, "client_id")
+    sizes = group_sizes(df, "client_id")
+    held = client_holdout(df, val_fraction, keys=[key], seed=seed, sizes=sizes)
     spark = df.sparkSession
     shards = spark.createDataFrame(
         [(k, max(1, math.ceil(n / shard_rows))) for k, n in sizes.items()],

@@ -129,10 +129,14 @@ def client_holdout(
     keys: Sequence[str] | None = None,
     seed: int = 42,
     portable: bool = False,
+    sizes: dict[Any, int] | None = None,
 ) -> DataFrame:
-    """Add ``is_val``: ``max(1, int(n * fraction))`` random rows of each client."""
+    """Add ``is_val``: ``max(1, int(n * fraction))`` random rows of each client.
+
+    ``sizes`` are the clients' row counts where they are known already.
+    """
     plan = []
-    for k, n in group_sizes(df, client).items():
+    for k, n in (sizes or group_sizes(df, client)).items():
         held = max(1, int(n * fraction))
         plan += [(k, 0, held, True), (k, held, n, False)]
     return assign_intervals(df, plan, client, "boolean", "is_val", keys, seed, portable)
