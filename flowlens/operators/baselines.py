@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -120,7 +119,3 @@ def fit_tree_baseline(
         models.append(learner.fit(both.withColumn("_y", (F.col("label") == k).cast("double"))))
     both.unpersist()
     return TreeBaseline(tuple(models))
-
-
-def weights_of(model: MultilayerPerceptronClassificationModel) -> np.ndarray:
-    return np.asarray(model.weights.toArray())
