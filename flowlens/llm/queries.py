@@ -32,7 +32,7 @@ def quality_sql(source: str) -> str:
         + [f"{r.measure} <= {r.of} * {float(r.high)!r}::DOUBLE" for r in RULES if r.high is not None])
     return f"""bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM {source}),
 worded AS (SELECT doc_id, body, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words,
-    list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM bodies),
 windows AS (SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS win
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM worded)),
@@ -46,7 +46,7 @@ measured AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
     len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, x -> x IN ({stop})))::BIGINT AS n_stop_words
+    len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words
   FROM worded w LEFT JOIN repeats r ON w.doc_id IS NOT DISTINCT FROM r.doc_id),
 judged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {checks} AS kept FROM measured)"""
