@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import read
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
+from flowlens.llm.simhash import hex_fingerprint, simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +61,9 @@ OP9_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(*OP9_COLUMNS)
+
+
+@query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
