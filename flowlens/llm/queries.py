@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import read
+from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
 
@@ -67,3 +69,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
