@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import read
+from flowlens.llm.common import doc_remainder, read
+from flowlens.llm.langid import identify, train
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
@@ -55,6 +56,14 @@ judged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS ba
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {checks} AS kept FROM measured)"""
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", doc_remainder(4) == 2)
+    model = train(docs.filter("NOT held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 OP9_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                "base_failed", "kept", "n_stop_words"]
 
