@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shipped:
+    """An object of bounded size broadcast by value, so that workers need no installed package."""
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self) -> Any:
+        return pickle.loads(self.held.value)
+
+
 def doc_remainder(modulus: int, doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     text = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None))

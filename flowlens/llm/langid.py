@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import slices, utf8
+from flowlens.llm.common import Shipped, slices, utf8
 
 # Bytes of context; a context and its next byte fit into one 64-bit key.
 ORDER = 4
@@ -230,12 +230,13 @@ def identify(docs: DataFrame, model: ByteTrees, text: str = "text") -> DataFrame
     ``score`` is its share of the probability of all trees. A null text, an empty one or one
     without a letter is ``und`` with score 0 and null bits. Columns of these names are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trees = held.get()
         for batch in batches:
-            yield predictions(held.value, batch)
+            yield predictions(trees, batch)
 
     named = docs.drop("lang_pred", "score", "bits_per_byte")
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

@@ -70,41 +70,41 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     words inside a window of three words that occurs twice or more in the text.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    count = F.size(F.col("_words"))
+    count = F.size(F.col("_q_words"))
     windows = F.when(count < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
         F.sequence(F.lit(0), count - 3),
-        lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
+        lambda i: F.xxhash64(F.get("_q_words", i), F.get("_q_words", i + 1), F.get("_q_words", i + 2)),
     ))
-    ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeated = F.filter(
-        F.col("_ordered"),
-        lambda x, k: (x["h"] == F.get("_ordered", k - 1)["h"])
-        | (x["h"] == F.get("_ordered", k + 1)["h"]),
+        F.col("_q_ordered"),
+        lambda x, k: (x["h"] == F.get("_q_ordered", k - 1)["h"])
+        | (x["h"] == F.get("_q_ordered", k + 1)["h"]),
     )
     covered = F.array_distinct(F.flatten(F.transform(
         repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return (
         docs
         .withColumns({
-            "_words": _words(body),
-            "_lines": F.filter(
+            "_q_words": _words(body),
+            "_q_lines": F.filter(
                 F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0),
         })
-        .withColumn("_windows", windows)
-        .withColumn("_ordered", F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered))
-        .withColumns({
-            "n_words": F.size("_words").cast("long"),
+        .withColumn("_q_windows", windows)
+        .withColumn("_q_ordered", F.when(
+            F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"), ordered))
+        # A generator: filters on the counts must not move below the arrays and repeat them.
+        .select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(name) for name, c in {
+            "n_words": F.size("_q_words").cast("long"),
             "word_chars": F.length(_replaced(body, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(_replaced(body, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_ordered").isNull(), 0)
+            "n_lines": F.size("_q_lines").cast("long"),
+            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+            "n_repeat_words": F.when(F.col("_q_ordered").isNull(), 0)
             .otherwise(F.size(covered)).cast("long"),
             "n_stop_words": F.size(
-                F.filter("_words", lambda w: w.isin(*STOP_FORMS))).cast("long"),
-        })
-        .drop("_words", "_lines", "_windows", "_ordered")
+                F.filter("_q_words", lambda w: w.isin(*STOP_FORMS))).cast("long"),
+        }.items()]))))
     )
 
 
@@ -126,7 +126,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     """``docs`` with the measures, ``base_failed`` and ``kept``.
 
     Every row comes back, repeated ones included. Null and empty texts have zero counts and fail.
-    Other columns stay; one that is named like a result is replaced.
+    Other columns stay; one that is named like a result is replaced, one that begins with _q_ goes.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
              "n_stop_words", "base_failed", "kept"]
