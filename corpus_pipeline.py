@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.llm.common import doc_remainder, read, stored
 from flowlens.llm.langid import accepted, identify, train
@@ -21,18 +22,23 @@ from flowlens.llm.simhash import drop_near_duplicates
 SEQUENCE_TOKENS = 2048
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column can clash with a result."""
+    return docs.select("text", F.struct("*").alias("_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; texts that are null or have no letter go.
 
     The trees learn from the labelled documents whose crc32(doc_id) modulo 4 is not 2.
     """
     model = train(docs.filter(doc_remainder(4) != 2))
-    return identify(docs, model).filter(accepted()).select(*docs.columns)
+    return identify(_with_row(docs), model).filter(accepted()).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table of the quality rules."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules(_with_row(docs)).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
