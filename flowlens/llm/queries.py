@@ -12,6 +12,7 @@ from flowlens.llm.common import doc_remainder, read
 from flowlens.llm.langid import identify, train
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
+from flowlens.llm.sharding import shard_documents
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +86,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
