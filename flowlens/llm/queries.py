@@ -14,6 +14,7 @@ from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
+from flowlens.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +92,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+
+
+# DuckDB has no base32; the digest is spelt out from the bits of the SHA-1.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0x' || substr(h, {5 * (k // 4) + 1}, 5))::BIGINT"
+    f" // {32 ** (3 - k % 4)} % 32 + 1, 1)" for k in range(32))
+
+
+@query(f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS h,
+    max(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
