@@ -12,6 +12,7 @@ from flowlens.llm.common import doc_remainder, read
 from flowlens.llm.langid import identify, train
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
+from flowlens.llm.sentence_pieces import round_trip_digests
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
 from flowlens.llm.warc import archive_pages
@@ -109,3 +110,9 @@ SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, read(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
