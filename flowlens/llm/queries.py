@@ -15,6 +15,7 @@ from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
 from flowlens.llm.sentence_pieces import round_trip_digests
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
+from flowlens.llm.token_counts import token_counts
 from flowlens.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_pretokens")
