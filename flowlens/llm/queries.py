@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import doc_remainder, read
 from flowlens.llm.langid import identify, train
+from flowlens.llm.near_vectors import near_vectors
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
 from flowlens.llm.sentence_pieces import round_trip_digests
@@ -124,3 +125,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_pretokens")
+
+
+COSINE = ("list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))"
+          " / (a.norm * b.norm)")
+
+
+@query(f"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, w AS v, sqrt(list_sum(list_transform(w, lambda x: x * x))) AS norm
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS w FROM embeddings)),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.norm > 0 AND b.norm > 0 AND {COSINE} >= 0.98::DOUBLE),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+parts AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts ON vec_id = parts.x LEFT JOIN degrees ON vec_id = degrees.x""")
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
