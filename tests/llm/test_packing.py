@@ -9,14 +9,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from flowlens.llm.packing import TokenIds, best_fit, pack, pack_documents, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+PLAIN, CHUNKED = Tokenizer.from_file(PATH), TokenIds(PATH)
 TEXTS = [None, "", " ", "Hello, World!", "it's  a\ttest of\r\nblanks \n\n", "é ́x ÉÈ ß Σας ΣΑΣ",
          "a<|endoftext|>b <|startoftext|> c", "日本語 テキスト", "x" * 3000, "one two three " * 900,
-         " line　wide", "tail \x00 zero", "😀 emoji 123 4567"]
+         " line　wide", "tail \x00 zero", "😀 emoji 123 4567", "İstanbul ẞ ǅ H\u0331 h\u0331 E\u0301,a.b ...x.,y",
+         "WORD.Word,word <|ENDOFTEXT|>", "Ab.\nCd, e.f 1.5 x.. 'S 'll we'LL don't.", "Σ. ΑΣ, ﬁ.ﬁ"]
 
 
 def test_chunked_ids_equal_the_tokenizer():
@@ -27,6 +31,15 @@ def test_chunked_ids_equal_the_tokenizer():
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB zé.,'s1<|>\n\u0301İ  ñΣ—_")), max_size=6))
+def test_chunked_ids_of_random_texts(texts):
+    expected = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = CHUNKED(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(e) for e in expected]
+    assert ids.tolist() == [i for e in expected for i in e]
+
+
 def test_best_fit_fills_the_fullest_bin():
     bins = best_fit(np.array([5, 6, 4, 5]), 10)
     assert bins[1] == bins[2] and bins[0] == bins[3] and bins[0] != bins[1]
