@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import doc_remainder, read
 from flowlens.llm.langid import identify, train
+from flowlens.llm.mixing import language_scores
+from flowlens.llm.mixing import train as train_mixer
 from flowlens.llm.near_vectors import near_vectors
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
@@ -145,3 +147,10 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN parts ON vec_id = parts.x LEFT JOIN degrees ON vec_id = degrees.x""")
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("training", doc_remainder(7) != 2)
+    model = train_mixer(docs.filter("training"))
+    return language_scores(docs.select("doc_id", "text", "training"), model, "training")
