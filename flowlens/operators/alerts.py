@@ -128,7 +128,11 @@ def delivered_alerts(alerts: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def latency_report(alerts: DataFrame, latency: str = "latency_ms") -> DataFrame:
-    """p50, p95, p99, mean, min and max latency as rows ``statistic, value`` (1 decimal)."""
+    """p50, p95, p99, mean, min and max latency as rows ``statistic, value`` (1 decimal).
+
+    All six ignore NULL and NaN.
+    """
+    alerts = alerts.filter(F.col(latency).isNotNull() & ~F.isnan(latency))
     names = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
     points = exact_percentiles(alerts, latency, list(names))
     named = F.element_at(

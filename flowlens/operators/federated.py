@@ -55,7 +55,7 @@ class LocalTraining:
     mu: float = 0.0
     dropout: float = 0.3
     seed: int = 42
-    shards: str = "average"
+    shards: str = "sequential"
 
     def __post_init__(self) -> None:
         if self.shards not in ("average", "sequential"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,46 +37,45 @@ def class_counts(df: DataFrame, coarse: str = "label_8", fine: str = "label_34")
     return counts.withColumn("fraction", F.col("rows") / total).orderBy("level", "label")
 
 
-def _wide_to_long(wide: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One wide row with columns ``{feature}__{field}`` to one row per feature."""
-    rows = F.array(*[
+def _per_feature(
+    df: DataFrame, names: Sequence[str], measures: Callable[[Column], dict[str, Column]]
+) -> DataFrame:
+    """One row per feature from one aggregation: ``pos, feature`` and the measures."""
+    rows = [
         F.struct(
-            F.lit(i).alias("pos"), F.lit(name).alias("feature"),
-            *[F.col(f"`{name}__{field}`").alias(field) for field in fields],
+            F.lit(pos).alias("pos"), F.lit(name).alias("feature"),
+            *[column.alias(measure) for measure, column in measures(F.col(f"`{name}`")).items()],
         )
-        for i, name in enumerate(names)
-    ])
-    return wide.select(F.inline(rows))
+        for pos, name in enumerate(names)
+    ]
+    return df.agg(F.array(*rows).alias("features")).select(F.inline("features"))
 
 
 def feature_summary(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Per feature: min, max, mean, population deviation, and NULL-or-NaN count."""
-    names = list(features or feature_columns(df))
-    aggregates: list[Column] = []
-    for name in names:
-        value = F.col(name)
-        aggregates += [
-            F.min(value).alias(f"{name}__min"),
-            F.max(value).alias(f"{name}__max"),
-            F.mean(value).alias(f"{name}__mean"),
-            F.stddev_pop(value).alias(f"{name}__std"),
-            F.count_if(value.isNull() | F.isnan(value)).alias(f"{name}__nulls"),
-        ]
-    return _wide_to_long(df.agg(*aggregates), names, ["min", "max", "mean", "std", "nulls"])
+    def measures(value: Column) -> dict[str, Column]:
+        present = F.count(F.nanvl(value.cast("double"), F.lit(None).cast("double")))
+        return {
+            "nulls": F.count(F.lit(1)) - present, "mean": F.mean(value),
+            "std": F.stddev_pop(value), "min": F.min(value), "max": F.max(value),
+        }
+
+    found = _per_feature(df, list(features or feature_columns(df)), measures)
+    return found.select("pos", "feature", "min", "max", "mean", "std", "nulls")
 
 
 def fit_feature_stats(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Mean and population deviation of each feature's signed log: ``pos, feature, mean, std``."""
+    def measures(value: Column) -> dict[str, Column]:
+        deviation = F.stddev_pop(value)
+        return {
+            "mean": F.coalesce(F.mean(value), F.lit(0.0)),
+            "std": F.when(deviation > STD_FLOOR, deviation).otherwise(F.lit(1.0)),
+        }
+
     names = list(features or feature_columns(df))
     logs = df.select(*[signed_log1p(name).alias(name) for name in names])
-    aggregates: list[Column] = []
-    for name in names:
-        deviation = F.coalesce(F.stddev_pop(name), F.lit(0.0))
-        aggregates += [
-            F.coalesce(F.mean(name), F.lit(0.0)).alias(f"{name}__mean"),
-            F.when(deviation > STD_FLOOR, deviation).otherwise(F.lit(1.0)).alias(f"{name}__std"),
-        ]
-    return _wide_to_long(logs.agg(*aggregates), names, ["mean", "std"])
+    return _per_feature(logs, names, measures)
 
 
 @dataclass(frozen=True)
@@ -137,10 +136,15 @@ def training_frame(
     drop_features: Sequence[str] = (),
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Design matrix as columns: ``features`` (standardised array) and ``label`` (index)."""
+    """Design matrix as columns: ``features`` (standardised array) and ``label`` (index).
+
+    A label that is NULL or none of ``classes`` fails the job.
+    """
     stats = stats.drop(drop_features) if drop_features else stats
     scored = standardize(df, stats)
+    index = class_index(label, classes)
+    checked = F.coalesce(index, F.raise_error(F.concat(
+        F.lit("unknown class: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL"))
+    )).cast("int"))
     return scored.select(
-        *keep, columns_to_vector(stats.names).alias("features"),
-        class_index(label, classes).alias("label"),
-    )
+        *keep, columns_to_vector(stats.names).alias("features"), checked.alias("label"))

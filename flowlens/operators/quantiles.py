@@ -23,27 +23,24 @@ def exact_percentiles(
 ) -> DataFrame:
     """``fraction, value`` with linear interpolation between neighbours; NULL and NaN are ignored.
 
-    Runs the sketching job when called. No rows gives no result rows.
+    Runs the counting and the sketching job when called. No rows gives no result rows.
     """
     spark = df.sparkSession
     values = df.select(F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # Twice for the sketch's own error, twice for the neighbouring ranks.
-    slack = 4.0 / accuracy
+    # For the sketch's own error on both sides, and for the neighbouring ranks.
+    n = values.count()
+    slack = 4.0 / accuracy + 2.0 / max(n, 1)
     edges = [min(1.0, max(0.0, f + s)) for f in fractions for s in (-slack, slack)]
-    sketch = values.agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", edges, accuracy).alias("at"),
-    ).first()
-    n = sketch["n"]
+    sketch = values.agg(F.percentile_approx("_v", edges, accuracy).alias("at")).first()
     schema = "_i int, fraction double, _lo double, _hi double, _floor bigint, _ceil bigint, _t double"
     plan = []
     for i, f in enumerate(fractions if n else ()):
         position = (n - 1) * f
         low = int(position)
-        # Few values are sorted as a whole; the outermost brackets are open.
-        lo = sketch["at"][2 * i] if n > accuracy and edges[2 * i] > 0.0 else float("-inf")
-        hi = sketch["at"][2 * i + 1] if n > accuracy and edges[2 * i + 1] < 1.0 else float("inf")
+        # The outermost brackets are open.
+        lo = sketch["at"][2 * i] if edges[2 * i] > 0.0 else float("-inf")
+        hi = sketch["at"][2 * i + 1] if edges[2 * i + 1] < 1.0 else float("inf")
         share = position - low
         plan.append((i, float(f), lo, hi, low, low + (share > 0.0), share))
     brackets = spark.createDataFrame(plan, schema)
@@ -74,5 +71,8 @@ def exact_percentiles(
             F.max(F.when(holds("_floor"), F.col("_v"))).alias("_a"),
             F.max(F.when(holds("_ceil"), F.col("_v"))).alias("_b"),
         )
-        .select("fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("value"))
+        .select("fraction", F.coalesce(
+            F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t"),
+            F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double"),
+        ).alias("value"))
     )

@@ -61,13 +61,15 @@ def _keyed(
     ).withColumn("_b", F.shiftright("_h1", HASH_BITS - bits).cast("int"))
 
 
-def with_row_key(df: DataFrame, column: str = "row_key") -> DataFrame:
-    """Add one number that identifies a row by its contents.
+def with_row_key(
+    df: DataFrame, column: str = "row_key", of: Sequence[str] | None = None
+) -> DataFrame:
+    """Add one number that identifies a row by its contents, those of the columns ``of``.
 
     Stored with a wide table it lets every later rank, split, sample or client
     assignment read this column instead of all of them.
     """
-    return df.withColumn(column, F.xxhash64(*df.columns))
+    return df.withColumn(column, F.xxhash64(*(of or df.columns)))
 
 
 def stable_rank(

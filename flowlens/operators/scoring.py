@@ -119,11 +119,32 @@ def score_events(
 def score_parity(
     left: DataFrame, right: DataFrame, key: str, probs: str = "probs", tolerance: float = 1e-4
 ) -> DataFrame:
-    """Largest absolute difference between two scorings of the same rows, as one row."""
-    pairs = left.select(key, F.col(probs).alias("_a")).join(
-        right.select(key, F.col(probs).alias("_b")), key
+    """How far two scorings of the same rows differ, as one row.
+
+    ``rows`` were scored by both, ``unmatched`` by one of them only, ``mismatched``
+    with vectors of different lengths, NULL or not a number on either side.
+    ``within`` needs every row matched, every vector comparable and the largest
+    difference within ``tolerance``.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"_key{name}"), F.col(probs).alias(f"_p{name}"))
+
+    pairs = side(left, "a").join(side(right, "b"), F.col("_keya") == F.col("_keyb"), "full_outer")
+    both = F.col("_keya").isNotNull() & F.col("_keyb").isNotNull()
+    gap = F.array_max(F.zip_with("_pa", "_pb", lambda a, b: F.abs(a - b)))
+    comparable = (
+        F.col("_pa").isNotNull() & F.col("_pb").isNotNull()
+        & (F.size("_pa") == F.size("_pb"))
+        & ~F.exists(F.concat("_pa", "_pb"), lambda v: v.isNull() | F.isnan(v))
     )
-    gap = F.array_max(F.zip_with("_a", "_b", lambda a, b: F.abs(a - b)))
+    comparable = F.coalesce(comparable, F.lit(False))
     return pairs.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(gap).alias("max_abs_diff")
-    ).withColumn("within", F.col("max_abs_diff") <= F.lit(float(tolerance)))
+        F.count_if(both).alias("rows"),
+        F.count_if(~both).alias("unmatched"),
+        F.count_if(both & ~comparable).alias("mismatched"),
+        F.max(F.when(both & comparable, gap)).alias("max_abs_diff"),
+    ).withColumn(
+        "within",
+        (F.col("unmatched") == 0) & (F.col("mismatched") == 0)
+        & F.coalesce(F.col("max_abs_diff") <= F.lit(float(tolerance)), F.lit(True)),
+    )

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 
 from flowlens.operators.ranking import assign_intervals, group_sizes
 
-# Default fractions and caps.
+# Default fractions.
 STREAM_FRACTION = 0.03
 TRAIN_FRACTION = 0.8
 VAL_FRACTION = 0.1
-TRAIN_CAP_PER_CLASS = 300_000
-VAL_TEST_TOTAL_CAP = 1_000_000
 
 
 def last_rank(size: int, fraction: float) -> int:
@@ -70,11 +68,16 @@ def stratified_split(
     stream: float = STREAM_FRACTION,
     train: float = TRAIN_FRACTION,
     val: float = VAL_FRACTION,
-    train_cap: int | None = TRAIN_CAP_PER_CLASS,
-    val_test_cap: int | None = VAL_TEST_TOTAL_CAP,
+    train_cap: int | None = None,
+    val_test_cap: int | None = None,
     portable: bool = False,
 ) -> DataFrame:
-    """Add ``split`` (stream, train, val, test); rows beyond a cap are left out."""
+    """Add ``split`` (stream, train, val, test).
+
+    Every row is in a split, unless the caller sets a cap: ``train_cap`` bounds the
+    training rows of a class, ``val_test_cap`` the val and the test total. Rows
+    beyond a cap are left out.
+    """
     plan = split_plan(group_sizes(df, by), stream, train, val, train_cap, val_test_cap)
     return assign_intervals(df, plan, by, "string", "split", keys, seed, portable)
 

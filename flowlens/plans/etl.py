@@ -11,11 +11,10 @@ from flowlens.operators.clean import StageCounter, clean
 from flowlens.operators.profile import class_counts, feature_summary, fit_feature_stats
 from flowlens.operators.ranking import with_row_key
 from flowlens.operators.split import (
-    STREAM_FRACTION, TRAIN_CAP_PER_CLASS, TRAIN_FRACTION, VAL_FRACTION, VAL_TEST_TOTAL_CAP,
-    stratified_split,
+    STREAM_FRACTION, TRAIN_FRACTION, VAL_FRACTION, stratified_split,
 )
 from flowlens.session import path_exists
-from flowlens.sources.flows import read_flow_csv
+from flowlens.sources.flows import SOURCE_FILE, read_flow_csv
 from flowlens.sources.sinks import write_partitioned, write_table
 
 STAGES = ("ingest_clean", "profile", "split", "feature_stats")
@@ -33,8 +32,8 @@ def run_stages(
     stream: float = STREAM_FRACTION,
     train: float = TRAIN_FRACTION,
     val: float = VAL_FRACTION,
-    train_cap: int | None = TRAIN_CAP_PER_CLASS,
-    val_test_cap: int | None = VAL_TEST_TOTAL_CAP,
+    train_cap: int | None = None,
+    val_test_cap: int | None = None,
     rebalance: bool = False,
 ) -> dict[str, str]:
     """Run the stages whose tables are missing or named in ``force``.
@@ -55,7 +54,9 @@ def run_stages(
         raw = counter.watch(read_flow_csv(spark, raw_dir, max_files), "parsed")
         rows = counter.watch(clean(raw, scope, taxonomy), "clean")
         # The key spares the split stage reading every feature to rank the rows.
-        write_partitioned(with_row_key(rows), cleaned, "label_8", rebalance)
+        # It hashes values only: moving the files must not reshuffle the splits.
+        keyed = with_row_key(rows, of=[c for c in rows.columns if c != SOURCE_FILE])
+        write_partitioned(keyed, cleaned, "label_8", rebalance)
         counts = counter.counts()
         loss = counter.loss("parsed", "clean")
         write_table(spark.createDataFrame(

@@ -205,11 +205,13 @@ def benign_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.select("event_id", F.col("features")["value"].alias("value"))
 
 
-@query("SELECT c_custkey AS o_custkey FROM customer "
-       "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN "
+       "(SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O' AND o_custkey % 3 <> 0)")
 def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are requested; those with a finished order, two thirds of them, are done."""
     requested = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    return pending_keys(requested, table(spark, sf_dir, "orders"), ["o_custkey"])
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O' AND o_custkey % 3 <> 0")
+    return pending_keys(requested, done, ["o_custkey"])
 
 
 # --- Cleaning ------------------------------------------------------------------------
@@ -598,6 +600,7 @@ def score_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VECTOR_SCORES} SELECT count(*) AS rows,
+  0::BIGINT AS unmatched, 0::BIGINT AS mismatched,
   round(max(list_max([abs(v - round(v, 3)) for v in p])), 6) AS max_abs_diff,
   max(list_max([abs(v - round(v, 3)) for v in p])) <= 1e-4 AS within FROM probs""")
 def score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,6 +611,20 @@ def score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.score_parity(scored, coarse, "vec_id"))
 
 
+@query(f"""WITH {VECTOR_SCORES} SELECT count_if(vec_id % 5 <> 0 AND vec_id % 7 <> 0) AS rows,
+  count_if((vec_id % 5 = 0) <> (vec_id % 7 = 0)) AS unmatched,
+  count_if(vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 = 0) AS mismatched,
+  0.0::DOUBLE AS max_abs_diff, false AS within FROM probs""")
+def parity_of_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that one side lacks and shorter vectors show, although nothing else differs."""
+    scored = vectors(spark, sf_dir).select(
+        "vec_id", sc.class_probabilities("features", linear_model(64, TEN)).alias("probs"))
+    short = F.when(F.col("vec_id") % 11 == 0, F.slice("probs", 1, 2)).otherwise(F.col("probs"))
+    return rounded(sc.score_parity(
+        scored.filter("vec_id % 5 <> 0"),
+        scored.filter("vec_id % 7 <> 0").withColumn("probs", short), "vec_id"))
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(props ->> '$.k' AS DOUBLE) AS k, value, "
        "0.0::DOUBLE AS absent FROM events")
 def vector_from_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -672,7 +689,7 @@ def validate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_wire_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alerts(spark, sf_dir).withColumn(
         "probs", F.create_map(F.lit("Benign"), F.col("confidence")))
-    decoded = st.decode_alerts(st.encode_event(rows, "device_id"))
+    decoded, _ = st.decode_alerts(st.encode_event(rows, "device_id"))
     return rounded(decoded.select(
         "event_id", "org_id", "pred_class", "is_attack", "ts_scored", "true_label", "confidence",
         F.col("probs")["Benign"].alias("benign")))

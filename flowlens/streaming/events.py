@@ -5,6 +5,7 @@ Everything up to the sinks works on batch and streaming frames alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
 from flowlens.operators.scoring import Model, score_events
 from flowlens.schemas import ALERT_EVENT, CONTRACTS, DEFAULTS, FLOW_EVENT, REQUIRED
+from flowlens.session import path_exists
 
 # Fixed values of the running queries.
 METRICS_WINDOW = "10 seconds"
@@ -106,14 +108,29 @@ def encode_event(df: DataFrame, key: str) -> DataFrame:
         F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def decode_alerts(raw: DataFrame, value: str = "value") -> DataFrame:
-    """AlertEvents from JSON, ``probs`` given as an object or as JSON text."""
+def decode_alerts(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """AlertEvents from JSON and the rejected messages (``value, reason``).
+
+    ``probs`` is given as an object or as JSON text. A message that is no JSON
+    object or lacks a required field is rejected.
+    """
     flat = T.StructType([
         T.StructField(f.name, T.StringType() if f.name == "probs" else f.dataType)
         for f in ALERT_EVENT.fields
     ])
-    events = raw.select(F.inline(F.array(F.from_json(F.col(value).cast("string"), flat))))
-    return events.withColumn("probs", F.from_json("probs", "map<string,double>"))
+    flat = T.StructType([*flat.fields, T.StructField(CORRUPT, T.StringType())])
+    text = F.col(value).cast("string")
+    event = F.from_json(text, flat, {"columnNameOfCorruptRecord": CORRUPT})
+    parsed = raw.select(text.alias("value"), F.inline(F.array(event)))
+    parsed = parsed.withColumn("probs", F.from_json("probs", "map<string,double>"))
+    reason = F.coalesce(
+        F.when(F.col("value").isNull() | F.col(CORRUPT).isNotNull(), F.lit("malformed")),
+        require("alert"))
+    judged = parsed.withColumn("reason", reason)
+    return (
+        judged.filter(F.col("reason").isNull()).select(*[f.name for f in ALERT_EVENT.fields]),
+        judged.filter(F.col("reason").isNotNull()).select("value", "reason"),
+    )
 
 
 def window_metrics(
@@ -245,6 +262,25 @@ def write_registry(
     spark.createDataFrame([row], schema).write.mode("append").parquet(path)
 
 
+def publish_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch to ``path/batch=N``, once.
+
+    The folder is written beside and renamed as a whole, so readers of ``path`` see
+    all of it or nothing. A replayed batch that was published already stays as it
+    is: written anew, its files would be new files to a stream that reads ``path``.
+    """
+    spark = df.sparkSession
+    final = f"{path.rstrip('/')}/batch={batch_id}"
+    if path_exists(spark, final):
+        return
+    staging = f"{path.rstrip('/')}/_staging-{batch_id}-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, final))
+    file_system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not file_system.rename(source, target):
+        raise OSError(f"cannot publish {final}")
+
+
 def run_scoring_stream(
     raw: DataFrame,
     registry: str,
@@ -257,9 +293,10 @@ def run_scoring_stream(
     """Parse, score once, and store alerts and dead letters of each micro-batch.
 
     The model registry is read per batch, so a new active model takes effect
-    without a restart. Each batch owns one directory per output and overwrites
-    it when repeated, which makes retries harmless. Metrics and live queries
-    read the alerts table instead of scoring again.
+    without a restart. Each batch owns one directory per output, published once
+    (``publish_batch``), so a replay after a failure changes nothing. Metrics and
+    live queries read the alerts table instead of scoring again. ``raw`` should
+    bound what a batch admits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -268,9 +305,8 @@ def run_scoring_stream(
         texts = batch.select("value").persist()
         try:
             flows, dead = parse_flows(texts)
-            score_events(flows, model, stats).write.mode("overwrite").parquet(
-                f"{alerts_path}/batch={batch_id}")
-            dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+            publish_batch(score_events(flows, model, stats), alerts_path, batch_id)
+            publish_batch(dead, dead_letter_path, batch_id)
         finally:
             texts.unpersist()
         if on_batch:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as s
+from pyspark.sql import functions as F
 
 from flowlens.labels import CLASSES
 from flowlens.operators.alerts import (
@@ -91,3 +92,10 @@ def test_delivery_counts_repeated_alerts(spark):
     row = delivery_report(received, sent, 2.0, 4.0).first().asDict()
     assert row == {"events_sent": 10, "events_received": 3, "receive_rate": 30.0,
                    "send_throughput_eps": 5.0, "end_to_end_throughput_eps": 0.8}
+
+
+def test_latency_report_ignores_nan(spark):
+    some = alerts(spark, 100)
+    nan = some.withColumn("latency_ms", F.lit(float("nan"))).unionByName(some)
+    assert {tuple(r) for r in latency_report(nan).collect()} == {
+        tuple(r) for r in latency_report(some).collect()}

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -149,7 +151,8 @@ def test_one_shard_equals_plain_training(spark, clients):
 def test_large_clients_are_cut_into_shards(spark):
     df, _, _ = table(spark)
     cut = lay_out_clients(assign_clients(df, 2, "iid", keys=["id"]), "id", shard_rows=150)
-    results = train_clients(cut, initial_weights(SETTINGS.dims, 42), SETTINGS)
+    average = replace(SETTINGS, shards="average")
+    results = train_clients(cut, initial_weights(SETTINGS.dims, 42), average)
     assert results.count() == 8
     assert results.agg(F.sum("n")).first()[0] == cut.filter("not is_val").count()
     assert results.agg(F.max("n")).first()[0] < 250
@@ -209,3 +212,8 @@ def test_holdout_scores_agree_however_they_are_computed(spark, clients):
     counts = client_confusion(clients, results, SETTINGS.dims)
     by_spark = overall_scores(per_class_scores(counts, ["client_id"]), ["client_id"]).collect()
     assert direct == pytest.approx({r["client_id"]: r["macro_f1"] for r in by_spark})
+
+
+def test_size_does_not_choose_the_algorithm():
+    """A large client is trained like a small one unless the caller asks for averaged shards."""
+    assert LocalTraining((2, 2)).shards == "sequential"

@@ -76,3 +76,18 @@ def test_class_counts_order_and_fraction(spark):
     assert rows == [
         ("label_34", "BenignTraffic", 1, 0.25), ("label_34", "SqlInjection", 1, 0.25),
         ("label_34", "XSS", 2, 0.5), ("label_8", "Benign", 1, 0.25), ("label_8", "Web", 3, 0.75)]
+
+
+@pytest.mark.parametrize("label", ["Other", None])
+def test_unknown_class_fails_the_job(spark, label):
+    df = spark.createDataFrame([(1.0, "Web"), (2.0, label)], "a double, label_8 string")
+    stats = FeatureStats(("a",), (0.0,), (1.0,))
+    with pytest.raises(Exception, match="unknown class"):
+        training_frame(df, stats).collect()
+
+
+def test_summary_of_a_feature_named_like_a_statistic(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (None, float("nan"))], "x double, x__min double")
+    rows = {r["feature"]: r for r in feature_summary(df).collect()}
+    assert (rows["x"]["min"], rows["x"]["nulls"]) == (1.0, 1)
+    assert (rows["x__min"]["min"], rows["x__min"]["nulls"]) == (5.0, 1)

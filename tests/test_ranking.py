@@ -100,7 +100,7 @@ def test_last_rank_follows_double_division():
 
 def test_split_is_exact_and_complete(spark):
     df = classes(spark, 5000)
-    parts = stratified_split(df, "cls", ["id"], train_cap=None, val_test_cap=None)
+    parts = stratified_split(df, "cls", ["id"])
     assert parts.select("id").distinct().count() == 5000
     got = {(r["cls"], r["split"]): r["count"] for r in parts.groupBy("cls", "split").count().collect()}
     for cls, size in Counter(r["cls"] for r in df.collect()).items():

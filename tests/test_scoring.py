@@ -156,3 +156,14 @@ def test_parity(spark):
     assert row["rows"] == 2 and row["within"]
     assert row["max_abs_diff"] == pytest.approx(5e-5)
     assert not score_parity(a, b, "id", tolerance=1e-6).first()["within"]
+
+
+def test_parity_fails_on_missing_rows_and_unequal_vectors(spark):
+    schema = "id int, probs array<double>"
+    a = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.1, 0.9]), (4, None)], schema)
+    b = spark.createDataFrame([(1, [0.5]), (3, [0.1, 0.9]), (4, [float("nan")])], schema)
+    row = score_parity(a, b, "id").first()
+    assert (row["rows"], row["unmatched"], row["mismatched"], row["max_abs_diff"], row["within"]) == (
+        2, 2, 2, None, False)
+    same = a.filter("id <> 4")
+    assert score_parity(same, same, "id").first()["within"]

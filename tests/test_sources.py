@@ -134,3 +134,24 @@ def test_stages_resume_and_force(spark, tmp_path):
     assert again == {**dict.fromkeys(STAGES, "skipped"), "profile": "done"}
     with pytest.raises(ValueError):
         run_stages(spark, str(raw), out, force=["deploy"])
+
+
+def test_columns_are_found_by_name_in_every_file(spark, tmp_path):
+    put(tmp_path, "a.csv", "Rate,IAT,Label\n1,2,X\n")
+    put(tmp_path, "b.csv", "IAT,Rate,Label\n20,10,Y\n")
+    rows = {r["label"]: (r["rate"], r["iat"]) for r in read_flow_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"X": (1.0, 2.0), "Y": (10.0, 20.0)}
+    put(tmp_path, "c.csv", "IAT,Label\n1,Z\n")
+    with pytest.raises(ValueError, match="rate"):
+        read_flow_csv(spark, str(tmp_path))
+
+
+def test_moved_files_keep_their_splits(spark, tmp_path):
+    lines = "\n".join(f"{i},{i % 7},{'XSS' if i % 3 else 'BenignTraffic'}" for i in range(300))
+    keys = []
+    for name in ("one", "two"):
+        put(tmp_path / name, f"{name}.csv", f"Flow Duration,Rate,Label\n{lines}\n")
+        run_stages(spark, str(tmp_path / name), str(tmp_path / f"out-{name}"))
+        rows = split_table(spark, str(tmp_path / f"out-{name}"), "train").select("row_key").collect()
+        keys.append({r["row_key"] for r in rows})
+    assert keys[0] == keys[1] and keys[0]
