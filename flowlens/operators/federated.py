@@ -152,7 +152,8 @@ def _train_next_shard(
             return state.rename(columns={"state_client": "client_id"})
         client = int(key[0])
         x, y = _matrix(rows)
-        begin = np.asarray(state["weights"].iloc[0])
+        own = state["weights"].iloc[0]
+        begin = start if own is None else np.asarray(own)
         seed = int(np.random.SeedSequence((settings.seed, client)).generate_state(1)[0])
         weights, loss = train_epochs(
             begin, settings.dims, x, y, 1, settings.rate, settings.batch,
@@ -175,15 +176,17 @@ def train_clients(df: DataFrame, start: np.ndarray, settings: LocalTraining) ->
 
     ``n`` counts training rows, ``loss`` sums row losses over all epochs. Where a
     client is one shard, ``confusion`` already scores its model on its holdout.
+    A client of several shards is trained like one of a single shard, its shards one
+    after the other; only ``shards="average"`` trains them side by side and averages.
     """
-    if settings.shards == "average":
+    last_shard = df.agg(F.max("shard")).first()[0] or 0
+    if settings.shards == "average" or last_shard == 0:
         return durable(train_shards(df, start, settings))
     rows = df.filter(~F.col("is_val")).select("client_id", "shard", "row_key", "features", "label")
-    last_shard = rows.agg(F.max("shard")).first()[0]
     clients = rows.select("client_id").distinct()
     current = clients.select(
         "client_id", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("n"),
-        F.lit(0.0).alias("loss"), F.lit(start).alias("weights"),
+        F.lit(0.0).alias("loss"), F.lit(None).cast("array<double>").alias("weights"),
         F.lit(None).cast("array<bigint>").alias("confusion"),
     )
     for epoch in range(settings.epochs):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from flowlens.session import MAX_BROADCAST_ROWS, broadcast_rows, durable
 
 BUCKET_BITS = 12
+# Distinct groups that the driver may hold.
+MAX_GROUPS = 500_000
 # Hash values stay within this many bits, so the bucket is a right shift.
 HASH_BITS = 60
 # Beyond every row number: an edge that takes in all copies of its row.
@@ -103,10 +105,16 @@ def stable_rank(
 
 
 def group_sizes(df: DataFrame, by: str | None) -> dict[Any, int]:
-    """Rows per ``by`` value, on the driver: ``by`` is a dictionary (classes, clients)."""
+    """Rows per ``by`` value, on the driver: ``by`` is a dictionary (classes, clients).
+
+    A column with more than ``MAX_GROUPS`` values is refused.
+    """
     group = F.col(by) if by else F.lit(0)
-    return {r["_g"]: r["n"] for r in df.groupBy(group.alias("_g")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+    counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{by!r} has more than {MAX_GROUPS} values")
+    return {r["_g"]: r["n"] for r in rows}
 
 
 def histogram_bits(largest_rank: int) -> int:

@@ -1,3 +1,4 @@
+import pytest
 from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
@@ -141,3 +142,12 @@ def test_row_key_replaces_all_columns(spark):
     df = with_row_key(classes(spark, 1000))
     assert df.select("row_key").distinct().count() == 1000
     assert cap_total(df, 100, "cls", ["row_key"]).count() in range(97, 101)
+
+
+def test_groups_must_be_a_dictionary(spark, monkeypatch):
+    from flowlens.operators import ranking
+    monkeypatch.setattr(ranking, "MAX_GROUPS", 3)
+    df = spark.range(20).selectExpr("id", "id % 4 AS g", "id % 3 AS h")
+    assert len(ranking.group_sizes(df, "h")) == 3
+    with pytest.raises(ValueError, match="more than 3"):
+        ranking.group_sizes(df, "g")
