@@ -78,6 +78,15 @@ def fit_feature_stats(df: DataFrame, features: Sequence[str] | None = None) -> D
     return _per_feature(logs, names, measures)
 
 
+def stats_document(stats: DataFrame) -> DataFrame:
+    """The statistics as one row of parallel arrays, in feature order, as models are served them."""
+    ordered = stats.agg(F.sort_array(F.collect_list(
+        F.struct("pos", "feature", "mean", "std"))).alias("rows"))
+    return ordered.select(
+        F.col("rows.feature").alias("feature_names"), F.col("rows.mean").alias("mean"),
+        F.col("rows.std").alias("std"))
+
+
 @dataclass(frozen=True)
 class FeatureStats:
     """Feature statistics on the driver; their size is the number of features."""

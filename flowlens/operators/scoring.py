@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.network import logits, parameter_count, softmax_rows
-from flowlens.functions.scalar import argmax_class, columns_to_vector, features_to_vector
+from flowlens.functions.scalar import (
+    argmax_class, columns_to_vector, features_to_vector, softmax,
+)
 from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
 
@@ -75,6 +77,25 @@ def class_probabilities(
     return probabilities(vector)
 
 
+def linear_probabilities(vector: Column | str, model: Model) -> Column:
+    """Class probabilities of a model without hidden layers, from column expressions alone.
+
+    Usable in SQL views and filters where no Python may run.
+    """
+    if len(model.dims) != 2:
+        raise ValueError(f"layers {model.dims} are not linear")
+    inputs, outputs = model.dims
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    matrix = np.asarray(model.weights[:inputs * outputs], dtype=float).reshape(outputs, inputs)
+
+    def score(row: np.ndarray, bias: float) -> Column:
+        products = F.zip_with(vector, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x) + F.lit(float(bias))
+
+    biases = model.weights[inputs * outputs:]
+    return softmax(F.array(*[score(row, bias) for row, bias in zip(matrix, biases)]))
+
+
 def score_events(
     df: DataFrame,
     model: Model,

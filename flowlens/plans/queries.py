@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.network import initial_weights
 from flowlens.functions.scalar import (
     argmax_index, class_index, class_name, columns_to_map, features_to_vector, is_finite,
-    signed_log1p, softmax, try_numeric,
+    signed_log1p, try_numeric,
 )
 from flowlens.labels import Taxonomy
 from flowlens.operators import alerts as al
@@ -324,6 +324,19 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.fit_feature_stats(line_flows(spark, sf_dir), LINE_FEATURES))
 
 
+@query("WITH " + LINES + " SELECT ["
+       + ", ".join(f"'{c}'" for c in LINE_FEATURES) + "][i] AS feature, i - 1 AS place, "
+       + "[" + ", ".join(f"round(avg({_log(c)}), 6)" for c in LINE_FEATURES) + "][i] AS mean, "
+       + "[" + ", ".join(f"round(stddev_pop({_log(c)}), 6)" for c in LINE_FEATURES) + "][i] AS std "
+       + f"FROM lines, (SELECT unnest(range(1, {len(LINE_FEATURES) + 1})) AS i) GROUP BY i")
+def stats_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics as one document of parallel arrays, taken apart again."""
+    document = pf.stats_document(pf.fit_feature_stats(line_flows(spark, sf_dir), LINE_FEATURES))
+    parts = document.select(F.posexplode(F.arrays_zip("feature_names", "mean", "std")).alias("place", "f"))
+    return rounded(parts.select(
+        F.col("f.feature_names").alias("feature"), F.col("place").cast("long").alias("place"), "f.mean", "f.std"))
+
+
 # Adding zero turns a rounded -0.0 into 0.0.
 STANDARD = ", ".join(
     f"round(({_log(c)} - avg({_log(c)}) OVER ()) / stddev_pop({_log(c)}) OVER (), 4) + 0.0 AS {c}"
@@ -517,15 +530,8 @@ def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VECTOR_SCORES} SELECT vec_id, round(list_max(p), 6) AS confidence FROM probs""")
 def softmax_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same probabilities from column expressions alone."""
-    model = linear_model(64, TEN)
-    rows = []
-    for c in range(10):
-        w = F.array(*[F.lit(float(v)) for v in model.weights[c * 64:(c + 1) * 64]])
-        dot = F.aggregate(
-            F.zip_with("features", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        rows.append(dot + F.lit(float(model.weights[640 + c])))
-    return rounded(vectors(spark, sf_dir).select("vec_id", F.array(*rows).alias("z")).select(
-        "vec_id", F.array_max(softmax("z")).alias("confidence")))
+    probs = sc.linear_probabilities("features", linear_model(64, TEN))
+    return rounded(vectors(spark, sf_dir).select("vec_id", F.array_max(probs).alias("confidence")))
 
 
 EVENT_LOGITS = """inputs AS (
@@ -713,6 +719,25 @@ def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_windows(st.window_metrics(alerts(spark, sf_dir), EVENT_TAXONOMY.classes))
 
 
+DAYS = WINDOWS.replace("10000", "86400000")
+
+
+@query(DAYS)
+def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day: every class repeats in them."""
+    return _flat_windows(st.window_metrics(
+        alerts(spark, sf_dir), EVENT_TAXONOMY.classes, window="1 day"))
+
+
+@query(DAYS)
+def metrics_wire_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily metrics sent as JSON, read back, broken messages set aside."""
+    metrics = st.window_metrics(alerts(spark, sf_dir), EVENT_TAXONOMY.classes, window="1 day")
+    sent = st.encode_event(metrics, "org_id").select("value")
+    broken = sent.select(F.expr("substr(value, 1, 20)").alias("value"))
+    return _flat_windows(st.decode_metrics(sent.unionByName(broken))[0])
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return st.flow_stream(spark, "parquet", f"{sf_dir}/events*.parquet", schema)

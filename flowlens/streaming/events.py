@@ -108,31 +108,42 @@ def encode_event(df: DataFrame, key: str) -> DataFrame:
         F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def decode_alerts(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """AlertEvents from JSON and the rejected messages (``value, reason``).
+def _decode(raw: DataFrame, value: str, contract: str, nested: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a contract from JSON, and the rejected messages (``value, reason``).
 
-    ``probs`` is given as an object or as JSON text. A message that is no JSON
-    object or lacks a required field is rejected.
+    The map field ``nested`` is given as an object or as JSON text. A message that is
+    no JSON object or lacks a required field is rejected.
     """
+    fields = CONTRACTS[contract].fields
+    kinds = {f.name: f.dataType for f in fields}
     flat = T.StructType([
-        T.StructField(f.name, T.StringType() if f.name == "probs" else f.dataType)
-        for f in ALERT_EVENT.fields
+        *[T.StructField(f.name, T.StringType() if f.name == nested else f.dataType) for f in fields],
+        T.StructField(CORRUPT, T.StringType()),
     ])
-    flat = T.StructType([*flat.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col(value).cast("string")
     event = F.from_json(text, flat, {"columnNameOfCorruptRecord": CORRUPT})
     parsed = raw.select(text.alias("value"), F.inline(F.array(event)))
-    parsed = parsed.withColumn("probs", F.from_json("probs", "map<string,double>"))
+    parsed = parsed.withColumn(nested, F.from_json(nested, kinds[nested].simpleString()))
     reason = F.coalesce(
         F.when(F.col("value").isNull() | F.col(CORRUPT).isNotNull(), F.lit("malformed")),
-        require("alert"))
+        require(contract))
     judged = parsed.withColumn("reason", reason)
     return (
-        judged.filter(F.col("reason").isNull()).select(*[f.name for f in ALERT_EVENT.fields]),
+        with_defaults(judged.filter(F.col("reason").isNull()), contract),
         judged.filter(F.col("reason").isNotNull()).select("value", "reason"),
     )
 
 
+def decode_alerts(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """AlertEvents from JSON, ``probs`` as object or text; and the rejected messages."""
+    return _decode(raw, value, "alert", "probs")
+
+
+def decode_metrics(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """MetricsEvents from JSON, ``by_class`` as object or text; and the rejected messages."""
+    return _decode(raw, value, "metrics", "by_class")
+
+
 def window_metrics(
     alerts: DataFrame,
     classes: Sequence[str] = CLASSES,

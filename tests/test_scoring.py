@@ -10,7 +10,9 @@ from flowlens.functions.network import (
 from flowlens.functions.scalar import argmax_class, softmax
 from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
-from flowlens.operators.scoring import Model, class_probabilities, score_events, score_parity
+from flowlens.operators.scoring import (
+    Model, class_probabilities, linear_probabilities, score_events, score_parity,
+)
 from flowlens.schemas import FLOW_EVENT
 
 NAMES = tuple(f"f{i}" for i in range(10))
@@ -144,6 +146,17 @@ def test_linear_model_equals_column_expressions(spark):
         np.testing.assert_allclose(r["a"], r["b"], atol=1e-12)
 
 
+def test_linear_scorer_needs_no_python(spark):
+    m = Model((3, 4), initial_weights((3, 4), 1), "m")
+    df = spark.createDataFrame([([1.0, -2.0, 0.5],)], "v array<double>").select(
+        linear_probabilities("v", m).alias("a"), class_probabilities("v", m).alias("b"))
+    row = df.first()
+    np.testing.assert_allclose(row["a"], row["b"], atol=1e-12)
+    assert "Arrow" not in df.select("a")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        linear_probabilities("v", Model((3, 2, 4), initial_weights((3, 2, 4), 1), "m"))
+
+
 def test_first_class_wins_ties(spark):
     df = spark.createDataFrame([([0.2, 0.4, 0.4],)], "p array<double>")
     assert df.select(argmax_class("p", ["x", "y", "z"])).first()[0] == "y"

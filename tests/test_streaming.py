@@ -10,7 +10,7 @@ from flowlens.operators.profile import FeatureStats
 from flowlens.operators.scoring import Model
 from flowlens.schemas import ALERT_EVENT, FLOW_EVENT
 from flowlens.streaming.events import (
-    alerts_query, alerts_table_sink, decode_alerts, encode_event, flow_stream, latest_per_window,
+    alerts_query, alerts_table_sink, decode_alerts, decode_metrics, encode_event, flow_stream, latest_per_window,
     metrics_log_sink, metrics_query, parse_flows, run_scoring_stream, validate_events,
     window_metrics, write_registry,
 )
@@ -220,3 +220,13 @@ def test_replayed_batch_is_counted_once(spark, tmp_path):
     score()
     assert spark.read.parquet(f"{base}/alerts").count() == 10
     assert total() == before == 10
+
+
+def test_metrics_messages(spark):
+    body = {"window_start": 0, "window_end": 10, "org_id": "o", "total": 3, "attacks": 1}
+    good = [{**body, "by_class": {"Web": 3}}, {**body, "by_class": json.dumps({"Web": 3})}]
+    bad = ["nonsense", json.dumps({**body, "by_class": "no map"}), json.dumps(body), None]
+    rows, rejected = decode_metrics(spark.createDataFrame(
+        [(json.dumps(g),) for g in good] + [(b,) for b in bad], "value string"))
+    assert [r["by_class"] for r in rows.collect()] == [{"Web": 3}] * 2
+    assert rejected.count() == 4
