@@ -14,7 +14,7 @@ from flowlens.operators.split import (
     STREAM_FRACTION, TRAIN_FRACTION, VAL_FRACTION, stratified_split,
 )
 from flowlens.session import path_exists
-from flowlens.sources.flows import SOURCE_FILE, read_flow_csv
+from flowlens.sources.flows import SOURCE_FILE, parsed_flows, read_flow_csv
 from flowlens.sources.sinks import write_partitioned, write_table
 
 STAGES = ("ingest_clean", "profile", "split", "feature_stats")
@@ -51,8 +51,9 @@ def run_stages(
 
     def ingest_clean() -> None:
         counter = StageCounter()
-        raw = counter.watch(read_flow_csv(spark, raw_dir, max_files), "parsed")
-        rows = counter.watch(clean(raw, scope, taxonomy), "clean")
+        raw = counter.watch(read_flow_csv(spark, raw_dir, max_files, keep_malformed=True), "raw")
+        parsed = counter.watch(parsed_flows(raw), "parsed")
+        rows = counter.watch(clean(parsed, scope, taxonomy), "clean")
         # The key spares the split stage reading every feature to rank the rows.
         # It hashes values only: moving the files must not reshuffle the splits.
         keyed = with_row_key(rows, of=[c for c in rows.columns if c != SOURCE_FILE])
@@ -60,8 +61,10 @@ def run_stages(
         counts = counter.counts()
         loss = counter.loss("parsed", "clean")
         write_table(spark.createDataFrame(
-            [(counts["parsed"], counts["clean"], loss["dropped"], float(loss["dropped_pct"]))],
-            "parsed bigint, clean bigint, dropped bigint, dropped_pct double",
+            [(counts["raw"], counts["raw"] - counts["parsed"], counts["parsed"], counts["clean"],
+              loss["dropped"], float(loss["dropped_pct"]))],
+            "raw bigint, malformed bigint, parsed bigint, clean bigint, dropped bigint, "
+            "dropped_pct double",
         ), f"{out_dir}/stage_counts")
 
     def profile() -> None:

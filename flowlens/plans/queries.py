@@ -285,6 +285,20 @@ def etl_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{out}/class_counts"))
 
 
+@query(f"""WITH {DIRTY}, raw AS (SELECT *, orderkey % 10 = 0 AS broken FROM dirty)
+  SELECT count(*) AS raw, count(*) FILTER (broken) AS malformed, count(*) FILTER (NOT broken) AS parsed
+  FROM raw""")
+def malformed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a CSV folder, those that are no flows, and those that are."""
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "etl")
+    broken = F.when(F.col("orderkey") % 10 == 0, F.lit("no number")).otherwise(
+        F.col("orderkey").cast("string"))
+    dirty_lines(spark, sf_dir).withColumn("orderkey", broken).withColumnRenamed(
+        "label", "Label").write.csv(raw, header=True)
+    run_stages(spark, raw, out, taxonomy=LINE_TAXONOMY)
+    return spark.read.parquet(f"{out}/stage_counts").select("raw", "malformed", "parsed")
+
+
 # --- Profile and features ------------------------------------------------------------
 
 @query("""WITH counts AS (

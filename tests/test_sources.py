@@ -120,9 +120,10 @@ def test_split_files(spark, tmp_path):
 def test_stages_resume_and_force(spark, tmp_path):
     raw, out = tmp_path / "raw", str(tmp_path / "out")
     lines = "\n".join(f"{i},{i % 7},{'XSS' if i % 3 else 'BenignTraffic'}" for i in range(600))
-    put(raw, "a.csv", f"Flow Duration,Rate,Label\n{lines}\n5,inf,XSS\n1,1,\n5,5,XSS\n")
+    put(raw, "a.csv", f"Flow Duration,Rate,Label\n{lines}\n5,inf,XSS\n1,1,\n5,5,XSS\nx,y,XSS\n")
     assert run_stages(spark, str(raw), out) == dict.fromkeys(STAGES, "done")
     counts = spark.read.parquet(f"{out}/stage_counts").first()
+    assert (counts["raw"], counts["malformed"]) == (604, 2)  # "inf" is no number to the parser
     assert (counts["parsed"], counts["clean"]) == (602, 600)
     assert sum(split_table(spark, out, n).count() for n in ("stream", "train", "val", "test")) == 600
     assert {r["feature"] for r in spark.read.parquet(f"{out}/feature_stats").collect()} == {
