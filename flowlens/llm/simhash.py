@@ -266,11 +266,10 @@ def simhash_groups(
     rooted = copies.join(joined, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
-    lowest = (
+    lowest = stored(
         rooted.groupBy("root", "least.doc_id").agg(F.sum("least.n").alias("n"))
         .groupBy("root").agg(F.min(F.when(
-            F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("low"))
-    )
+            F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("low")), "lowest")
     labels = stored(
         rooted.join(lowest, "root").select(
             "fp", F.col("low.doc_id").alias("component_id"),
@@ -291,7 +290,8 @@ def drop_near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     kept = simhash_groups(docs, budget).filter("doc_id = component_id").select(
         F.col("doc_id").alias("_kept_id"), F.col("tied").alias("_tied")).distinct()
     kept = stored(kept, "kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"))
+    # A merge join at any size: what is kept grows with the documents, so it is never broadcast.
+    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept_id"))
     single = rows.filter(~F.col("_tied")).select(*docs.columns)
     several = rows.filter("_tied").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
