@@ -49,21 +49,28 @@ def unpack_strings(sizes: bytes, data: bytes) -> pa.Array:
 def count_blocks(
     docs: DataFrame, make_splitter: Callable[[], Splitter], buckets: int,
     columns: list[str], weight: str | None = None, text: str = "text",
+    measure: tuple[str, Callable[[], Callable[[pa.Array], np.ndarray]]] | None = None,
 ) -> DataFrame:
     """Blocks of ``docs`` as two kinds of stored rows.
 
     ``bucket`` null: the block's documents (``columns`` as arrays) and their counts by word number.
     Else the words of that bucket in word order, with their weighted occurrences; ``weight``, a
-    boolean column, says which documents' occurrences weigh (null: all).
+    boolean column, says which documents' occurrences weigh (null: all). ``measure``, a name and the
+    factory of a function of texts, adds a double per document in the same pass over its text.
     """
-    fields = [docs.schema[c] for c in columns]
+    kept, fields = columns, [docs.schema[c] for c in columns]
+    columns = [*kept, *([measure[0]] if measure else [])]
     schema = "block bigint, bucket int, " + ", ".join(
         f"`{f.name}` array<{f.dataType.simpleString()}>" for f in fields)
+    schema += f", `{measure[0]}` array<double>" if measure else ""
     schema += (", n_words array<bigint>, firsts binary, numbers binary, counts binary"
                ", sizes binary, words binary, weights binary")
     names = ["block", "bucket", *columns, "n_words", "firsts", "numbers", "counts", "sizes", "words", "weights"]
 
-    def block_rows(batch: pa.Table, number: int, split: Splitter) -> pa.RecordBatch:
+    def block_rows(batch: pa.Table, number: int, split: Splitter, measured) -> pa.RecordBatch:
+        if measure:
+            batch = batch.append_column(measure[0], pa.array(
+                measured(batch["text"].combine_chunks()), pa.float64()))
         found, occurrences = split(batch["text"].combine_chunks())
         words = found.dictionary
         plain = words.to_pylist()
@@ -102,6 +109,7 @@ def count_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = make_splitter(), TaskContext.get().partitionId() << 32
+        measured = measure[1]() if measure else None
         held, size = [], 0
         for batch in batches:
             lengths = np.diff(utf8(batch["text"])[1])
@@ -109,12 +117,12 @@ def count_blocks(
                 held.append(batch.slice(start, stop - start))
                 size += int(lengths[start:stop].sum()) + 100 * (stop - start)
                 if size >= BLOCK_BYTES:
-                    yield block_rows(pa.Table.from_batches(held), number, split)
+                    yield block_rows(pa.Table.from_batches(held), number, split, measured)
                     number, held, size = number + 1, [], 0
         if held:
-            yield block_rows(pa.Table.from_batches(held), number, split)
+            yield block_rows(pa.Table.from_batches(held), number, split, measured)
 
-    source = docs.select(F.col(text).alias("text"), *columns, *(
+    source = docs.select(F.col(text).alias("text"), *kept, *(
         [F.coalesce(F.col(weight), F.lit(False)).alias("_weighs")] if weight else []))
     return stored(source.mapInArrow(run, schema), "blocks")
 

@@ -26,8 +26,8 @@ END = 256  # the symbol that closes a text
 SYMBOLS = 257
 # Context bytes of the predictors; 0 stands for the letters of the word so far.
 CONTEXTS = (2, 3, 5, 0)
-# The predictors of these numbers, known or not, select the weights.
-GATES = (1, 2)
+# Whether this predictor, the longest, knows its context selects the weights.
+GATE = 2
 SLOT_BITS = 19
 CHUNK = 1 << 12  # slots that travel as one row
 SLICE = 400_000  # bytes coded at once in a task
@@ -154,61 +154,82 @@ class Mixer:
         else:
             hashes, pairs = context_hashes(symbols, offsets), pairs_of(symbols, offsets)
         branch, slots, steps = decisions(self.tree, pairs, hashes)
-        inputs = [self.odds[k][s] for k, s in enumerate(slots)]
         sizes = np.diff(offsets)
         parts = -(-sizes // SEGMENT)
         begin = np.repeat(offsets[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * SEGMENT
         total = np.concatenate([[0], np.cumsum(steps)])
         ends = np.append(begin[1:], len(symbols))
-        cost = mixed_bits(inputs, branch, total[begin], total[ends])
+        cost = mixed_bits(list(self.odds), slots, branch, total[begin], total[ends])
         return np.bincount(np.repeat(np.arange(len(parts)), parts), weights=cost, minlength=len(parts))
 
 
-def mixed_bits(inputs: list[np.ndarray], branch: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def mixed_bits(
+    odds: list[np.ndarray], slots: list[np.ndarray], branch: np.ndarray,
+    first: np.ndarray, stop: np.ndarray,
+) -> np.ndarray:
     """Code length of every segment ``first .. stop`` of decisions; segments learn independently.
 
-    Which of the ``GATES`` predictors know their context selects the weights. Weights follow the
-    gradient of the code length, the map follows the branches, both after each ``BATCH``.
+    Segments are coded side by side, ``BATCH`` decisions of each at a time. Whether the longest
+    context is known selects the weights. Weights follow the gradient of the code length, the map
+    follows the branches, both after each batch.
     """
-    sets = 1 << len(GATES)
     order = np.argsort(first - stop, kind="stable")
     first, length = first[order], (stop - first)[order]
     lanes = len(first)
-    cost = np.zeros(lanes)
-    weights = [np.full(lanes * sets, START_WEIGHT, np.float32) for _ in inputs]
+    result = np.zeros(lanes)
+    if not lanes or not length[0]:
+        return result
+    # All batches by step and lane; a batch shorter than the others repeats its last decision.
+    steps = -(-length // BATCH)
+    active = np.searchsorted(-steps, -np.arange(1, steps[0] + 1), side="right")
+    lane = ranges(np.zeros(len(active), np.int64), active)
+    step = np.repeat(np.arange(len(active)), active)
+    place = step[:, None] * BATCH + np.arange(BATCH)
+    real = place < length[lane, None]
+    index = first[lane, None] + np.minimum(place, length[lane, None] - 1)
+    inputs = [table[slot[index]] for table, slot in zip(odds, slots)]
+    target = branch[index].astype(np.float32)
+    known = inputs[GATE] != 0
+    weights = np.full((2, len(inputs), lanes, 1), START_WEIGHT, np.float32)
     spots = np.linspace(-MAP_LIMIT, MAP_LIMIT, MAP_BINS, dtype=np.float32)
     refined = np.tile(1 / (1 + np.exp(-spots)), lanes).astype(np.float32)
     scale = np.float32((MAP_BINS - 1) / (2 * MAP_LIMIT))
-    for at in range(0, int(length[0]) if lanes else 0, BATCH):
-        active = int(np.searchsorted(-length, -at, side="left"))
-        here = np.minimum(length[:active] - at, BATCH)
-        index = ranges(first[:active] + at, here)
-        lane = np.repeat(np.arange(active), here)
-        x, y = [column[index] for column in inputs], branch[index].astype(np.float32)
-        gate = lane * sets
-        for bit, k in enumerate(GATES):
-            gate += (x[k] != 0) << bit
-        stretched = x[0] * weights[0][gate]
-        for k in range(1, len(x)):
-            stretched += x[k] * weights[k][gate]
+    middle = np.float32(MAP_LIMIT) * scale + np.float32(0.5)
+    row = (np.arange(lanes) * MAP_BINS)[:, None]
+    cost = np.zeros(lanes)
+    begin = 0
+    for n in active.tolist():
+        part = slice(begin, begin + n)
+        begin += n
+        x, y, gate, counts = [column[part] for column in inputs], target[part], known[part], real[part]
+        sums = []
+        for own in weights:
+            total = x[0] * own[0, :n]
+            for k in range(1, len(x)):
+                total += x[k] * own[k, :n]
+            sums.append(total)
+        stretched = np.where(gate, sums[1], sums[0])
         np.clip(stretched, -MAP_LIMIT, MAP_LIMIT, out=stretched)
         mixed = 1 / (1 + np.exp(-stretched))
-        bin_ = ((stretched + np.float32(MAP_LIMIT)) * scale + np.float32(0.5)).astype(np.int64)
-        bin_ += lane * MAP_BINS
-        mapped = refined[bin_]
+        spot = (stretched * scale + middle).astype(np.int64)
+        spot += row[:n]
+        mapped = refined[spot]
         # The probability of the branch taken, half by the weights, half by the map.
-        taken = np.abs(1 - y - 0.5 * (mixed + mapped))
+        taken = np.abs(1 - y - np.float32(0.5) * (mixed + mapped))
         np.maximum(taken, np.float32(1e-5), out=taken)
-        cost[:active] -= np.add.reduceat(np.log2(taken), np.cumsum(here) - here, dtype=np.float64)
-        error = np.float32(RATE) * (y - mixed)
+        cost[:n] -= np.where(counts, np.log2(taken), 0).sum(axis=1, dtype=np.float64)
+        error = np.where(counts, np.float32(RATE) * (y - mixed), 0)
+        gated = np.where(gate, error, 0)
         for k, column in enumerate(x):
-            weights[k][:active * sets] += np.bincount(
-                gate, weights=error * column, minlength=active * sets).astype(np.float32)
-        hits = np.bincount(bin_, minlength=active * MAP_BINS)
-        moved = np.bincount(bin_, weights=y - mapped, minlength=active * MAP_BINS)
+            upper = np.einsum("ij,ij->i", gated, column)[:, None]
+            weights[1, k, :n] += upper
+            weights[0, k, :n] += np.einsum("ij,ij->i", error, column)[:, None] - upper
+        # Hits and misses of the map's bins in one sum: 1,024 for a hit, the miss beside it.
+        seen = np.bincount(spot.ravel(), weights=np.where(counts, 1024 + y - mapped, 0).ravel(),
+                           minlength=n * MAP_BINS)
+        hits = np.rint(seen / 1024)
         # At most a full step towards the mean of what was seen.
-        refined[:active * MAP_BINS] += (moved * (MAP_RATE / (1 + MAP_RATE * hits))).astype(np.float32)
-    result = np.empty(lanes)
+        refined[:n * MAP_BINS] += ((seen - 1024 * hits) * (MAP_RATE / (1 + MAP_RATE * hits))).astype(np.float32)
     result[order] = cost
     return result
 
@@ -242,7 +263,7 @@ def train(docs: DataFrame, text: str = "text") -> Mixer:
         table = np.zeros((len(CONTEXTS), 2 << SLOT_BITS), np.int32)
         for batch in batches:
             lengths = np.diff(utf8(batch["text"])[1])
-            for start, stop in slices(lengths, SLICE):
+            for start, stop in slices(lengths, 4 * SLICE):
                 symbols, offsets = symbols_of(batch["text"].slice(start, stop - start))
                 for low in range(0, len(symbols), 4 * SLICE):  # a long text in windows
                     high = min(low + 4 * SLICE, len(symbols))
@@ -329,10 +350,13 @@ def language_scores(docs: DataFrame, model: Mixer, training: str, doc_id: str =
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(training), F.lit(False)).alias("training"),
                        F.col(text).alias("text"))
-    rows = with_bits(rows, model).withColumns({
-        "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
-    columns = ["doc_id", "training", "bits", "size"]
-    blocks = count_blocks(rows, _words, bucket_count(docs), columns, weight="training")
+    rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    held = Shipped(docs.sparkSession, model)
+    # Coded in the pass that counts the words: one worker per task, and the texts move once.
+    blocks = count_blocks(
+        rows, _words, bucket_count(docs), ["doc_id", "training", "size"], weight="training",
+        measure=("bits", lambda: held.get().bits))
+    columns = ["doc_id", "training", "size", "bits"]
     values = value_words(blocks, _counts)
     values = stored(values, "word-counts")
     summed = sum_values(blocks, values, columns, _measures, ["log", "known"])

@@ -48,7 +48,7 @@ def plain_bits(inputs, branch, batch):
         steps, hits, moves = {}, Counter(), Counter()
         for i in range(low, min(low + batch, len(branch))):
             x, y = [float(c[i]) for c in inputs], int(branch[i])
-            gate = tuple(x[k] != 0 for k in mixing.GATES)
+            gate = x[mixing.GATE] != 0
             own = weights.setdefault(gate, [mixing.START_WEIGHT] * len(x))
             s = max(-mixing.MAP_LIMIT, min(mixing.MAP_LIMIT, sum(a * b for a, b in zip(x, own))))
             p = 1 / (1 + math.exp(-s))
@@ -70,7 +70,8 @@ def test_mixing_equals_a_plain_coder():
     n = [0, 100, 131, 300, 301]
     inputs = [(rng.normal(size=301) * (rng.random(301) > 0.3)).astype(np.float32) for _ in mixing.CONTEXTS]
     branch = rng.integers(0, 2, 301).astype(np.int8)
-    got = mixed_bits(inputs, branch, np.array(n[:-1]), np.array(n[1:]))
+    slots = [np.arange(301, dtype=np.uint32)] * len(inputs)
+    got = mixed_bits(inputs, slots, branch, np.array(n[:-1]), np.array(n[1:]))
     for k, (a, b) in enumerate(zip(n[:-1], n[1:])):
         assert math.isclose(got[k], plain_bits([c[a:b] for c in inputs], branch[a:b], mixing.BATCH), rel_tol=1e-3)
 
