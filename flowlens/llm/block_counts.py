@@ -36,13 +36,24 @@ def expand(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def squeeze_counts(values: np.ndarray) -> bytes:
+    """Small 32-bit numbers by byte planes, the upper of which are nearly empty."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def expand_counts(blob: bytes) -> np.ndarray:
+    planes = expand(blob, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+
+
 def pack_strings(words: pa.Array) -> tuple[bytes, bytes]:
     data, offsets = utf8(words)
-    return squeeze(np.diff(offsets).astype(np.uint32)), squeeze(data)
+    return squeeze_counts(np.diff(offsets)), zstandard.ZstdCompressor(level=3).compress(data.tobytes())
 
 
 def unpack_strings(sizes: bytes, data: bytes) -> pa.Array:
-    ends = np.cumsum(expand(sizes, np.uint32), dtype=np.int64)
+    ends = np.cumsum(expand_counts(sizes), dtype=np.int64)
     return strings_at(expand(data, np.uint8), np.concatenate([[0], ends]))
 
 
@@ -54,18 +65,18 @@ def count_blocks(
     """Blocks of ``docs`` as two kinds of stored rows.
 
     ``bucket`` null: the block's documents (``columns`` as arrays) and their counts by word number.
-    Else the words of that bucket in word order, with their weighted occurrences; ``weight``, a
-    boolean column, says which documents' occurrences weigh (null: all). ``measure``, a name and the
-    factory of a function of texts, adds a double per document in the same pass over its text.
+    Else the words of that bucket in word order and, with ``weight``, their occurrences in the
+    documents where that boolean column is true. ``measure``, a name and the factory of a function
+    of texts, adds a double per document in the same pass over its text.
     """
     kept, fields = columns, [docs.schema[c] for c in columns]
     columns = [*kept, *([measure[0]] if measure else [])]
     schema = "block bigint, bucket int, " + ", ".join(
         f"`{f.name}` array<{f.dataType.simpleString()}>" for f in fields)
     schema += f", `{measure[0]}` array<double>" if measure else ""
-    schema += (", n_words array<bigint>, firsts binary, numbers binary, counts binary"
+    schema += (", n_words array<bigint>, firsts binary, steps binary, counts binary"
                ", sizes binary, words binary, weights binary")
-    names = ["block", "bucket", *columns, "n_words", "firsts", "numbers", "counts", "sizes", "words", "weights"]
+    names = ["block", "bucket", *columns, "n_words", "firsts", "steps", "counts", "sizes", "words", "weights"]
 
     def block_rows(batch: pa.Table, number: int, split: Splitter, measured) -> pa.RecordBatch:
         if measure:
@@ -85,9 +96,13 @@ def count_blocks(
         pairs, counts = np.unique(owner * max(1, len(order)) + which, return_counts=True)
         numbers = pairs % max(1, len(order))
         owners = pairs // max(1, len(order))
-        weighs = np.ones(len(batch)) if weight is None else np.array(batch["_weighs"].to_pylist(), float)
+        weighs = np.zeros(len(batch)) if weight is None else np.array(batch["_weighs"].to_pylist(), float)
         totals = np.bincount(numbers, weights=counts * weighs[owners], minlength=len(order)).astype(np.int64)
         firsts = np.searchsorted(owners, np.arange(len(batch) + 1))
+        # A document's word numbers rise; their steps are small.
+        steps = np.diff(numbers, prepend=0)
+        begins = firsts[:-1][firsts[:-1] < firsts[1:]]
+        steps[begins] = numbers[begins]
         sorted_words, sorted_buckets = words.take(pa.array(order)), hashed[order]
         edges = np.searchsorted(sorted_buckets, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(edges))
@@ -97,10 +112,11 @@ def count_blocks(
             "block": [number] * (1 + len(full)), "bucket": [None, *full.tolist()],
             **{c: [batch[c].to_pylist(), *empty] for c in columns},
             "n_words": [occurrences.tolist(), *empty], "firsts": [squeeze(firsts.astype(np.int64)), *empty],
-            "numbers": [squeeze(numbers.astype(np.uint32)), *empty],
-            "counts": [squeeze(counts.astype(np.uint32)), *empty],
+            "steps": [squeeze_counts(steps), *empty],
+            "counts": [squeeze_counts(counts), *empty],
             "sizes": [None, *(p[0] for p in parts)], "words": [None, *(p[1] for p in parts)],
-            "weights": [None, *(squeeze(totals[edges[b]:edges[b + 1]]) for b in full)],
+            "weights": [None, *(
+                None if weight is None else squeeze(totals[edges[b]:edges[b + 1]]) for b in full)],
         }
         kinds = {c: pa.list_(batch[c].type) for c in columns} | {
             "block": pa.int64(), "bucket": pa.int32(), "n_words": pa.list_(pa.int64())}
@@ -136,7 +152,9 @@ def value_words(blocks: DataFrame, make_value: Callable[[], Callable[[pa.Array,
     def run(table: pa.Table) -> pa.Table:
         blocks_, buckets_ = table["block"].to_pylist(), table["bucket"].to_pylist()
         parts = [unpack_strings(s, w) for s, w in zip(table["sizes"].to_pylist(), table["words"].to_pylist())]
-        weights = np.concatenate([expand(w, np.int64) for w in table["weights"].to_pylist()])
+        weights = np.concatenate([
+            np.zeros(len(p), np.int64) if w is None else expand(w, np.int64)
+            for p, w in zip(parts, table["weights"].to_pylist())])
         found = pa.concat_arrays(parts).dictionary_encode()
         which = found.indices.to_numpy()
         totals = np.bincount(which, weights=weights, minlength=len(found.dictionary)).astype(np.int64)
@@ -165,9 +183,10 @@ def sum_values(
         order = np.argsort(right["bucket"].to_numpy(), kind="stable")
         blobs = right["values"].to_pylist()
         value = np.concatenate([np.zeros(0, np.int64), *(expand(blobs[i], np.int64) for i in order)])
-        numbers = expand(left["numbers"][0].as_py(), np.uint32)
-        counts = expand(left["counts"][0].as_py(), np.uint32)
+        counts = expand_counts(left["counts"][0].as_py())
         firsts = expand(left["firsts"][0].as_py(), np.int64)
+        steps = np.cumsum(expand_counts(left["steps"][0].as_py()), dtype=np.int64)
+        numbers = steps - np.repeat(np.concatenate([[0], steps])[firsts[:-1]], np.diff(firsts))
         out = {c: left[c].combine_chunks().flatten() for c in columns}
         out["n_words"] = left["n_words"].combine_chunks().flatten()
         for name, measure in measures(value).items():
@@ -177,7 +196,7 @@ def sum_values(
             out[name] = pa.array(np.asarray(exact, float))
         return pa.table(out)
 
-    heads = blocks.filter("bucket IS NULL").select("block", *columns, "n_words", "firsts", "numbers", "counts")
+    heads = blocks.filter("bucket IS NULL").select("block", *columns, "n_words", "firsts", "steps", "counts")
     kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.elementType.simpleString()}" for c in columns)
     schema = f"{kinds}, n_words bigint, " + ", ".join(f"{n} double" for n in names)
     return heads.groupBy("block").cogroup(
