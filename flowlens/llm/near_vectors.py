@@ -164,7 +164,9 @@ def near_vectors(
     draw = F.pmod(F.xxhash64("h1", "label"), F.lit(1 << 30))
     drawn = classes.filter(draw < F.lit(min(1.0, sample / shape["n"]) * (1 << 30))).select(
         "class_id", "vector").toArrow().sort_by("class_id")
-    lists = max(1, min(sample // 16, -(-shape["n"] // LIST_ROWS)))
+    # Labels divide the lists further, so the largest label sets their number.
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    lists = max(1, min(sample // 16, -(-largest // LIST_ROWS)))
     points = np.zeros((max(1, len(drawn)), shape["width"]))
     for i, x in enumerate(drawn["vector"].to_pylist()):
         points[i, :len(x)] = np.array(x) / np.linalg.norm(x)
