@@ -26,8 +26,9 @@ END = 256  # the symbol that closes a text
 SYMBOLS = 257
 # Context bytes of the predictors; 0 stands for the letters of the word so far.
 CONTEXTS = (2, 3, 5, 0)
-# Whether this predictor, the longest, knows its context selects the weights.
-GATE = 2
+# The predictors of these numbers, known or not, select the weights.
+GATES = (1, 2)
+GATE = 2  # the longest; alone where ``mixed_bits`` is asked for one gate
 SLOT_BITS = 19
 CHUNK = 1 << 12  # slots that travel as one row
 SLICE = 400_000  # bytes coded at once in a task
@@ -159,18 +160,18 @@ class Mixer:
         begin = np.repeat(offsets[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * SEGMENT
         total = np.concatenate([[0], np.cumsum(steps)])
         ends = np.append(begin[1:], len(symbols))
-        cost = mixed_bits(list(self.odds), slots, branch, total[begin], total[ends])
+        cost = mixed_bits(list(self.odds), slots, branch, total[begin], total[ends], GATES)
         return np.bincount(np.repeat(np.arange(len(parts)), parts), weights=cost, minlength=len(parts))
 
 
 def mixed_bits(
     odds: list[np.ndarray], slots: list[np.ndarray], branch: np.ndarray,
-    first: np.ndarray, stop: np.ndarray,
+    first: np.ndarray, stop: np.ndarray, gates: tuple[int, ...] = (GATE,),
 ) -> np.ndarray:
     """Code length of every segment ``first .. stop`` of decisions; segments learn independently.
 
-    Segments are coded side by side, ``BATCH`` decisions of each at a time. Whether the longest
-    context is known selects the weights. Weights follow the gradient of the code length, the map
+    Segments are coded side by side, ``BATCH`` decisions of each at a time. Which of the ``gates``
+    predictors know their context selects one of the weight sets. Weights follow the gradient of the code length, the map
     follows the branches, both after each batch.
     """
     order = np.argsort(first - stop, kind="stable")
@@ -189,8 +190,10 @@ def mixed_bits(
     index = first[lane, None] + np.minimum(place, length[lane, None] - 1)
     inputs = [table[slot[index]] for table, slot in zip(odds, slots)]
     target = branch[index].astype(np.float32)
-    known = inputs[GATE] != 0
-    weights = np.full((2, len(inputs), lanes, 1), START_WEIGHT, np.float32)
+    known = np.zeros(target.shape, np.int8)
+    for bit, k in enumerate(gates):
+        known |= (inputs[k] != 0).astype(np.int8) << bit
+    weights = np.full((1 << len(gates), len(inputs), lanes, 1), START_WEIGHT, np.float32)
     spots = np.linspace(-MAP_LIMIT, MAP_LIMIT, MAP_BINS, dtype=np.float32)
     refined = np.tile(1 / (1 + np.exp(-spots)), lanes).astype(np.float32)
     scale = np.float32((MAP_BINS - 1) / (2 * MAP_LIMIT))
@@ -208,7 +211,9 @@ def mixed_bits(
             for k in range(1, len(x)):
                 total += x[k] * own[k, :n]
             sums.append(total)
-        stretched = np.where(gate, sums[1], sums[0])
+        stretched = sums[0]
+        for number in range(1, len(sums)):
+            np.copyto(stretched, sums[number], where=gate == number)
         np.clip(stretched, -MAP_LIMIT, MAP_LIMIT, out=stretched)
         mixed = 1 / (1 + np.exp(-stretched))
         spot = (stretched * scale + middle).astype(np.int64)
@@ -219,11 +224,10 @@ def mixed_bits(
         np.maximum(taken, np.float32(1e-5), out=taken)
         cost[:n] -= np.where(counts, np.log2(taken), 0).sum(axis=1, dtype=np.float64)
         error = np.where(counts, np.float32(RATE) * (y - mixed), 0)
-        gated = np.where(gate, error, 0)
-        for k, column in enumerate(x):
-            upper = np.einsum("ij,ij->i", gated, column)[:, None]
-            weights[1, k, :n] += upper
-            weights[0, k, :n] += np.einsum("ij,ij->i", error, column)[:, None] - upper
+        for number, own in enumerate(weights):
+            gated = np.where(gate == number, error, 0)
+            for k, column in enumerate(x):
+                own[k, :n] += np.einsum("ij,ij->i", gated, column)[:, None]
         # Hits and misses of the map's bins in one sum: 1,024 for a hit, the miss beside it.
         seen = np.bincount(spot.ravel(), weights=np.where(counts, 1024 + y - mapped, 0).ravel(),
                            minlength=n * MAP_BINS)

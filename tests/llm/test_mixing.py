@@ -132,3 +132,31 @@ def test_held_out_texts_are_coded_in_fewer_bits(spark):
     held = language_scores(docs, train(docs.filter("training")), "training").filter("held_out").collect()
     rate = sum(-r.score for r in held) / math.log10(2) / sum(-r.score / math.log10(2) / r.bits_per_byte for r in held)
     assert rate < 3.0
+
+
+def test_both_gates_select_one_of_four_weight_sets():
+    rng = np.random.default_rng(1)
+    inputs = [(rng.normal(size=400) * (rng.random(400) > 0.4)).astype(np.float32) for _ in mixing.CONTEXTS]
+    branch = rng.integers(0, 2, 400).astype(np.int8)
+    # Four sets are one set per pair of known contexts.
+    sets = (inputs[1] != 0) + 2 * (inputs[2] != 0)
+    spots = np.linspace(-mixing.MAP_LIMIT, mixing.MAP_LIMIT, mixing.MAP_BINS)
+    mapped, weights, bits = 1 / (1 + np.exp(-spots)), np.full((4, 4), mixing.START_WEIGHT), 0.0
+    for low in range(0, 400, mixing.BATCH):
+        moved, seen, hits = np.zeros((4, 4)), np.zeros(len(spots)), np.zeros(len(spots))
+        for i in range(low, min(low + mixing.BATCH, 400)):
+            x, y = np.array([float(c[i]) for c in inputs]), int(branch[i])
+            s = min(max(float(x @ weights[sets[i]]), -mixing.MAP_LIMIT), mixing.MAP_LIMIT)
+            p = 1 / (1 + math.exp(-s))
+            spot = int((s + mixing.MAP_LIMIT) * (mixing.MAP_BINS - 1) / (2 * mixing.MAP_LIMIT) + 0.5)
+            final = 0.5 * (p + mapped[spot])
+            bits -= math.log2(final if y else 1 - final)
+            moved[sets[i]] += mixing.RATE * (y - p) * x
+            hits[spot] += 1
+            seen[spot] += y - mapped[spot]
+        weights += moved
+        mapped = mapped + seen * mixing.MAP_RATE / (1 + mixing.MAP_RATE * hits)
+    slots = [np.arange(400, dtype=np.uint32)] * len(inputs)
+    got = mixed_bits(inputs, slots, branch, np.array([0]), np.array([400]), mixing.GATES)
+    assert mixing.GATES == (1, 2) and math.isclose(got[0], bits, rel_tol=1e-4)
+    assert not math.isclose(got[0], mixed_bits(inputs, slots, branch, np.array([0]), np.array([400]))[0], rel_tol=1e-5)
