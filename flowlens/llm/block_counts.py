@@ -60,28 +60,24 @@ def unpack_strings(sizes: bytes, data: bytes) -> pa.Array:
 def count_blocks(
     docs: DataFrame, make_splitter: Callable[[], Splitter], buckets: int,
     columns: list[str], weight: str | None = None, text: str = "text",
-    measure: tuple[str, Callable[[], Callable[[pa.Array], np.ndarray]]] | None = None,
+    texts: bool = False,
 ) -> DataFrame:
     """Blocks of ``docs`` as two kinds of stored rows.
 
     ``bucket`` null: the block's documents (``columns`` as arrays) and their counts by word number.
     Else the words of that bucket in word order and, with ``weight``, their occurrences in the
-    documents where that boolean column is true. ``measure``, a name and the factory of a function
-    of texts, adds a double per document in the same pass over its text.
+    documents where that boolean column is true. ``texts`` keeps the block's texts, compressed.
     """
-    kept, fields = columns, [docs.schema[c] for c in columns]
-    columns = [*kept, *([measure[0]] if measure else [])]
+    fields = [docs.schema[c] for c in columns]
     schema = "block bigint, bucket int, " + ", ".join(
         f"`{f.name}` array<{f.dataType.simpleString()}>" for f in fields)
-    schema += f", `{measure[0]}` array<double>" if measure else ""
     schema += (", n_words array<bigint>, firsts binary, steps binary, counts binary"
-               ", sizes binary, words binary, weights binary")
-    names = ["block", "bucket", *columns, "n_words", "firsts", "steps", "counts", "sizes", "words", "weights"]
+               ", sizes binary, words binary, weights binary"
+               ", text_sizes binary, text_data binary")
+    names = ["block", "bucket", *columns, "n_words", "firsts", "steps", "counts", "sizes", "words", "weights",
+             "text_sizes", "text_data"]
 
-    def block_rows(batch: pa.Table, number: int, split: Splitter, measured) -> pa.RecordBatch:
-        if measure:
-            batch = batch.append_column(measure[0], pa.array(
-                measured(batch["text"].combine_chunks()), pa.float64()))
+    def block_rows(batch: pa.Table, number: int, split: Splitter) -> pa.RecordBatch:
         found, occurrences = split(batch["text"].combine_chunks())
         words = found.dictionary
         plain = words.to_pylist()
@@ -118,6 +114,8 @@ def count_blocks(
             "weights": [None, *(
                 None if weight is None else squeeze(totals[edges[b]:edges[b + 1]]) for b in full)],
         }
+        kept = pack_strings(batch["text"].combine_chunks()) if texts else (None, None)
+        data |= {"text_sizes": [kept[0], *empty], "text_data": [kept[1], *empty]}
         kinds = {c: pa.list_(batch[c].type) for c in columns} | {
             "block": pa.int64(), "bucket": pa.int32(), "n_words": pa.list_(pa.int64())}
         return pa.RecordBatch.from_arrays(
@@ -125,7 +123,6 @@ def count_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = make_splitter(), TaskContext.get().partitionId() << 32
-        measured = measure[1]() if measure else None
         held, size = [], 0
         for batch in batches:
             lengths = np.diff(utf8(batch["text"])[1])
@@ -133,12 +130,12 @@ def count_blocks(
                 held.append(batch.slice(start, stop - start))
                 size += int(lengths[start:stop].sum()) + 100 * (stop - start)
                 if size >= BLOCK_BYTES:
-                    yield block_rows(pa.Table.from_batches(held), number, split, measured)
+                    yield block_rows(pa.Table.from_batches(held), number, split)
                     number, held, size = number + 1, [], 0
         if held:
-            yield block_rows(pa.Table.from_batches(held), number, split, measured)
+            yield block_rows(pa.Table.from_batches(held), number, split)
 
-    source = docs.select(F.col(text).alias("text"), *kept, *(
+    source = docs.select(F.col(text).alias("text"), *columns, *(
         [F.coalesce(F.col(weight), F.lit(False)).alias("_weighs")] if weight else []))
     return stored(source.mapInArrow(run, schema), "blocks")
 

@@ -1,8 +1,8 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of context bit predictors.
 
 A text is coded byte by byte, each byte as the decisions on its way through a code tree. Several
-predictors look the decision up under different contexts; their tables are counted over the whole
-training corpus. A gate picks a weight set, the weighted predictions become one probability, and
+predictors look the decision up under different contexts. Their counts are exact and grow with the
+training corpus: a stored table that meets the contexts of each block of texts. A gate picks a weight set, the weighted predictions become one probability, and
 an adaptive map refines it. Weights and map learn while a text is coded.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.block_counts import (
-    bucket_count, count_blocks, expand, squeeze, sum_values, value_words,
+    bucket_count, count_blocks, expand, squeeze, sum_values, unpack_strings, value_words,
 )
 from flowlens.llm.common import Shipped, ranges, slices, stored, strings_at, utf8
 
@@ -29,9 +29,8 @@ CONTEXTS = (2, 3, 5, 0)
 # The predictors of these numbers, known or not, select the weights.
 GATES = (1, 2)
 GATE = 2  # the longest; alone where ``mixed_bits`` is asked for one gate
-SLOT_BITS = 19
-CHUNK = 1 << 12  # slots that travel as one row
 SLICE = 400_000  # bytes coded at once in a task
+GRAMS = 2_000_000  # grams that a task holds before it hands them on, or looks up at once
 # Symbols after which the learned weights start anew, decisions between two updates.
 SEGMENT = 1024
 BATCH = 32
@@ -82,28 +81,46 @@ def symbols_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data.astype(np.int16), offsets[1:], END), offsets + np.arange(len(offsets))
 
 
-def context_hashes(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """32-bit hashes of every position's contexts, from the bytes before it in its text."""
+def grams_of(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Every symbol below the five before it in its text, the last one uppermost; 9 bits each.
+
+    0 stands for "before the text", other earlier symbols are one higher.
+    """
     at = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
-    history = np.zeros(len(symbols), np.uint64)
-    plain = symbols.astype(np.uint64) + np.uint64(1)  # 0 stands for "before the text"
+    grams = symbols.astype(np.uint64)
     for back in range(1, 6):
         earlier = np.zeros(len(symbols), np.uint64)
-        earlier[back:] = plain[:-back]
+        earlier[back:] = symbols[:-back] + 1
         earlier[at < back] = 0
-        history |= earlier << np.uint64(12 * (back - 1))
-    blank = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
-    starts = np.zeros(len(symbols), np.int64)
-    starts[1:] = np.where(blank[:-1], np.arange(1, len(symbols)), 0)
-    starts[offsets[:-1]] = offsets[:-1]
-    letters = np.minimum(np.arange(len(symbols)) - np.maximum.accumulate(starts), 5)
-    hashes = []
-    for number, width in enumerate(CONTEXTS):
-        bits = np.uint64(12) * (letters.astype(np.uint64) if not width else np.uint64(width))
-        key = history & ((np.uint64(1) << bits) - np.uint64(1))
-        mixed = (key + np.uint64(number * 0x632BE5AB + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        hashes.append((mixed >> np.uint64(32)).astype(np.uint32))
-    return hashes
+        grams |= earlier << np.uint64(54 - 9 * back)
+    return grams
+
+
+def contexts_of(grams: np.ndarray) -> list[np.ndarray]:
+    """Each predictor's context, exact, as a number whose upper bits are those of the gram."""
+    letters = np.zeros(len(grams), np.uint64)
+    inside = np.ones(len(grams), bool)
+    for back in range(1, 6):
+        symbol = (grams >> np.uint64(54 - 9 * back)).astype(np.int64) & 511
+        inside &= (symbol > 0) & (symbol != 33) & ((symbol < 10) | (symbol > 14))
+        letters += inside
+    found = []
+    for width in CONTEXTS:
+        known = np.uint64(width) if width else letters
+        low = np.uint64(54) - np.uint64(9) * known
+        found.append((grams >> low << low) | (np.uint64(0) if width else letters))
+    return found
+
+
+def context_hashes(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The contexts of every position, from the bytes before it in its text."""
+    return contexts_of(grams_of(symbols, offsets))
+
+
+def gram_pairs(grams: np.ndarray) -> np.ndarray:
+    """The pairs (symbol before, symbol) of grams, numbered as by ``pairs_of``."""
+    before = (grams >> np.uint64(45)).astype(np.int64) - 1
+    return np.where(before < 0, END, before) * SYMBOLS + (grams & np.uint64(511)).astype(np.int64)
 
 
 def pairs_of(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -114,55 +131,182 @@ def pairs_of(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return before * SYMBOLS + symbols
 
 
-def decisions(tree: CodeTrees, pairs: np.ndarray, hashes: list[np.ndarray]):
-    """Branches of all symbols one after the other, and each predictor's slot for each of them."""
+def decisions(tree: CodeTrees, pairs: np.ndarray):
+    """Branches and nodes of all symbols one after the other, and how many each symbol has."""
     steps = tree.length[pairs]
     way = ranges(tree.first[pairs], steps)
-    node = tree.node[way] * np.uint32(0x9E3779B1)
-    slots = [((np.repeat(h, steps) + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS) for h in hashes]
-    return tree.branch[way], slots, steps
+    return tree.branch[way], tree.node[way], steps
+
+
+def log_odds(misses: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Of branch 1; 0 only where nothing was counted."""
+    odds = np.log((hits + 0.3) / (misses + 0.3))
+    return np.where(misses + hits > 0, np.where(odds == 0, 1e-6, odds), 0).astype(np.float32)
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams in order and their summed counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def squeeze_grams(grams: np.ndarray) -> bytes:
+    """Grams in order, as the byte planes of their steps."""
+    steps = np.diff(grams, prepend=np.uint64(0)).astype("<u8")
+    return squeeze(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def expand_grams(blob: bytes) -> np.ndarray:
+    planes = expand(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+
+
+def dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the grams, and the edges of the buckets in it; the last two symbols decide."""
+    last = grams >> np.uint64(36)
+    bucket = ((last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 @dataclass
-class Mixer:
-    """The code tree and, per predictor and slot, the log odds of branch 1; of fixed size."""
+class Shared:
+    """What all tasks need, of a size fixed by the symbols.
 
-    tree: CodeTrees
-    odds: np.ndarray = field(repr=False)
+    ``short`` holds the log odds of each node for words of no letter and of one letter.
+    """
 
-    def bits(self, texts: pa.Array) -> np.ndarray:
-        """Total code length in bits of every text, its end included."""
-        result = np.zeros(len(texts))
-        lengths = np.diff(utf8(texts)[1])
-        for start, stop in slices(lengths, SLICE):
-            symbols, offsets = symbols_of(texts.slice(start, stop - start))
-            if int(lengths[start]) <= SLICE:
-                result[start:stop] = self._coded(symbols, offsets, 0, len(symbols))
-            else:  # one long text, whole segments at a time
-                window = SLICE // SEGMENT * SEGMENT
-                result[start] = sum(
-                    self._coded(symbols, offsets, low, min(low + window, len(symbols))).sum()
-                    for low in range(0, len(symbols), window))
+    tree: CodeTrees
+    short: np.ndarray = field(repr=False)
+
+    def odds(self, table: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Per predictor, the log odds at each decision of ``grams``, counted over all of ``table``.
+
+        ``table`` must hold every training gram whose last two symbols are those of one of ``grams``.
+        """
+        pairs = gram_pairs(grams)
+        _, node, steps = decisions(self.tree, pairs)
+        result = np.zeros((len(CONTEXTS), len(node)), np.float32)
+        inner = np.uint64(256)
+        table_contexts, contexts = contexts_of(table), contexts_of(grams)
+        for k, width in enumerate(CONTEXTS):
+            # A context's symbols first, then its decisions: far fewer than the table's grams have.
+            ends = np.uint64(9)
+            if width == 5:
+                kinds, weights = table, counts
+                context = table_contexts[k]
+            else:
+                both = (table_contexts[k] << ends) | (table & np.uint64(511))
+                kinds, weights = summed(both, counts)
+                context = kinds >> ends
+            before = (context >> np.uint64(45)).astype(np.int64) - 1
+            own = np.where(before < 0, END, before) * SYMBOLS + (kinds & np.uint64(511)).astype(np.int64)
+            branch, at, own_steps = decisions(self.tree, own)
+            keys = np.repeat(context, own_steps) << np.uint64(8) | (at % inner.astype(np.uint32))
+            order = np.argsort(keys, kind="stable")
+            keys, branch = keys[order], branch[order]
+            weights = np.repeat(weights, own_steps)[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            if len(first):
+                total = np.add.reduceat(weights, first)
+                hits = np.add.reduceat(weights * branch, first)
+                known, odds = keys[first], log_odds(total - hits, hits)
+                wanted = np.repeat(contexts[k], steps) << np.uint64(8) | (node % inner.astype(np.uint32))
+                place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                result[k] = np.where(known[place] == wanted, odds[place], 0)
+        word = CONTEXTS.index(0)
+        letters = np.repeat(contexts[word] & np.uint64(511), steps)
+        few = letters < 2
+        result[word, few] = self.short[letters[few].astype(np.int64), node[few]]
         return result
 
-    def _coded(self, symbols: np.ndarray, offsets: np.ndarray, low: int, high: int) -> np.ndarray:
-        if (low, high) != (0, len(symbols)):
-            before = max(0, low - 8)
-            edges = np.array([0, high - before])
-            hashes = [h[low - before:] for h in context_hashes(symbols[before:high], edges)]
-            pairs = pairs_of(symbols[before:high], edges)[low - before:]
-            symbols, offsets = symbols[low:high], np.array([0, high - low])
-        else:
-            hashes, pairs = context_hashes(symbols, offsets), pairs_of(symbols, offsets)
-        branch, slots, steps = decisions(self.tree, pairs, hashes)
+
+def coded_bits(tree: CodeTrees, grams: np.ndarray, odds: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Total code length in bits of every text, its end included.
+
+    ``odds`` are those of the decisions of ``grams``, among which are all grams of the texts.
+    """
+    steps = tree.length[gram_pairs(grams)]
+    order = np.argsort(grams, kind="stable")
+    grams, begin = grams[order], (np.cumsum(steps) - steps)[order]
+
+    def coded(symbols: np.ndarray, offsets: np.ndarray, low: int, high: int) -> np.ndarray:
+        before = max(0, low - 8)
+        edges = np.unique(np.clip(offsets, before, high)) - before
+        found = pa.array(grams_of(symbols[before:high], edges)[low - before:]).dictionary_encode()
+        kinds = found.dictionary.to_numpy()
+        place, which = np.searchsorted(grams, kinds), found.indices.to_numpy()
+        pairs = gram_pairs(kinds)[which]
+        branch, _, steps = decisions(tree, pairs)
+        slot = ranges(begin[place][which], steps)
+        offsets = np.clip(offsets, low, high) - low
         sizes = np.diff(offsets)
         parts = -(-sizes // SEGMENT)
-        begin = np.repeat(offsets[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * SEGMENT
+        starts = np.repeat(offsets[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * SEGMENT
         total = np.concatenate([[0], np.cumsum(steps)])
-        ends = np.append(begin[1:], len(symbols))
-        cost = mixed_bits(list(self.odds), slots, branch, total[begin], total[ends], GATES)
+        ends = np.append(starts[1:], high - low)
+        cost = mixed_bits(list(odds), [slot] * len(odds), branch, total[starts], total[ends], GATES)
         return np.bincount(np.repeat(np.arange(len(parts)), parts), weights=cost, minlength=len(parts))
 
+    result = np.zeros(len(texts))
+    lengths = np.diff(utf8(texts)[1])
+    for start, stop in slices(lengths, SLICE):
+        symbols, offsets = symbols_of(texts.slice(start, stop - start))
+        if int(lengths[start]) <= SLICE:
+            result[start:stop] = coded(symbols, offsets, 0, len(symbols))
+        else:  # one long text, whole segments at a time
+            window = SLICE // SEGMENT * SEGMENT
+            result[start] = sum(
+                coded(symbols, offsets, low, min(low + window, len(symbols))).sum()
+                for low in range(0, len(symbols), window))
+    return result
+
+
+def gram_slices(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The grams of all positions of ``texts``, a part of about ``size`` symbols at a time."""
+    for start, stop in slices(np.diff(utf8(texts)[1]), size):
+        symbols, offsets = symbols_of(texts.slice(start, stop - start))
+        for low in range(0, len(symbols), size):  # a long text in windows
+            high = min(low + size, len(symbols))
+            before = max(0, low - 8)
+            edges = np.unique(np.clip(offsets, before, high)) - before
+            yield grams_of(symbols[before:high], edges)[low - before:]
+
+
+@dataclass
+class Mixer:
+    """The code tree and the training texts' grams: rows (bucket, grams, counts), stored.
+
+    The table grows with the distinct grams of the corpus; contexts of up to five symbols are kept
+    exactly, so no two share their counts.
+    """
+
+    shared: Shared
+    table: DataFrame = field(repr=False)
+    buckets: int
+
+    def bits(self, texts: pa.Array) -> np.ndarray:
+        """Code lengths of a few texts, looked up here; ``block_bits`` does it for a table."""
+        grams, odds = np.unique(np.concatenate([np.zeros(0, np.uint64), *gram_slices(texts, 4 * SLICE)])), []
+        order, edges = dealt(grams, self.buckets)
+        grams = grams[order]
+        held = {r["bucket"]: r for r in self.table.collect()}
+        for b in range(self.buckets):
+            own = (expand_grams(held[b]["grams"]), expand(held[b]["counts"], np.int64)) if b in held else (
+                np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            odds.append(self.shared.odds(*own, grams[edges[b]:edges[b + 1]]))
+        return coded_bits(self.shared.tree, grams, np.concatenate(odds, axis=1), texts)
+
+    @property
+    def odds(self) -> np.ndarray:
+        """The log odds at the decisions of all grams by bucket, collected; for small models."""
+        rows = sorted(self.table.collect(), key=lambda r: r["bucket"])
+        return np.concatenate([np.zeros((len(CONTEXTS), 0), np.float32), *(
+            self.shared.odds(expand_grams(r["grams"]), expand(r["counts"], np.int64), expand_grams(r["grams"]))
+            for r in rows)], axis=1)
+
 
 def mixed_bits(
     odds: list[np.ndarray], slots: list[np.ndarray], branch: np.ndarray,
@@ -239,84 +383,141 @@ def mixed_bits(
 
 
 def train(docs: DataFrame, text: str = "text") -> Mixer:
-    """Code tree and predictor tables from every text of ``docs``; a null text is an empty one.
+    """Code tree and counts of grams from every text of ``docs``; a null text is an empty one.
 
-    A task counts branches per slot in arrays of fixed size; chunks of them are summed in Spark.
-    What comes back to the driver has the same size for any corpus.
+    Tasks count distinct grams, which are summed by bucket in Spark and stored. The driver gets
+    pairs of symbols only, for the tree and for words of fewer than two letters.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
+    buckets = bucket_count(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            grams, counts = summed(*(np.concatenate(c) for c in zip(*held)))
+            order, edges = dealt(grams, buckets)
+            grams, counts = grams[order], counts[order]
+            full = np.flatnonzero(np.diff(edges))
+            return pa.RecordBatch.from_arrays([
+                pa.array(full.astype(np.int32)),
+                pa.array([squeeze_grams(grams[edges[b]:edges[b + 1]]) for b in full], pa.binary()),
+                pa.array([squeeze(counts[edges[b]:edges[b + 1]]) for b in full], pa.binary()),
+            ], ["bucket", "grams", "counts"])
+
+        for batch in batches:
+            for grams in gram_slices(batch["text"], 4 * SLICE):
+                held.append(np.unique(grams, return_counts=True))
+                rows += len(held[-1][0])
+                if rows >= GRAMS:
+                    held = [summed(*(np.concatenate(c) for c in zip(*held)))]
+                    rows = len(held[0][0])
+                    if rows >= GRAMS // 2:
+                        yield flush()
+                        held, rows = [], 0
+        if rows:
+            yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        grams, counts = summed(
+            np.concatenate([expand_grams(b) for b in table["grams"].to_pylist()]),
+            np.concatenate([expand(b, np.int64) for b in table["counts"].to_pylist()]))
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "grams": pa.array([squeeze_grams(grams)], pa.binary()),
+                         "counts": pa.array([squeeze(counts)], pa.binary())})
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    schema = "bucket int, grams binary, counts binary"
+    table = stored(rows.mapInArrow(count, schema).groupBy("bucket").applyInArrow(add, schema), "grams")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3 * SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            for start, stop in slices(np.diff(utf8(batch["text"])[1]), 4 * SLICE):
-                pairs = pairs_of(*symbols_of(batch["text"].slice(start, stop - start)))
-                total += np.bincount(pairs, minlength=len(total))
+            for g, c in zip(batch["grams"].to_pylist(), batch["counts"].to_pylist()):
+                grams, counts = expand_grams(g), expand(c, np.int64)
+                letters = np.minimum(contexts_of(grams)[CONTEXTS.index(0)] & np.uint64(511), 2).astype(np.int64)
+                total += np.bincount(letters * (SYMBOLS * SYMBOLS) + gram_pairs(grams), weights=counts,
+                                     minlength=len(total)).astype(np.int64)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["pair", "n"])
 
-    counted = rows.mapInArrow(histogram, "pair bigint, n bigint").groupBy("pair").agg(
-        F.sum("n").alias("n")).collect()
-    counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    for r in counted:
+    counts = np.zeros(3 * SYMBOLS * SYMBOLS, np.int64)
+    for r in table.mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"]] = r["n"]
-    tree = CodeTrees.build(counts.reshape(SYMBOLS, SYMBOLS))
+    counts = counts.reshape(3, -1)
+    tree = CodeTrees.build(counts.sum(axis=0).reshape(SYMBOLS, SYMBOLS))
+    short = []
+    for own in counts[:2]:
+        branch, node, steps = decisions(tree, np.arange(SYMBOLS * SYMBOLS))
+        weights = np.repeat(own, steps)
+        total = np.bincount(node, weights=weights, minlength=SYMBOLS * 256)
+        hits = np.bincount(node, weights=weights * branch, minlength=SYMBOLS * 256)
+        short.append(log_odds(total - hits, hits))
+    return Mixer(Shared(tree, np.array(short)), table, buckets)
+
+
+def block_bits(blocks: DataFrame, model: Mixer) -> DataFrame:
+    """(block, bits): the code lengths of the texts kept in ``blocks``, in their order.
+
+    A block asks for its distinct grams, cut into the buckets of the model's table; the odds of
+    their decisions travel back to it.
+    """
+    held = Shipped(blocks.sparkSession, model.shared)
+    buckets = model.buckets
+    heads = blocks.filter("bucket IS NULL").select("block", "text_sizes", "text_data")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(CONTEXTS), 2 << SLOT_BITS), np.int32)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.diff(utf8(batch["text"])[1])
-            for start, stop in slices(lengths, 4 * SLICE):
-                symbols, offsets = symbols_of(batch["text"].slice(start, stop - start))
-                for low in range(0, len(symbols), 4 * SLICE):  # a long text in windows
-                    high = min(low + 4 * SLICE, len(symbols))
-                    before = max(0, low - 8)
-                    edges = np.unique(np.clip(offsets, before, high)) - before
-                    hashes = [h[low - before:] for h in context_hashes(symbols[before:high], edges)]
-                    pairs = pairs_of(symbols[before:high], edges)[low - before:]
-                    branch, slots, _ = decisions(tree, pairs, hashes)
-                    for k, slot in enumerate(slots):
-                        table[k] += np.bincount(
-                            slot.astype(np.int64) * 2 + branch, minlength=2 << SLOT_BITS).astype(np.int32)
-        for k in range(len(CONTEXTS)):
-            chunks = table[k].reshape(-1, 2 * CHUNK)
-            full = np.flatnonzero(chunks.any(axis=1))
-            if len(full):
+            for block, sizes, data in zip(*(batch[c] for c in ("block", "text_sizes", "text_data"))):
+                texts = unpack_strings(sizes.as_py(), data.as_py())
+                parts = [pa.array(g).unique().to_numpy() for g in gram_slices(texts, SLICE)]
+                grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+                order, edges = dealt(grams, buckets)
+                grams = grams[order]
+                full = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(full), k, np.int32)), pa.array(full.astype(np.int32)),
-                    pa.array([squeeze(chunks[c].astype(np.int64)) for c in full], pa.binary()),
-                ], ["predictor", "chunk", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 * CHUNK, np.int64)
-        for blob in table["counts"]:
-            total += expand(blob.as_py(), np.int64)
-        pairs = total.reshape(-1, 2)
-        odds = np.log((pairs[:, 1] + 0.3) / (pairs[:, 0] + 0.3))
-        odds = np.where(pairs.sum(axis=1) > 0, np.where(odds == 0, 1e-6, odds), 0).astype(np.float32)
-        return pa.table({"predictor": table["predictor"].slice(0, 1), "chunk": table["chunk"].slice(0, 1),
-                         "odds": pa.array([squeeze(odds)], pa.binary())})
-
-    chunks = rows.mapInArrow(count, "predictor int, chunk int, counts binary").groupBy(
-        "predictor", "chunk").applyInArrow(add, "predictor int, chunk int, odds binary").toArrow()
-    odds = np.zeros((len(CONTEXTS), 1 << SLOT_BITS), np.float32)
-    for k, c, blob in zip(*(chunks[name].to_pylist() for name in ("predictor", "chunk", "odds"))):
-        odds[k, c * CHUNK:(c + 1) * CHUNK] = expand(blob, np.float32)
-    return Mixer(tree, odds)
-
-
-def with_bits(docs: DataFrame, model: Mixer, text: str = "text") -> DataFrame:
-    """``docs`` with ``bits``, the code length of each whole text under the model."""
-    held = Shipped(docs.sparkSession, model)
-
-    @F.arrow_udf("double")
-    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        mixer = held.get()
-        for batch in batches:
-            yield pa.array(mixer.bits(batch))
-
-    return docs.withColumn("bits", code(text))
+                    pa.array(np.full(len(full), block.as_py(), np.int64)), pa.array(full.astype(np.int32)),
+                    pa.array([squeeze_grams(grams[edges[b]:edges[b + 1]]) for b in full], pa.binary()),
+                ], ["block", "bucket", "grams"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = left["grams"].to_pylist()
+        table, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(right):
+            table, counts = expand_grams(right["grams"][0].as_py()), expand(right["counts"][0].as_py(), np.int64)
+        shared, blobs = held.get(), []
+        parts: list[np.ndarray] = []
+
+        def look_up() -> None:
+            grams, which = np.unique(np.concatenate(parts), return_inverse=True)
+            odds = shared.odds(table, counts, grams)
+            steps = shared.tree.length[gram_pairs(grams)]
+            begin, ends = np.cumsum(steps) - steps, np.cumsum([len(p) for p in parts])
+            for a, b in zip([0, *ends[:-1]], ends):
+                blobs.append(squeeze(odds[:, ranges(begin[which[a:b]], steps[which[a:b]])]))
+
+        for blob in asked:
+            parts.append(expand_grams(blob))
+            if sum(len(p) for p in parts) >= GRAMS:
+                look_up()
+                parts = []
+        if parts:
+            look_up()
+        return pa.table({"block": left["block"], "grams": left["grams"], "odds": pa.array(blobs, pa.binary())})
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = unpack_strings(left["text_sizes"][0].as_py(), left["text_data"][0].as_py())
+        grams = np.concatenate([np.zeros(0, np.uint64), *(expand_grams(b) for b in right["grams"].to_pylist())])
+        odds = np.concatenate([np.zeros((len(CONTEXTS), 0), np.float32), *(
+            expand(b, np.float32).reshape(len(CONTEXTS), -1) for b in right["odds"].to_pylist())], axis=1)
+        bits = coded_bits(held.get().tree, grams, odds, texts)
+        return pa.table({"block": left["block"].slice(0, 1), "bits": pa.array([bits.tolist()], pa.list_(pa.float64()))})
+
+    asked = heads.mapInArrow(ask, "block bigint, bucket int, grams binary")
+    values = asked.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInArrow(
+        answer, "block bigint, grams binary, odds binary")
+    return stored(heads.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
+        code, "block bigint, bits array<double>"), "bits")
 
 
 def _words():
@@ -355,22 +556,20 @@ def language_scores(docs: DataFrame, model: Mixer, training: str, doc_id: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(training), F.lit(False)).alias("training"),
                        F.col(text).alias("text"))
     rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    held = Shipped(docs.sparkSession, model)
-    # Coded in the pass that counts the words: one worker per task, and the texts move once.
     blocks = count_blocks(
-        rows, _words, bucket_count(docs), ["doc_id", "training", "size"], weight="training",
-        measure=("bits", lambda: held.get().bits))
+        rows, _words, bucket_count(docs), ["doc_id", "training", "size"], weight="training", texts=True)
+    heads = blocks.filter("bucket IS NULL").join(block_bits(blocks, model), "block")
     columns = ["doc_id", "training", "size", "bits"]
     values = value_words(blocks, _counts)
     values = stored(values, "word-counts")
-    summed = sum_values(blocks, values, columns, _measures, ["log", "known"])
+    sums = sum_values(heads, values, columns, _measures, ["log", "known"])
     ends = blocks.filter("bucket IS NULL").agg(F.sum(F.aggregate(
         "training", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))).alias("n")).first()["n"] or 0
     totals = values.filter("block IS NULL").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
     tokens = (totals["n"] or 0) + ends
     kinds = (totals["v"] or 0) + (1 if ends else 0)
     n_tokens = F.col("n_words") + 1
-    return summed.select(
+    return sums.select(
         "doc_id", (~F.col("training")).alias("held_out"), n_tokens.cast("long").alias("n_tokens"),
         (F.col("known") + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

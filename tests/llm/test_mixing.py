@@ -160,3 +160,66 @@ def test_both_gates_select_one_of_four_weight_sets():
     got = mixed_bits(inputs, slots, branch, np.array([0]), np.array([400]), mixing.GATES)
     assert mixing.GATES == (1, 2) and math.isclose(got[0], bits, rel_tol=1e-4)
     assert not math.isclose(got[0], mixed_bits(inputs, slots, branch, np.array([0]), np.array([400]))[0], rel_tol=1e-5)
+
+
+def letters(rng, n):
+    return "".join(rng.choice(list("abcdefghijklmnop qrstuvwxyz,.ABCDEFGH\n"), n))
+
+
+def test_counts_are_exact_and_grow_with_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [letters(rng, 30_000) for _ in range(5)] + ["a b", None]
+    fresh = letters(rng, 20_000)
+    model = train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    counts = Counter()
+    ways = {}
+
+    def walk(text):
+        """(predictor, context, node), branch of every decision; contexts are plain strings."""
+        body = [*(text or "").encode(), END]
+        for i, symbol in enumerate(body):
+            pair = (body[i - 1] if i else END) * SYMBOLS + symbol
+            if pair not in ways:
+                first, size = model.shared.tree.first[pair], model.shared.tree.length[pair]
+                ways[pair] = [*zip(model.shared.tree.node[first:first + size].tolist(),
+                                   model.shared.tree.branch[first:first + size].tolist())]
+            history = bytes(body[max(0, i - 5):i])
+            word = re.search(rb"[^\x20\x09-\x0D]*\Z", history)[0]
+            contexts = [(i < w, history[-w:]) for w in (2, 3, 5)] + [(False, word)]
+            for node, branch in ways[pair]:
+                yield [(k, c, node) for k, c in enumerate(contexts)], branch
+
+    for text in texts:
+        for keys, branch in walk(text):
+            counts.update((key, branch) for key in keys)
+    seen = {}
+    original = mixed_bits
+
+    def watched(odds, slots, branch, *more):
+        seen["inputs"] = [o[s] for o, s in zip(odds, slots)]
+        return original(odds, slots, branch, *more)
+
+    monkeypatch.setattr(mixing, "mixed_bits", watched)
+    model.bits(pa.array([fresh]))
+    expected = [[], [], [], []]
+    for keys, _ in walk(fresh):
+        for k, key in enumerate(keys):
+            n0, n1 = counts[key, 0], counts[key, 1]
+            expected[k].append((math.log((n1 + 0.3) / (n0 + 0.3)) or 1e-6) if n0 + n1 else 0)
+    for got, wanted in zip(seen["inputs"], expected):
+        assert np.allclose(got, wanted, rtol=1e-5, atol=1e-7)
+    # Few of a fresh text's five-letter contexts were ever counted, however many others were.
+    assert np.mean(seen["inputs"][2] != 0) < 0.05
+
+
+@pytest.mark.parametrize("block, grams", [(3000, 500), (16_000_000, 2_000_000)])
+def test_blocks_meet_the_whole_table(spark, monkeypatch, block, grams):
+    monkeypatch.setattr(block_counts, "BLOCK_BYTES", block)
+    monkeypatch.setattr(mixing, "GRAMS", grams)
+    rng = np.random.default_rng(4)
+    texts = [letters(rng, 700) for _ in range(12)] + ["", None, "the river " * 300]
+    docs = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, training boolean").repartition(2)
+    model = train(docs.filter("training"))
+    got = {r.doc_id: -r.score / math.log10(2) for r in language_scores(docs, model, "training").collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], model.bits(pa.array(texts)), rtol=1e-5)
