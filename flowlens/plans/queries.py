@@ -952,11 +952,24 @@ def fedavg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with ``split``: train for the clients, val and test that no client trains on."""
+    return sp.stratified_split(
+        vectors(spark, sf_dir).withColumn("cls", F.col("label").cast("string")), "cls", ["vec_id"],
+        stream=0.0, train=0.7, val=0.15)
+
+
 def _client_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fd.lay_out_clients(_skewed(spark, sf_dir), "vec_id", shard_rows=400)
+    rows = _parts(spark, sf_dir).filter("split = 'train'").select("vec_id", "features", "label")
+    clients = pt.assign_clients(rows, 4, 0.5, keys=["vec_id"], min_samples=50)
+    return fd.lay_out_clients(clients, "vec_id", shard_rows=400)
+
+
+def _held_out(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    return _parts(spark, sf_dir).filter(F.col("split") == split).select("vec_id", "features", "label")
 
 
-SMALL_NET = (64, 16, 10)
+NET = (64, 256, 128, 64, 10)
 
 
 def _history(spark: SparkSession, history: list[dict]) -> DataFrame:
@@ -969,26 +982,26 @@ def _history(spark: SparkSession, history: list[dict]) -> DataFrame:
 
 @query()
 def fedavg_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = fd.LocalTraining(SMALL_NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
+    settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
     _, history = fd.fit_federated(
-        _client_table(spark, sf_dir), vectors(spark, sf_dir), settings, rounds=2)
+        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "val"), settings, rounds=3)
     return _history(spark, history)
 
 
 @query()
 def fedprox_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = fd.LocalTraining(SMALL_NET, epochs=1, rate=0.1, batch=64, dropout=0.0, mu=0.01)
+    settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0, mu=0.01)
     _, history = fd.fit_federated(
-        _client_table(spark, sf_dir), vectors(spark, sf_dir), settings, rounds=2,
+        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "val"), settings, rounds=3,
         fraction_fit=0.75)
     return _history(spark, history)
 
 
 @query()
 def local_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = fd.LocalTraining(SMALL_NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
+    settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
     scores = fd.fit_local_only(
-        _client_table(spark, sf_dir), vectors(spark, sf_dir), settings, rounds=2)
+        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "test"), settings, rounds=3)
     return fd.local_only_summary(scores)
 
 
@@ -1002,14 +1015,14 @@ def _train_and_val(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 @query()
 def mlp_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = _train_and_val(spark, sf_dir)
-    model, _ = bl.fit_mlp_baseline(train, val, SMALL_NET, max_epochs=10, step=5)
+    model, _ = bl.fit_mlp_baseline(train, val, NET, max_epochs=10, step=5)
     return ev.classification_metrics(bl.predict_mlp(model, val), "label", "prediction")
 
 
 @query()
 def tree_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = _train_and_val(spark, sf_dir)
-    model = bl.fit_tree_baseline(train, val, 10, max_trees=2, max_depth=2)
+    model = bl.fit_tree_baseline(train, val, 10, max_trees=500, max_depth=8)
     return ev.classification_metrics(model.predict(val), "label", "prediction")
 
 
