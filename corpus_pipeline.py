@@ -30,6 +30,9 @@ def _with_row(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; texts that are null or have no letter go.
 
+    So do texts whose best language has less than half of the probability of all, such as short
+    ones shared by three close languages. Without any labelled document nothing is kept.
+
     The trees learn from the labelled documents whose crc32(doc_id) modulo 4 is not 2.
     """
     model = train(docs.filter(doc_remainder(4) != 2))

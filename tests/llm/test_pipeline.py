@@ -98,3 +98,14 @@ def test_queries_over_a_table(spark, name):
         assert difference(frame, connect("/root/testdata/sf0.001"), ORACLES[name]) is None
     else:
         assert frame.count() > 0
+
+
+def test_language_stage_needs_half_of_the_probability_and_labels(spark):
+    text = " ".join(COMMON)
+    shared = [(i, text, lang, "s", 1, "x", 0.5) for i in range(12) for lang in ("aa", "bb", "cc")]
+    docs = spark.createDataFrame(shared, SCHEMA)
+    assert corpus_pipeline.language(spark, docs, "").count() == 0  # three equal trees: a third each
+    alone = spark.createDataFrame([(*r[:2], "aa", *r[3:]) for r in shared], SCHEMA)
+    assert corpus_pipeline.language(spark, alone, "").count() == len(shared)
+    unlabelled = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in shared], SCHEMA)
+    assert corpus_pipeline.language(spark, unlabelled, "").count() == 0
