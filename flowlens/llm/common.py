@@ -161,3 +161,17 @@ def connected(edges: DataFrame) -> DataFrame:
     tops = links.select(F.col("other").alias("node")).distinct()
     return links.select("node", F.col("other").alias("component")).unionByName(
         tops.select("node", F.col("node").alias("component")))
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the maximal runs of marked bytes; no run crosses the end of a text."""
+    none = np.zeros(0, np.int64)
+    if not len(inside):
+        return none, none, none
+    first = np.zeros(len(inside) + 1, bool)
+    first[offsets] = True
+    before = np.concatenate([[False], inside[:-1]])
+    after = np.concatenate([inside[1:], [False]])
+    starts = np.flatnonzero(inside & (first[:-1] | ~before))
+    ends = np.flatnonzero(inside & (first[1:] | ~after)) + 1
+    return starts, ends, np.searchsorted(offsets[1:], starts, side="right")

@@ -8,17 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import doc_remainder, read
+from flowlens.llm.common import doc_remainder, read, stored
 from flowlens.llm.langid import identify, train
 from flowlens.llm.mixing import language_scores
 from flowlens.llm.mixing import train as train_mixer
 from flowlens.llm.near_vectors import near_vectors
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.quality import RULES, STOP_FORMS, quality_rules
+from flowlens.llm.resampling import resample
 from flowlens.llm.sentence_pieces import round_trip_digests
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.simhash import hex_fingerprint, simhash_groups
+from flowlens.llm.spelling import ERASE, spelling_groups, vocabulary
 from flowlens.llm.token_counts import token_counts
+from flowlens.llm.url_filter import UrlRule, judge_urls, url_host
 from flowlens.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +157,123 @@ def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("training", doc_remainder(7) != 2)
     model = train_mixer(docs.filter("training"))
     return language_scores(docs.select("doc_id", "text", "training"), model, "training")
+
+
+# The remainders of the bytes in the CRC-32, by the rule of its polynomial; an expression over bytes.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(
+    list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+  AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes; ``t`` is the table above."""
+    body = f"hex(encode({text}))"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), "
+            f"lambda i: ('0x' || substr({body}, 2 * i + 1, 2))::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+OP11_COLUMNS = ["doc_id", "n_features", "weight", "score", "rank"]
+
+
+@query(f"""WITH {CRC_TABLE},
+bodies AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+worded AS (SELECT side, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM bodies),
+spelt AS (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
+    lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded),
+counted AS (SELECT side, doc_id, f, count(*) AS n FROM spelt GROUP BY ALL),
+coded AS (SELECT f, {crc_sql('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc_table),
+placed AS (SELECT side, doc_id, bucket, sum(n) AS n FROM counted JOIN coded USING (f) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0) AS s_all, coalesce(sum(n) FILTER (side = 'b'), 0) AS t_all
+  FROM placed),
+sides AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM sides, totals),
+means AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (SELECT w.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score, len(w.w) >= 20 AS fit
+  FROM worded w LEFT JOIN means m ON w.doc_id = m.doc_id WHERE side = 'd'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r,
+    count(*) OVER (PARTITION BY fit) AS fits FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 25 * fits // 100 THEN r END AS rank FROM numbered""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, read(spark, sf_dir, "benchmark")).select(*OP11_COLUMNS)
+
+
+OP12_COLUMNS = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+@query(f"""WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents),
+small AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM runs GROUP BY ALL),
+hashed AS (SELECT w, n, {crc_sql("doc_id || ':' || w")} AS h FROM small, crc_table WHERE length(w) >= 7),
+written AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n
+  FROM hashed),
+vocab AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM
+  (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word FROM gaps g JOIN vocab v ON g.rest = v.word
+  UNION SELECT v.word, g.word FROM gaps g JOIN vocab v ON g.rest = v.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, max(n) AS top FROM pairs JOIN (SELECT word AS other, n FROM vocab) USING (other)
+  GROUP BY word),
+forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN top >= 10 * v.n THEN (SELECT min(p.other) FROM pairs p JOIN vocab o ON p.other = o.word
+      WHERE p.word = v.word AND o.n = b.top) END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n
+  FROM vocab v LEFT JOIN best b ON v.word = b.word),
+walk AS (SELECT word, word AS top FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON w.top = f.word
+  WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.top AS root FROM walk w JOIN forms f ON w.top = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = stored(vocabulary(docs, erase=ERASE), "vocabulary")
+    return spelling_groups(words).select(*OP12_COLUMNS)
+
+
+# The rules of the query, and the words that name the hosts whose pages are listed.
+URL_RULES = (
+    UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"),
+    UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"),
+    UrlRule("block", "net", "/fr/"),
+)
+LISTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+
+
+def _cases(result: str) -> str:
+    fits = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') "
+        f"THEN '{getattr(r, result)}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name)))
+    return f"CASE {fits} END"
+
+
+LISTED = " OR ".join(f"'{h}' IN (SELECT unnest(string_split(host, '.')))" for h in LISTED_HOSTS)
+
+
+@query(f"""WITH cut AS (SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+named AS (SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\\.', '') || rtrim(path, '/')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END AS canonical
+  FROM (SELECT *, list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'),
+    lambda p: p <> '' AND NOT starts_with(p, 'utm_')) AS params FROM cut)),
+listed AS (SELECT DISTINCT canonical AS name FROM named WHERE {LISTED})
+SELECT page_id, host, path, {_cases('name')} AS rule,
+  coalesce({_cases('verdict')}, CASE WHEN name IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM named LEFT JOIN listed ON canonical = name""")
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of the pages whose host has one of the listed names in it."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = F.split(url_host(F.col("url")), r"\.")
+    listed = pages.filter(F.arrays_overlap(labels, F.array(*[F.lit(h) for h in LISTED_HOSTS]))).select("url")
+    return judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
