@@ -4,9 +4,9 @@ A row's random position is a 128-bit hash of ``seed`` and its identifying
 ``keys``, so it depends neither on how the input is partitioned nor on retries.
 Ranking a class means ordering it by that hash.
 
-* ``stable_rank`` gives every row its exact rank. Classes are cut into hash
-  buckets, so a class holding a third of the table is ranked by thousands of
-  tasks; the only shuffle of the rows is by (class, bucket).
+* ``stable_rank`` gives every row its exact rank. Rows are sorted in ranges of
+  (class, hash, row), so neither a class nor a row copied into a third of the
+  table is one task; the rows are shuffled once.
 * ``assign_intervals`` answers the more common question "is this row's rank
   in ]lo, hi]?". It finds the hash at each boundary rank from a histogram and a
   look into the few boundary buckets, then labels rows by comparing hashes: two
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from flowlens.session import MAX_BROADCAST_ROWS, broadcast_rows, durable
 
+# Buckets per group of the table that intervals are joined by.
 BUCKET_BITS = 12
 # Distinct groups that the driver may hold.
 MAX_GROUPS = 500_000
@@ -60,7 +61,7 @@ def _keyed(
     group = F.col(by) if by else F.lit(0)
     return df.select(
         "*", group.alias("_g"), high.alias("_h1"), low.alias("_h2")
-    ).withColumn("_b", F.shiftright("_h1", HASH_BITS - bits).cast("int"))
+    ).withColumn("_b", F.shiftright("_h1", HASH_BITS - bits))
 
 
 def with_row_key(
@@ -74,6 +75,46 @@ def with_row_key(
     return df.withColumn(column, F.xxhash64(*(of or df.columns)))
 
 
+def ordered_rows(df: DataFrame, by: str | None, order: Sequence[Column]) -> DataFrame:
+    """``df`` with its group ``_g`` and place ``_at``, dealt out by ranges of (group, order, row).
+
+    ``_at`` counts up along the rows of a task, its upper bits are the task. The row's own number
+    ends the sort key, so that copies, however many, are cut into ranges like other rows.
+    """
+    group = F.col(by) if by else F.lit(0)
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = ["_g", *names, "_copy"]
+    rows = df.select(
+        "*", group.alias("_g"), *[c.alias(n) for c, n in zip(order, names)],
+        F.monotonically_increasing_id().alias("_copy"))
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+        *df.columns, "_g", F.monotonically_increasing_id().alias("_at"))
+
+
+def rank_in_order(
+    df: DataFrame, by: str | None, order: Sequence[Column], column: str = "rank"
+) -> DataFrame:
+    """Add the 1-based rank of each row among those of its ``by`` value, in the given order.
+
+    Rows that are equal in the order get different ranks in no particular order. The rows are
+    sorted in ranges and stored; what each range holds of a group is counted, the counts before
+    it are summed in Spark, and a row's rank is that sum and its place in the range. No task
+    holds a group, nor all copies of a row.
+    """
+    placed = durable(ordered_rows(df, by, order))
+    # Each range adds a row, and each further group in it: never more than ranges and groups.
+    runs = durable(
+        placed.groupBy("_g", F.shiftright("_at", 33).alias("_part"))
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        F.col("_g").alias("_rg"), F.col("_part").alias("_rp"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    match = F.col("_g").eqNullSafe(F.col("_rg")) & (F.shiftright("_at", 33) == F.col("_rp"))
+    return placed.join(broadcast_rows(starts, runs.count()), match).select(
+        *df.columns, (F.col("_at") + F.col("_shift") + 1).alias(column))
+
+
 def stable_rank(
     df: DataFrame,
     by: str,
@@ -81,27 +122,13 @@ def stable_rank(
     seed: int = 42,
     column: str = "rank",
     portable: bool = False,
-    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Add the 1-based rank of each row in the random order of its ``by`` value.
 
     ``keys`` (default: all columns) should identify a row; copies get different
-    ranks in no particular order. The bucket offsets share the partitioning of
-    the ranked rows, so joining them shuffles nothing more.
+    ranks in no particular order. Runs jobs when called (``rank_in_order``).
     """
-    keyed = _keyed(df, by, keys, seed, portable, bits)
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-        .withColumnsRenamed({"_g": "_og", "_b": "_ob"})
-    )
-    within = Window.partitionBy("_g", "_b").orderBy("_h1", "_h2")
-    ranked = keyed.withColumn("_rn", F.row_number().over(within))
-    match = ranked["_g"].eqNullSafe(offsets["_og"]) & (ranked["_b"] == offsets["_ob"])
-    return ranked.join(offsets, match).select(
-        *df.columns, (F.col("_rn") + F.col("_offset")).alias(column)
-    )
+    return rank_in_order(df, by, hash_pair(keys or df.columns, seed, portable), column)
 
 
 def group_sizes(df: DataFrame, by: str | None) -> dict[Any, int]:
@@ -118,8 +145,8 @@ def group_sizes(df: DataFrame, by: str | None) -> dict[Any, int]:
 
 
 def histogram_bits(largest_rank: int) -> int:
-    """Hash bits for a histogram with about 100 000 rows per bucket, within 64 to 16 384 buckets."""
-    return min(14, max(6, (largest_rank // 100_000).bit_length()))
+    """Hash bits for a histogram with about 100 000 rows per bucket, of 64 buckets at least."""
+    return min(HASH_BITS, max(6, (largest_rank // 100_000).bit_length()))
 
 
 def boundary_hashes(

@@ -42,37 +42,46 @@ def list_rows(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
-def matrix_of(lists: pa.Array, width: int) -> np.ndarray:
+def matrix_of(lists: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
     """An Arrow list array as a matrix; a NULL element counts as 0, another length fails."""
     values = lists.flatten()
     if len(values) != len(lists) * width:
         raise ValueError(f"feature vectors do not all have {width} elements")
     if values.null_count:
         values = values.fill_null(0.0)
-    return values.to_numpy(zero_copy_only=False).reshape(len(lists), width).astype(np.float64)
+    return values.to_numpy(zero_copy_only=False).reshape(len(lists), width).astype(kind, copy=False)
+
+
+# Rows that pass through the network at once: a layer's arrays then stay in the cache.
+FORWARD_ROWS = 1024
 
 
 def class_probabilities(
-    vector: Column | str, model: Model, stats: FeatureStats | None = None
+    vector: Column | str, model: Model, stats: FeatureStats | None = None, single: bool = False
 ) -> Column:
     """Class probabilities of a feature array.
 
     Arrow batches go through the dense layers as one matrix product per layer.
     With ``stats`` the vector holds raw features, which are standardised first
-    and rounded to single precision like the served model's input.
+    and rounded to single precision like the served model's input. ``single``
+    computes the layers in single precision, as a served model does.
     """
-    dims, weights = tuple(model.dims), np.asarray(model.weights, dtype=np.float64)
+    dims, kind = tuple(model.dims), np.float32 if single else np.float64
+    weights = np.asarray(model.weights, dtype=kind)
     mean = None if stats is None else np.array(stats.mean)
     std = None if stats is None else np.array(stats.std)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<float>" if single else "array<double>")
     def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = matrix_of(batch, dims[0])
+            x = matrix_of(batch, dims[0], np.float64 if mean is not None else kind)
             if mean is not None:
-                x = ((np.sign(x) * np.log1p(np.abs(x)) - mean) / std).astype(np.float32)
-                x = x.astype(np.float64)
-            yield list_rows(softmax_rows(logits(weights, dims, x)))
+                x = ((np.sign(x) * np.log1p(np.abs(x)) - mean) / std).astype(np.float32).astype(kind)
+            result = np.empty((len(x), dims[-1]), kind)
+            for at in range(0, len(x), FORWARD_ROWS):
+                part = slice(at, at + FORWARD_ROWS)
+                result[part] = softmax_rows(logits(weights, dims, x[part]))
+            yield list_rows(result)
 
     return probabilities(vector)
 

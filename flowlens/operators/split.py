@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from flowlens.operators.ranking import assign_intervals, group_sizes
+from flowlens.operators.ranking import HASH_BITS, assign_intervals, group_sizes, hash_pair
 
 # Default fractions.
 STREAM_FRACTION = 0.03
@@ -116,10 +116,17 @@ def stratified_sample(
     return assign_intervals(df, plan, by, "int", "_kept", keys, seed, portable).drop("_kept")
 
 
-def bernoulli_cap(df: DataFrame, cap: int, by: str, seed: int = 42) -> DataFrame:
-    """Sample to about ``cap`` rows with one independent draw per row."""
-    sizes = group_sizes(df, by)
-    total = sum(sizes.values())
+def bernoulli_cap(
+    df: DataFrame, cap: int, by: str, keys: Sequence[str] | None = None, seed: int = 42,
+    portable: bool = False,
+) -> DataFrame:
+    """Sample to about ``cap`` rows with one independent draw per row.
+
+    The draw is the row's hash against a threshold, so it depends on seed and ``keys`` (default:
+    all columns) only, not on partitions or retries; copies of a row share their draw. All ``by``
+    values have the same chance.
+    """
+    total = sum(group_sizes(df, by).values())
     if total <= cap:
         return df
-    return df.stat.sampleBy(by, {g: cap / total for g in sizes}, seed)
+    return df.filter(hash_pair(keys or df.columns, seed, portable)[0] < int(cap / total * 2**HASH_BITS))

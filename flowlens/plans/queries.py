@@ -29,13 +29,14 @@ from flowlens.operators import ranking as rk
 from flowlens.operators import reports as rp
 from flowlens.operators import scoring as sc
 from flowlens.operators import split as sp
+from flowlens.operators.ranking import group_sizes
 from flowlens.plans.etl import run_stages
 from flowlens.plans.fixtures import (
     EVENT_MODEL_STATS, EVENT_TAXONOMY, LINE_FEATURES, LINE_KEYS, TEN, alerts, centralized_runs,
     dense_model, dense_weight, dirty_lines, federated_runs, flow_events, labelled_events, line_flows,
     linear_model, millis, rounded, run_documents, table, vectors,
 )
-from flowlens.session import scratch_path
+from flowlens.session import durable, scratch_path
 from flowlens.sources.flows import read_flow_csv, to_flow_events
 from flowlens.sources.runs import read_result_csv
 from flowlens.sources.sinks import (
@@ -442,10 +443,13 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         portable=True)
 
 
-@query()
+@query(f"WITH {RANKED} SELECT label_8, l_orderkey, l_linenumber, l_partkey, l_suppkey, ship_ms "
+       "FROM ranked WHERE all_rows <= 5000 OR ('0x' || substr(h, 1, 15))::BIGINT "
+       "< CAST(floor(5000 / all_rows * 1152921504606846976::DOUBLE) AS BIGINT)")
 def bernoulli_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.bernoulli_cap(
-        line_flows(spark, sf_dir).select("label_8", *LINE_KEYS), 5000, "label_8")
+        line_flows(spark, sf_dir).select("label_8", *LINE_KEYS), 5000, "label_8", LINE_KEYS,
+        portable=True)
 
 
 # --- Evaluation ----------------------------------------------------------------------
@@ -940,33 +944,36 @@ SELECT CAST(CASE WHEN j = 64 THEN 640 + c.v ELSE c.v * 64 + j END AS INTEGER),
 FROM totals CROSS JOIN range(10) c(v) WHERE c.v NOT IN (SELECT label FROM train)""")
 def fedavg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One full-batch step per client from zero weights, averaged: a closed form in SQL."""
-    settings = fd.LocalTraining((64, 10), epochs=1, rate=0.5, batch=10**9, dropout=0.0)
+    settings = fd.LocalTraining((64, 10), epochs=1, rate=0.5, batch=10**9, dropout=0.0, block=16)
     clients = pt.assign_clients(
         vectors(spark, sf_dir), 4, "iid", keys=["vec_id"], portable=True)
-    rows = pt.client_holdout(clients, keys=["vec_id"], portable=True).select(
-        "client_id", F.lit(0).alias("shard"), F.col("vec_id").alias("row_key"),
-        "features", "label", "is_val")
-    trained = fd.train_clients(rows, np.zeros(650), settings)
+    rows = pt.client_holdout(clients, keys=["vec_id"], portable=True)
+    # Shards of 32 rows: every client's one step is the sum of several tasks.
+    laid = fd.lay_out(rows, "vec_id", group_sizes(rows, "client_id"), 32, 42)
+    trained = fd.train_clients(laid, np.zeros(650), settings, shard_rows=32)
     # Adding zero turns a rounded -0.0 into 0.0.
     return fd.federated_average(trained).select(
         "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors with ``split``: train for the clients, val and test that no client trains on."""
-    return sp.stratified_split(
+    """The vectors with ``split``: train for the clients, val and test that no client trains on.
+
+    Stored, as clients, validation and test are all read from it.
+    """
+    return durable(sp.stratified_split(
         vectors(spark, sf_dir).withColumn("cls", F.col("label").cast("string")), "cls", ["vec_id"],
-        stream=0.0, train=0.7, val=0.15)
+        stream=0.0, train=0.7, val=0.15))
 
 
-def _client_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parts(spark, sf_dir).filter("split = 'train'").select("vec_id", "features", "label")
-    clients = pt.assign_clients(rows, 4, 0.5, keys=["vec_id"], min_samples=50)
+def _client_table(parts: DataFrame) -> DataFrame:
+    rows = _held_out(parts, "train")
+    clients = durable(pt.assign_clients(rows, 4, 0.5, keys=["vec_id"], min_samples=50))
     return fd.lay_out_clients(clients, "vec_id", shard_rows=400)
 
 
-def _held_out(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    return _parts(spark, sf_dir).filter(F.col("split") == split).select("vec_id", "features", "label")
+def _held_out(parts: DataFrame, split: str) -> DataFrame:
+    return parts.filter(F.col("split") == split).select("vec_id", "features", "label")
 
 
 NET = (64, 256, 128, 64, 10)
@@ -983,25 +990,28 @@ def _history(spark: SparkSession, history: list[dict]) -> DataFrame:
 @query()
 def fedavg_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
+    parts = _parts(spark, sf_dir)
     _, history = fd.fit_federated(
-        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "val"), settings, rounds=3)
+        _client_table(parts), _held_out(parts, "val"), settings, rounds=3, shard_rows=400)
     return _history(spark, history)
 
 
 @query()
 def fedprox_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0, mu=0.01)
+    parts = _parts(spark, sf_dir)
     _, history = fd.fit_federated(
-        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "val"), settings, rounds=3,
-        fraction_fit=0.75)
+        _client_table(parts), _held_out(parts, "val"), settings, rounds=3, fraction_fit=0.75,
+        shard_rows=400)
     return _history(spark, history)
 
 
 @query()
 def local_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
+    parts = _parts(spark, sf_dir)
     scores = fd.fit_local_only(
-        _client_table(spark, sf_dir), _held_out(spark, sf_dir, "test"), settings, rounds=3)
+        _client_table(parts), _held_out(parts, "test"), settings, rounds=3, shard_rows=400)
     return fd.local_only_summary(scores)
 
 

@@ -49,3 +49,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists, on whatever file system it names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table of this job's own."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

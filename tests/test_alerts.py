@@ -8,7 +8,7 @@ from flowlens.labels import CLASSES
 from flowlens.operators.alerts import (
     delivery_report, latency_report, latest_alerts, live_summary, org_counts,
 )
-from flowlens.operators.quantiles import exact_percentiles
+from flowlens.operators.quantiles import exact_percentiles, order_key, value_of_key
 
 SCHEMA = ("event_id string, ts_event bigint, ts_scored bigint, latency_ms double, org_id string, "
           "device_id string, pred_class string, confidence double, is_attack boolean, true_label string")
@@ -61,11 +61,11 @@ def test_org_counts_are_ordered(spark):
 
 @settings(max_examples=5, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(s.lists(s.floats(-1e6, 1e6), min_size=1, max_size=400), s.sampled_from([10, 100, 100_000]))
-def test_percentiles_equal_numpy(spark, values, accuracy):
-    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+@given(s.lists(s.floats(-1e6, 1e6), min_size=1, max_size=400), s.sampled_from([(4, 1), (12, 20), (12, 20_000)]))
+def test_percentiles_equal_numpy(spark, values, limits):
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
     got = {r["fraction"]: r["value"]
-           for r in exact_percentiles(df, "v", [0.0, 0.5, 0.95, 0.99, 1.0], accuracy).collect()}
+           for r in exact_percentiles(df, "v", [0.0, 0.5, 0.95, 0.99, 1.0], *limits).collect()}
     for f, v in got.items():
         assert v == pytest.approx(np.percentile(values, f * 100), rel=1e-9, abs=1e-6)
     assert len(got) == 5
@@ -74,11 +74,34 @@ def test_percentiles_equal_numpy(spark, values, accuracy):
 def test_percentiles_with_one_hot_value(spark):
     values = [5.0] * 3000 + list(map(float, range(3000)))
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
-    got = {r["fraction"]: r["value"] for r in exact_percentiles(df, "v", [0.5, 0.95, 0.99], 50).collect()}
+    got = {r["fraction"]: r["value"]
+           for r in exact_percentiles(df, "v", [0.5, 0.95, 0.99], 8, 100).collect()}
     for f, v in got.items():
         assert v == pytest.approx(np.percentile(values, f * 100))
 
 
+def test_percentiles_hold_infinities_and_no_window(spark):
+    values = [float("-inf"), -1.0, 2.0, float("inf"), float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    keys = df.filter("NOT isnan(v)").select(order_key(F.col("v")).alias("_k"))
+    plan = keys.groupBy(F.shiftright("_k", 52)).count()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "partial_count" in plan
+    got = [r["value"] for r in exact_percentiles(df, "v", [0.0, 0.25, 0.5, 1.0]).collect()]
+    assert got == [float("-inf"), -1.0, 2.0, float("inf")]
+    assert exact_percentiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_order_keys_are_ordered_and_turn_back(spark):
+    edges = [5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 1.0, 0.1, 3.0,
+             0.9999999999999999, 1.0000000000000002, 2.0**60, 2.0**-60, 8.0, 7.999999999999999, float("inf")]
+    rng = np.random.default_rng(2)
+    values = sorted({*edges, *(-v for v in edges), 0.0, *(rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300)).tolist()})
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect()
+    keys = [r["k"] for r in sorted(rows, key=lambda r: r["v"])]
+    assert keys == sorted(set(keys)) and [value_of_key(k) for k in keys] == values
+    assert spark.sql("SELECT -0.0D AS v").select(order_key(F.col("v"))).first()[0] == 0
+
+
 def test_latency_report(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5)], "latency_ms double")
     got = {r["statistic"]: r["value"] for r in latency_report(df).collect()}

@@ -6,12 +6,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as s
 from pyspark.sql import functions as F
 
-from flowlens.functions.network import initial_weights, train_epochs
+from flowlens.functions.network import first_state, initial_weights, row_order, train_epochs
 from flowlens.operators.evaluate import overall_scores, per_class_scores
 from flowlens.operators.federated import (
-    LocalTraining, as_vectors, client_confusion, client_results, evaluate_models, evaluate_weights, federated_average, fit_federated,
-    fit_local_only, lay_out_clients, load_rounds, local_only_summary, megabytes_communicated,
-    round_summary, sample_clients, train_clients,
+    LocalTraining, as_vectors, client_confusion, client_results, evaluate_models, evaluate_weights,
+    federated_average, fit_federated, fit_local_only, lay_out_clients, load_rounds, local_only_summary,
+    mean_weights, megabytes_communicated, round_summary, run_document, sample_clients, train_clients,
 )
 from flowlens.operators.partition import (
     assign_clients, client_distribution, client_holdout, dirichlet_counts, dirichlet_plan, iid_plan,
@@ -142,31 +142,58 @@ def test_one_shard_equals_plain_training(spark, clients):
     rows = clients.filter("not is_val and client_id = 0").orderBy("row_key").collect()
     x = np.array([r["features"] for r in rows], dtype=np.float32).astype(float)
     y = np.array([r["label"] for r in rows])
-    seed = int(np.random.SeedSequence((42, 0, 0)).generate_state(1)[0])
-    w, loss = train_epochs(start, SETTINGS.dims, x, y, 2, 0.2, 32, seed)
+    keys = np.array([r["row_key"] for r in rows])
+    w, loss = train_epochs(start, SETTINGS.dims, x, y, 2, 0.2, 32, 42, keys=keys)
     np.testing.assert_allclose(got[0]["weights"], w, atol=1e-12)
     assert got[0]["loss"] == pytest.approx(loss) and got[0]["n"] == len(y)
+    mean = mean_weights(spark.createDataFrame([(g["n"], g["weights"]) for g in got.values()],
+                                              "n bigint, weights array<double>"))
+    assert mean == pytest.approx(np.average([g["weights"] for g in got.values()], axis=0,
+                                            weights=[g["n"] for g in got.values()]))
 
 
-def test_large_clients_are_cut_into_shards(spark):
-    df, _, _ = table(spark)
-    cut = lay_out_clients(assign_clients(df, 2, "iid", keys=["id"]), "id", shard_rows=150)
-    average = replace(SETTINGS, shards="average")
-    results = train_clients(cut, initial_weights(SETTINGS.dims, 42), average)
-    assert results.count() == 8
-    assert results.agg(F.sum("n")).first()[0] == cut.filter("not is_val").count()
-    assert results.agg(F.max("n")).first()[0] < 250
-    sequential = LocalTraining((6, 8, 3), epochs=1, rate=0.2, batch=32, dropout=0.0,
-                               shards="sequential")
-    handed_on = train_clients(cut, initial_weights(SETTINGS.dims, 42), sequential)
-    assert handed_on.count() == 2
-    assert handed_on.agg(F.sum("n")).first()[0] == cut.filter("not is_val").count()
-    one_way = client_results(cut, results, SETTINGS)
-    assert [r["client_id"] for r in one_way] == [0, 1]
-    counts = client_confusion(cut, results, SETTINGS.dims)
-    assert counts.agg(F.sum("n")).first()[0] == cut.filter("is_val").count()
-    for r in handed_on.collect():
-        assert evaluate_weights(df, np.array(r["weights"]), (6, 8, 3))["macro_f1"] > 0.6
+def test_row_order_is_that_of_spark(spark):
+    keys = [0, 1, -1, 2**40, -2**62, 12345]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(
+        F.xxhash64(F.lit(987654321012).cast("bigint"), "k")).collect()]
+    assert row_order(np.array(keys), 987654321012).tolist() == got
+
+
+def weights_of(spark, df, start, settings, shard_rows):
+    laid = lay_out_clients(df, "id", shard_rows=shard_rows)
+    return {r["client_id"]: r for r in train_clients(laid, start, settings, shard_rows).collect()}, laid
+
+
+@pytest.mark.parametrize("batch, block, optimizer, dropout", [
+    (32, 4096, "sgd", 0.0), (32, 8, "adamw", 0.3), (700, 64, "sgd", 0.2), (256, 48, "adamw", 0.0)])
+def test_weights_do_not_depend_on_shards_or_neighbours(spark, batch, block, optimizer, dropout):
+    """Small, handed on, or summed over tasks: the same weights, also beside an uncut client."""
+    df, _, _ = table(spark, n=900)
+    clients = df.withColumn("client_id", (F.col("id") >= 780).cast("int"))
+    settings = replace(SETTINGS, batch=batch, block=block, optimizer=optimizer, dropout=dropout, rate=0.05, mu=0.1)
+    start = initial_weights(SETTINGS.dims, 42)
+    whole, _ = weights_of(spark, clients, start, settings, 10_000)
+    cut, laid = weights_of(spark, clients, start, settings, 150)
+    alone, _ = weights_of(spark, clients.filter("client_id = 1"), start, settings, 10_000)
+    assert laid.filter("shards > 1").select("client_id").distinct().count() == 1
+    for k in (0, 1):
+        np.testing.assert_allclose(cut[k]["weights"], whole[k]["weights"], atol=1e-9)
+        assert cut[k]["n"] == whole[k]["n"] and cut[k]["loss"] == pytest.approx(whole[k]["loss"])
+    assert alone[1]["weights"] == whole[1]["weights"] == cut[1]["weights"]
+    results = spark.createDataFrame([(k, r["n"], r["loss"], r["weights"], r["confusion"]) for k, r in cut.items()],
+                                    "client_id int, n bigint, loss double, weights array<double>, confusion array<bigint>")
+    assert [r["client_id"] for r in client_results(laid, results, settings)] == [0, 1]
+
+
+def test_a_carried_state_is_training_without_a_break():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 6)), rng.integers(0, 3, 200)
+    start = first_state(initial_weights(SETTINGS.dims, 1), "adamw")
+    options = {"rate": 0.01, "batch": 64, "seed": 3, "dropout": 0.1, "optimizer": "adamw"}
+    whole, _ = train_epochs(start, SETTINGS.dims, x, y, 4, **options)
+    half, _ = train_epochs(start, SETTINGS.dims, x, y, 2, **options)
+    rest, _ = train_epochs(half, SETTINGS.dims, x, y, 2, **options, first_epoch=2)
+    np.testing.assert_allclose(rest, whole, atol=1e-12)
 
 
 def test_rounds_resume(spark, clients, tmp_path):
@@ -198,12 +225,15 @@ def test_unaveraged_clients(spark, clients):
     assert row["macro_f1"] == pytest.approx(np.mean(row["per_client_test_f1"]))
 
 
-def test_many_models_in_one_pass(spark):
+@pytest.mark.parametrize("test_rows, most_weights", [(100_000, 8_000_000), (300, 100)])
+def test_many_models_meet_blocks_of_rows(spark, test_rows, most_weights):
     df, _, _ = table(spark)
-    a, b = (initial_weights((6, 8, 3), seed) for seed in (1, 2))
-    got = {r["client_id"]: r["macro_f1"] for r in evaluate_models(df, {0: a, 1: b}, (6, 8, 3)).collect()}
-    for k, w in ((0, a), (1, b)):
-        assert got[k] == pytest.approx(evaluate_weights(df, w, (6, 8, 3))["macro_f1"])
+    both = {k: initial_weights((6, 8, 3), k) for k in range(5)}
+    models = spark.createDataFrame([(k, w.tolist()) for k, w in both.items()], "client_id int, weights array<double>")
+    found = evaluate_models(df, models, (6, 8, 3), test_rows, most_weights).collect()
+    assert len(found) == 5
+    for r in found:
+        assert r["macro_f1"] == pytest.approx(evaluate_weights(df, both[r["client_id"]], (6, 8, 3))["macro_f1"])
 
 
 def test_holdout_scores_agree_however_they_are_computed(spark, clients):
@@ -214,6 +244,19 @@ def test_holdout_scores_agree_however_they_are_computed(spark, clients):
     assert direct == pytest.approx({r["client_id"]: r["macro_f1"] for r in by_spark})
 
 
-def test_size_does_not_choose_the_algorithm():
-    """A large client is trained like a small one unless the caller asks for averaged shards."""
-    assert LocalTraining((2, 2)).shards == "sequential"
+def test_run_document_is_one_that_is_read_again(spark, clients, tmp_path):
+    from flowlens.operators.reports import run_summary
+    from flowlens.sources.runs import read_run_documents
+
+    df, _, y = table(spark)
+    weights, history = fit_federated(clients, df, SETTINGS, rounds=2)
+    doc = run_document(spark, "fl_a0.5", "fedavg", 0.5, "laptop", clients, df, weights, history, SETTINGS, "abc")
+    doc.coalesce(1).write.json(str(tmp_path / "runs"))
+    row = read_run_documents(spark, str(tmp_path / "runs")).first()
+    scores = evaluate_weights(df, weights, SETTINGS.dims)
+    assert row["test_metrics"]["macro_f1"] == pytest.approx(scores["macro_f1"])
+    per_class = row["test_metrics"]["per_class"]
+    assert [per_class[c]["support"] for c in "abc"] == np.bincount(y).tolist()
+    assert np.mean([per_class[c]["f1"] for c in "abc"]) == pytest.approx(scores["macro_f1"])
+    assert (row["num_clients"], row["rounds"], row["train_rows"], len(row["history"])) == (3, 2, 1200, 2)
+    assert run_summary(read_run_documents(spark, str(tmp_path / "runs"))).first()["macro_f1"] == row["test_metrics"]["macro_f1"]

@@ -9,7 +9,7 @@ from flowlens.labels import CLASSES
 from flowlens.operators.alerts import live_summary
 from flowlens.operators.clean import deduplicate, map_labels
 from flowlens.operators.profile import fit_feature_stats
-from flowlens.operators.ranking import assign_intervals, stable_rank
+from flowlens.operators.ranking import assign_intervals, hash_pair, ordered_rows, stable_rank
 from flowlens.operators.reports import main_results, per_class_matrix
 from flowlens.operators.split import stratified_split
 from flowlens.plans.fixtures import (
@@ -80,10 +80,12 @@ def test_cuts_by_rank_do_not_shuffle_the_rows(spark):
 
 
 def test_ranking_shuffles_the_rows_once(spark):
-    text = plan(stable_rank(line_flows(spark, SF_DIR), "label_8", LINE_KEYS))
+    lines = line_flows(spark, SF_DIR)
+    text = plan(ordered_rows(lines, "label_8", hash_pair(LINE_KEYS, 42)))
     wide = [line for line in text.split("\n") if "Exchange" in line and "BroadcastExchange" not in line]
-    # By (class, bucket), never by class alone, where rows are concerned.
-    assert "hashpartitioning(_g#" in wide[0] and "_b#" in wide[0]
+    # By ranges of (class, hash, row), never by class alone.
+    assert len(wide) == 1 and "rangepartitioning(_g#" in wide[0] and "_copy#" in wide[0]
+    assert shuffles(stable_rank(lines, "label_8", LINE_KEYS)) <= 1
 
 
 def test_deduplication_merges_copies_before_the_shuffle(spark):

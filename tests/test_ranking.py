@@ -5,9 +5,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as s
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranking import assign_intervals, stable_rank, with_row_key
+from flowlens.operators.ranking import (
+    assign_intervals, histogram_bits, ordered_rows, rank_in_order, stable_rank, with_row_key,
+)
 from flowlens.operators.split import (
-    cap_per_group, cap_total, last_rank, split_plan, stratified_sample, stratified_split,
+    bernoulli_cap, cap_per_group, cap_total, last_rank, split_plan, stratified_sample, stratified_split,
 )
 
 FEW = settings(max_examples=4, deadline=None,
@@ -52,7 +54,7 @@ def test_intervals_agree_with_ranks(spark, n, bits):
     got = {r["id"]: r["part"] for r in assign_intervals(
         df, plan, "cls", "string", "part", ["id"], bits=bits).collect()}
     assert len(got) == n
-    for r in stable_rank(df, "cls", ["id"], bits=bits).collect():
+    for r in stable_rank(df, "cls", ["id"]).collect():
         part = next(v for c, lo, hi, v in plan if c == r["cls"] and lo < r["rank"] <= hi)
         assert got[r["id"]] == part
 
@@ -151,3 +153,42 @@ def test_groups_must_be_a_dictionary(spark, monkeypatch):
     assert len(ranking.group_sizes(df, "h")) == 3
     with pytest.raises(ValueError, match="more than 3"):
         ranking.group_sizes(df, "g")
+
+
+def test_a_row_copied_into_a_third_is_ranked_by_many_tasks(spark):
+    df = spark.range(60_000).select(
+        F.lit("a").alias("cls"), F.when(F.col("id") < 20_000, -1).otherwise(F.col("id")).alias("f"))
+    # Small ranges would be read by one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in ordered_rows(df, "cls", [F.xxhash64("f")]).groupBy(
+            F.shiftright("_at", 33)).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    ranks = stable_rank(df, "cls", ["f"]).collect()
+    assert sorted(r["rank"] for r in ranks) == list(range(1, 60_001))
+    hot = sorted(r["rank"] for r in ranks if r["f"] == -1)
+    assert hot == list(range(hot[0], hot[0] + 20_000))
+
+
+def test_rank_in_a_given_order(spark):
+    rows = [(None, 3), (None, 1), ("a", 2), ("a", None), ("b", 5), ("a", 2)]
+    df = spark.createDataFrame(rows, "cls string, v int").repartition(3)
+    whole = {(r["cls"], r["v"], r["place"]) for r in rank_in_order(df, "cls", [-F.col("v")], "place").collect()}
+    assert whole == {(None, 3, 1), (None, 1, 2), ("a", None, 1), ("a", 2, 2), ("a", 2, 3), ("b", 5, 1)}
+    every = rank_in_order(df.filter("v IS NOT NULL"), None, [F.col("v")]).collect()
+    assert sorted((r["rank"], r["v"]) for r in every) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 5)]
+    assert rank_in_order(df.limit(0), "cls", [F.col("v")]).count() == 0
+
+
+def test_histogram_follows_the_counted_size():
+    assert [histogram_bits(n) for n in (0, 10**7, 10**12)] == [6, 7, 24]
+
+
+def test_bernoulli_draws_do_not_depend_on_partitions(spark):
+    df = classes(spark, 4000)
+    first, again = ({r["id"] for r in bernoulli_cap(df.repartition(p), 400, "cls", ["id"]).collect()}
+                    for p in (4, 7))
+    assert first == again and 330 < len(first) < 470
+    assert bernoulli_cap(df, 4000, "cls").count() == 4000
