@@ -1,121 +1,77 @@
-"""Centralised baselines on Spark's own distributed learners, stopped on validation F1."""
+"""Centralised baselines: the network with AdamW and early stopping, and boosted trees."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.network import first_state, initial_weights, parameter_count
 from flowlens.functions.scalar import argmax_index
-from flowlens.operators.evaluate import classification_metrics
-
-
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
+from flowlens.operators.boosting import BoostedTrees, fit_boosted_trees
+from flowlens.operators.federated import (
+    SHARD_ROWS, LocalTraining, evaluate_weights, lay_out, train_clients,
+)
+from flowlens.operators.scoring import Model, class_probabilities
+from flowlens.session import durable
 
 
 def fit_mlp_baseline(
     train: DataFrame,
     val: DataFrame,
     dims: Sequence[int],
+    key: str,
     max_epochs: int = 50,
-    step: int = 5,
     patience: int = 5,
+    rate: float = 0.001,
+    batch: int = 2048,
+    dropout: float = 0.3,
     seed: int = 42,
-) -> tuple[MultilayerPerceptronClassificationModel, list[float]]:
-    """Neural baseline on ``features, label``.
-
-    Trains ``step`` iterations at a time from the weights so far and stops after
-    ``patience`` steps without a better validation macro F1. Returns the best
-    model and the validation scores.
+    shard_rows: int = SHARD_ROWS,
+) -> tuple[Model, list[float]]:
+    """Neural baseline on ``features, label``; ``key`` is a whole number that identifies a row.
+
+    Mini-batches in hash order with AdamW. Weights, moments and step count are carried from epoch
+    to epoch, and from shard to shard where the table is larger than one. Training stops after
+    ``patience`` epochs without a better validation macro F1. Returns the best model and the
+    validation scores.
     """
-    train, val = _vectors(train).persist(), _vectors(val).persist()
-    best, best_f1, waited, scores, weights = None, -1.0, 0, [], None
-    for _ in range(0, max_epochs, step):
-        learner = MultilayerPerceptronClassifier(
-            layers=list(dims), featuresCol="_x", labelCol="label", maxIter=step, seed=seed)
-        if weights is not None:
-            learner.setInitialWeights(weights)
-        model = learner.fit(train)
-        weights = model.weights
-        scored = model.transform(val).withColumn("prediction", F.col("prediction").cast("int"))
-        f1 = classification_metrics(scored, "label", "prediction").first()["macro_f1"]
-        scores.append(f1)
-        if f1 > best_f1:
-            best, best_f1, waited = model, f1, 0
+    settings = LocalTraining(
+        tuple(dims), epochs=1, rate=rate, batch=batch, dropout=dropout, seed=seed,
+        optimizer="adamw", single=True)
+    rows = train.select(
+        F.lit(0).alias("client_id"), F.col(key).alias("row_key"), "features", "label",
+        F.lit(False).alias("is_val"))
+    laid = lay_out(rows, "row_key", {0: train.count()}, shard_rows, seed)
+    val = durable(val.select("features", "label"))
+    n = parameter_count(dims)
+    state = first_state(initial_weights(dims, seed), "adamw")
+    best, best_f1, waited, scores = state[:n].copy(), -1.0, 0, []
+    for epoch in range(max_epochs):
+        state = np.array(
+            train_clients(laid, state, settings, shard_rows, first_epoch=epoch).first()["state"])
+        scores.append(evaluate_weights(val, state[:n], dims, single=True)["macro_f1"])
+        if scores[-1] > best_f1:
+            best, best_f1, waited = state[:n].copy(), scores[-1], 0
         else:
             waited += 1
             if waited >= patience:
                 break
-    train.unpersist()
-    val.unpersist()
-    return best, scores
-
-
-def predict_mlp(model: MultilayerPerceptronClassificationModel, df: DataFrame) -> DataFrame:
-    """Add ``prediction`` and ``probs``."""
-    return (
-        model.transform(_vectors(df))
-        .withColumn("prediction", F.col("prediction").cast("int"))
-        .withColumn("probs", vector_to_array("probability"))
-        .drop("_x", "rawPrediction", "probability")
-    )
+    return Model(tuple(dims), best, classes=tuple(str(i) for i in range(dims[-1]))), scores
 
 
-@dataclass(frozen=True)
-class TreeBaseline:
-    """One boosted-tree model per class, combined by the largest margin."""
-
-    models: tuple[GBTClassificationModel, ...]
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` and ``probs`` (softmax-free, normalised one-vs-rest)."""
-        scored = _vectors(df)
-        for i, model in enumerate(self.models):
-            scored = (
-                model.transform(scored)
-                .withColumn(f"_p{i}", F.get(vector_to_array("probability"), F.lit(1)))
-                .drop("rawPrediction", "probability", "prediction")
-            )
-        names = [f"_p{i}" for i in range(len(self.models))]
-        total = sum((F.col(n) for n in names), F.lit(0.0))
-        return (
-            scored.withColumn("probs", F.array(*[F.col(n) / total for n in names]))
-            .withColumn("prediction", argmax_index("probs"))
-            .drop("_x", *names)
-        )
+def predict_mlp(model: Model, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` and ``probs``; columns of these names are replaced."""
+    return df.withColumn("probs", class_probabilities("features", model)).withColumn(
+        "prediction", argmax_index("probs"))
 
 
 def fit_tree_baseline(
-    train: DataFrame,
-    val: DataFrame,
-    num_classes: int,
-    max_trees: int = 20,
-    max_depth: int = 5,
-    rate: float = 0.1,
-    tolerance: float = 0.01,
-    seed: int = 42,
-) -> TreeBaseline:
-    """Boosted trees per class against the rest.
-
-    Each stops adding trees when the validation loss no longer improves.
-    """
-    both = _vectors(
-        train.select("features", "label", F.lit(False).alias("_val"))
-        .unionByName(val.select("features", "label", F.lit(True).alias("_val")))
-    ).persist()
-    models = []
-    for k in range(num_classes):
-        learner = GBTClassifier(
-            featuresCol="_x", labelCol="_y", validationIndicatorCol="_val", maxIter=max_trees,
-            maxDepth=max_depth, stepSize=rate, validationTol=tolerance, seed=seed)
-        models.append(learner.fit(both.withColumn("_y", (F.col("label") == k).cast("double"))))
-    both.unpersist()
-    return TreeBaseline(tuple(models))
+    train: DataFrame, val: DataFrame, num_classes: int, width: int, max_trees: int = 500,
+    max_depth: int = 8, rate: float = 0.1, patience: int = 20,
+) -> BoostedTrees:
+    """Boosted trees with the usual settings of the tree baseline: see ``fit_boosted_trees``."""
+    return fit_boosted_trees(
+        train, val, num_classes, width, max_trees, max_depth, rate, patience)

@@ -20,6 +20,7 @@ from flowlens.functions.scalar import (
 from flowlens.labels import Taxonomy
 from flowlens.operators import alerts as al
 from flowlens.operators import baselines as bl
+from flowlens.operators import boosting as bs
 from flowlens.operators import clean as cl
 from flowlens.operators import evaluate as ev
 from flowlens.operators import federated as fd
@@ -38,7 +39,7 @@ from flowlens.plans.fixtures import (
 )
 from flowlens.session import durable, scratch_path
 from flowlens.sources.flows import read_flow_csv, to_flow_events
-from flowlens.sources.runs import read_result_csv
+from flowlens.sources.runs import read_result_csv, read_run_documents
 from flowlens.sources.sinks import (
     append_results, pending_keys, write_partitioned, write_splits, write_table,
 )
@@ -1016,26 +1017,71 @@ def local_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_and_val(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    halves = sp.stratified_split(
+    halves = durable(sp.stratified_split(
         vectors(spark, sf_dir).withColumn("cls", F.col("label").cast("string")), "cls", ["vec_id"],
-        stream=0.0, train=0.8, val=0.2)
+        stream=0.0, train=0.8, val=0.2))
     return halves.filter("split = 'train'"), halves.filter("split = 'val'")
 
 
 @query()
 def mlp_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = _train_and_val(spark, sf_dir)
-    model, _ = bl.fit_mlp_baseline(train, val, NET, max_epochs=10, step=5)
+    model, _ = bl.fit_mlp_baseline(train, val, NET, "vec_id", max_epochs=10)
     return ev.classification_metrics(bl.predict_mlp(model, val), "label", "prediction")
 
 
 @query()
 def tree_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = _train_and_val(spark, sf_dir)
-    model = bl.fit_tree_baseline(train, val, 10, max_trees=500, max_depth=8)
+    model = bl.fit_tree_baseline(train, val, 10, 64, max_trees=500, max_depth=8)
     return ev.classification_metrics(model.predict(val), "label", "prediction")
 
 
+# Fixed value: the edges of every feature in the query below.
+EDGES = (-0.2, -0.1, 0.0, 0.1, 0.2)
+
+
+@query(f"""WITH cells AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS feature,
+    CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+cuts AS (SELECT unnest(range({len(EDGES)})) AS cut, unnest({list(EDGES)}::DOUBLE[]) AS edge),
+below AS (SELECT feature, cut, label, count(*) AS n FROM cells, cuts WHERE v < edge GROUP BY ALL),
+sides AS (SELECT feature, cut, sum(n) AS n_left, k AS cls, coalesce(sum(n) FILTER (label = k), 0) AS hits
+  FROM below, range(10) c(k) GROUP BY ALL),
+totals AS (SELECT k AS cls, count(*) AS n_all, count(*) FILTER (label = k) AS all_hits FROM embeddings, range(10) c(k) GROUP BY ALL),
+sums AS (SELECT *, 0.1::DOUBLE * n_left - hits AS gl, 0.18::DOUBLE * n_left AS hl,
+    0.1::DOUBLE * n_all - all_hits AS g, 0.18::DOUBLE * n_all AS h FROM sides JOIN totals USING (cls)),
+gains AS (SELECT *, round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 9) AS gain FROM sums
+  WHERE hl >= 1 AND h - hl >= 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY gain DESC, feature, cut) AS place FROM gains)
+SELECT CAST(cls AS INTEGER) AS cls, CAST(feature AS INTEGER) AS feature, CAST(cut AS INTEGER) AS cut, round(gain, 6) AS gain,
+  round(-0.1::DOUBLE * gl / (hl + 1), 6) + 0.0 AS low, round(-0.1::DOUBLE * (g - gl) / (h - hl + 1), 6) + 0.0 AS high
+FROM best WHERE place = 1 AND gain > 0.000001""")
+def first_tree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of every class of a boosting run, grown by partial histograms."""
+    rows = vectors(spark, sf_dir).select("features", "label")
+    model = bs.fit_boosted_trees(
+        rows, rows.limit(0), 10, 64, max_trees=1, max_depth=1, edges=[np.array(EDGES)] * 64, local_rows=0)
+    found = [(k, int(t.feature[0]), int(t.cut[0]), float(t.gain[0]), float(t.value[1]), float(t.value[2]))
+             for k, t in enumerate(model.rounds[0]) if t.feature[0] >= 0]
+    return rounded(spark.createDataFrame(
+        found, "cls int, feature int, cut int, gain double, low double, high double"))
+
+
+@query()
+def federated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A federated run with its document on disk, read back and set beside the other methods."""
+    settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
+    parts = _parts(spark, sf_dir)
+    clients = _client_table(parts)
+    weights, history = fd.fit_federated(clients, _held_out(parts, "val"), settings, rounds=2, shard_rows=400)
+    path = scratch_path(spark, "runs")
+    fd.run_document(
+        spark, "fl_fedavg_a0.5_s42", "fedavg", 0.5, "laptop", clients, _held_out(parts, "test"), weights, history,
+        settings, [str(i) for i in range(10)]).coalesce(1).write.json(path)
+    runs = read_run_documents(spark, path)
+    return rp.main_results(centralized_runs(spark, sf_dir).limit(1), runs).filter(F.col("method") == "FEDAVG")
+
+
 # --- Reports -------------------------------------------------------------------------
 
 @query(f"""WITH {RUNS} SELECT run_name, method, alpha, mu, seed, profile, 3 AS rounds,

@@ -3,6 +3,7 @@
 import pytest
 
 from flowlens.operators import baselines, federated
+from flowlens.operators.baselines import fit_tree_baseline
 from flowlens.plans import queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -37,3 +38,4 @@ def test_baselines_take_the_reference_sizes(spark, monkeypatch):
     assert args[2] == (64, 256, 128, 64, 10) and kwargs["max_epochs"] == 10
     _, kwargs = caught(spark, monkeypatch, baselines, "fit_tree_baseline", "tree_baseline")
     assert kwargs == {"max_trees": 500, "max_depth": 8}
+    assert fit_tree_baseline.__defaults__[-2:] == (0.1, 20)
