@@ -44,14 +44,16 @@ def fit_mlp_baseline(
     rows = train.select(
         F.lit(0).alias("client_id"), F.col(key).alias("row_key"), "features", "label",
         F.lit(False).alias("is_val"))
-    laid = lay_out(rows, "row_key", {0: train.count()}, shard_rows, seed)
+    size = train.count()
+    laid = lay_out(rows, "row_key", {0: size}, shard_rows, seed)
     val = durable(val.select("features", "label"))
     n = parameter_count(dims)
     state = first_state(initial_weights(dims, seed), "adamw")
     best, best_f1, waited, scores = state[:n].copy(), -1.0, 0, []
     for epoch in range(max_epochs):
         state = np.array(
-            train_clients(laid, state, settings, shard_rows, first_epoch=epoch).first()["state"])
+            train_clients(
+                laid, state, settings, shard_rows, epoch, any_large=size > shard_rows).first()["state"])
         scores.append(evaluate_weights(val, state[:n], dims, single=True)["macro_f1"])
         if scores[-1] > best_f1:
             best, best_f1, waited = state[:n].copy(), scores[-1], 0

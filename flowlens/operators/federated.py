@@ -1,7 +1,7 @@
 """Federated training in Spark jobs whose result does not depend on how the rows are cut.
 
 The training table carries ``client_id``, ``features``, ``label``, ``is_val`` and a row key. It
-is laid out once by (client, shard) and stored; a shard has about ``shard_rows`` rows at most and
+is stored once in buckets of (client, shard); a shard has about ``shard_rows`` rows at most and
 is what one task holds.
 
 A client's training is one sequence of mini-batches. The order of an epoch is a hash of the row
@@ -36,7 +36,7 @@ from flowlens.operators.partition import client_holdout
 from flowlens.operators.ranking import group_sizes, rank_in_order
 from flowlens.operators.scoring import Model, class_probabilities, matrix_of
 from flowlens.schemas import ROUND_ENTRY, RUN_DOCUMENT
-from flowlens.session import drop_path, durable, path_exists, scratch_path
+from flowlens.session import bucketed, drop_path, durable, path_exists, scratch_path
 
 SHARD_ROWS = 250_000
 # Models that one task scores hold at most this many numbers.
@@ -79,20 +79,21 @@ class LocalTraining:
 def lay_out(df: DataFrame, key: str, sizes: dict[int, int], shard_rows: int, seed: int) -> DataFrame:
     """A table with ``client_id, features, label, is_val`` dealt into shards and stored.
 
-    ``key`` is a whole number that identifies a row. The copy in the shared folder is partitioned
+    ``key`` is a whole number that identifies a row. The copy in the shared folder is bucketed
     by (client, shard), so that training reads it without another shuffle.
     """
     spark = df.sparkSession
     counts = spark.createDataFrame(
         [(k, max(1, math.ceil(n / shard_rows))) for k, n in sizes.items()], "client_id int, shards int")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                sum(math.ceil(n / shard_rows) for n in sizes.values()))
     # One row per client, ``MAX_GROUPS`` at most.
     spread = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col(key)), F.col("shards"))
-    return durable(
-        df.join(F.broadcast(counts), "client_id").select(
-            "client_id", spread.cast("int").alias("shard"), "shards",
-            F.col(key).cast("bigint").alias("row_key"),
-            F.col("features").cast("array<float>").alias("features"), "label", "is_val",
-        ).repartition("client_id", "shard"))
+    rows = df.join(F.broadcast(counts), "client_id").select(
+        "client_id", spread.cast("int").alias("shard"), "shards",
+        F.col(key).cast("bigint").alias("row_key"),
+        F.col("features").cast("array<float>").alias("features"), "label", "is_val")
+    return bucketed(rows, "clients", parts, "client_id", "shard")
 
 
 def lay_out_clients(
@@ -288,23 +289,25 @@ def train_large(
 
 def train_clients(
     df: DataFrame, start: np.ndarray, settings: LocalTraining, shard_rows: int = SHARD_ROWS,
-    first_epoch: int = 0, anchor: np.ndarray | None = None,
+    first_epoch: int = 0, anchor: np.ndarray | None = None, any_large: bool | None = None,
 ) -> DataFrame:
     """Local training of every client: ``client_id, n, loss, weights, state, confusion``, stored.
 
     ``n`` counts training rows, ``loss`` sums row losses over all epochs. ``state`` goes on as the
     ``start`` of a later call. ``confusion`` scores the client's model on its holdout; it is NULL
     for clients of several shards (see ``client_confusion``). Neither ``shard_rows`` nor the size
-    of other clients changes a client's weights.
+    of other clients changes a client's weights. ``any_large`` tells, where that is known, whether
+    clients of several shards are among them.
     """
     n = parameter_count(settings.dims)
     anchor = start[:n] if anchor is None else anchor
     if settings.optimizer == "adamw" and len(start) == n:
         start = first_state(start, "adamw")
-    small = df.filter(F.col("shards") == 1)
-    results = durable(train_small(small, start, anchor, settings, first_epoch))
-    large = df.filter(F.col("shards") > 1)
-    if not large.isEmpty():
+    results = durable(train_small(df.filter("shards = 1"), start, anchor, settings, first_epoch))
+    large = df.filter("shards > 1")
+    if any_large is None:
+        any_large = not large.isEmpty()
+    if any_large:
         results = results.unionByName(train_large(large, start, anchor, settings, shard_rows, first_epoch))
     return results.withColumn("weights", F.slice("state", 1, n) if settings.optimizer == "adamw" else F.col("state"))
 
@@ -563,6 +566,7 @@ def fit_federated(
         weights = initial_weights(settings.dims, settings.seed)
     ids = [r[0] for r in clients.select("client_id").distinct().collect()]
     val = durable(val.select("features", "label"))
+    any_large = not clients.filter("shards > 1").isEmpty()
     parameters = parameter_count(settings.dims)
     pending: list[dict] = []
     for number in range(done + 1, rounds + 1):
@@ -570,7 +574,7 @@ def fit_federated(
         chosen = sample_clients(ids, fraction_fit, settings.seed, number)
         local = clients.filter(F.col("client_id").isin(chosen)) if len(chosen) < len(ids) else clients
         step = replace(settings, seed=settings.seed + 1_000_003 * number)
-        results = train_clients(local, weights, step, shard_rows)
+        results = train_clients(local, weights, step, shard_rows, any_large=any_large)
         weights = mean_weights(results)
         per_client = client_results(local, results, settings)
         overall = evaluate_weights(val, weights, settings.dims, settings.single)

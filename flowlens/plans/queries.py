@@ -967,10 +967,10 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream=0.0, train=0.7, val=0.15))
 
 
-def _client_table(parts: DataFrame) -> DataFrame:
+def _client_table(parts: DataFrame, shard_rows: int = fd.SHARD_ROWS) -> DataFrame:
     rows = _held_out(parts, "train")
     clients = durable(pt.assign_clients(rows, 4, 0.5, keys=["vec_id"], min_samples=50))
-    return fd.lay_out_clients(clients, "vec_id", shard_rows=400)
+    return fd.lay_out_clients(clients, "vec_id", shard_rows=shard_rows)
 
 
 def _held_out(parts: DataFrame, split: str) -> DataFrame:
@@ -993,7 +993,7 @@ def fedavg_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
     parts = _parts(spark, sf_dir)
     _, history = fd.fit_federated(
-        _client_table(parts), _held_out(parts, "val"), settings, rounds=3, shard_rows=400)
+        _client_table(parts), _held_out(parts, "val"), settings, rounds=3)
     return _history(spark, history)
 
 
@@ -1002,7 +1002,7 @@ def fedprox_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0, mu=0.01)
     parts = _parts(spark, sf_dir)
     _, history = fd.fit_federated(
-        _client_table(parts), _held_out(parts, "val"), settings, rounds=3, fraction_fit=0.75,
+        _client_table(parts, 400), _held_out(parts, "val"), settings, rounds=3, fraction_fit=0.75,
         shard_rows=400)
     return _history(spark, history)
 
@@ -1012,7 +1012,7 @@ def local_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
     parts = _parts(spark, sf_dir)
     scores = fd.fit_local_only(
-        _client_table(parts), _held_out(parts, "test"), settings, rounds=3, shard_rows=400)
+        _client_table(parts, 400), _held_out(parts, "test"), settings, rounds=3, shard_rows=400)
     return fd.local_only_summary(scores)
 
 
@@ -1073,7 +1073,7 @@ def federated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fd.LocalTraining(NET, epochs=1, rate=0.1, batch=64, dropout=0.0)
     parts = _parts(spark, sf_dir)
     clients = _client_table(parts)
-    weights, history = fd.fit_federated(clients, _held_out(parts, "val"), settings, rounds=2, shard_rows=400)
+    weights, history = fd.fit_federated(clients, _held_out(parts, "val"), settings, rounds=2)
     path = scratch_path(spark, "runs")
     fd.run_document(
         spark, "fl_fedavg_a0.5_s42", "fedavg", 0.5, "laptop", clients, _held_out(parts, "test"), weights, history,

@@ -40,6 +40,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/flowlens-{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, name: str, parts: int, *columns: str) -> DataFrame:
+    """``df`` stored in ``parts`` buckets of ``columns`` in the shared folder.
+
+    Grouping the result by these columns shuffles nothing, however often it is read.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"flowlens_{name}_{uuid.uuid4().hex}"
+    df.repartition(parts, *columns).write.bucketBy(parts, *columns).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint when ``rows``, a known bound on ``df``, is small; else leave it to AQE."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
