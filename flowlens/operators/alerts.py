@@ -90,7 +90,11 @@ def live_summary(
         F.count_if(in_window).alias("n_recent"),
         F.count_if(in_window & F.col("is_attack")).alias("n_threats"),
     )
+    return summary_rows(cube, recent_latency(seen, recent), classes, window_s)
 
+
+def summary_rows(cube: DataFrame, latency: DataFrame, classes: Sequence[str], window_s: int) -> DataFrame:
+    """The rows of a live summary from counts per organisation and class, and one row of latencies."""
     def entry(section: str, key: Column | str, value: Column | str) -> Column:
         key = F.lit(key) if isinstance(key, str) else key
         value = F.col(value) if isinstance(value, str) else value
@@ -106,7 +110,7 @@ def live_summary(
     ))
     # Every fixed line exists even when nothing was seen.
     fixed = [("rates", "events_per_s"), ("rates", "threats_in_window"), ("totals", "alerts")]
-    zeros = alerts.sparkSession.createDataFrame(
+    zeros = cube.sparkSession.createDataFrame(
         [(s, k, 0) for s, k in fixed + [("by_class", c) for c in classes]],
         "section string, key string, value bigint")
     per_second = F.round(F.sum("value") / F.lit(float(window_s or 1)), 1)
@@ -115,11 +119,11 @@ def live_summary(
         .agg(F.when(F.col("key") == "events_per_s", per_second)
              .otherwise(F.sum("value").cast("double")).alias("value"))
     )
-    latency = recent_latency(seen, recent).select(F.inline(F.array(
+    rows = latency.select(F.inline(F.array(
         entry("latency", "p50_ms", "latency_p50_ms"),
         entry("latency", "p95_ms", "latency_p95_ms"),
     )))
-    return counts.unionByName(latency)
+    return counts.unionByName(rows)
 
 
 def delivered_alerts(alerts: DataFrame, sent: DataFrame) -> DataFrame:

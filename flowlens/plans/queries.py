@@ -44,6 +44,8 @@ from flowlens.sources.sinks import (
     append_results, pending_keys, write_partitioned, write_splits, write_table,
 )
 from flowlens.streaming import events as st
+from flowlens.streaming import live as lv
+from flowlens.streaming import logs as lg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -768,13 +770,47 @@ def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = scratch_path(spark, "metrics")
     metrics = st.window_metrics(
         labelled_events(_event_stream(spark, sf_dir)), EVENT_TAXONOMY.classes)
-    st.metrics_log_sink(
-        metrics, log, scratch_path(spark, "metrics-state"), {"availableNow": True}
-    ).awaitTermination()
-    updates = spark.read.schema(
-        "window_start bigint, window_end bigint, org_id string, total bigint, attacks bigint, "
-        "by_class map<string,bigint>").parquet(log)
-    return _flat_windows(st.latest_per_window(updates, EVENT_TAXONOMY.classes))
+    lg.metrics_log_sink(
+        metrics, log, scratch_path(spark, "metrics-state"), {"availableNow": True},
+        EVENT_TAXONOMY.classes).awaitTermination()
+    return _flat_windows(lg.read_metrics_log(spark, log, EVENT_TAXONOMY.classes))
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """The alerts as a stream of ``parts`` files; the n-th holds the event ids of remainder n."""
+    path = scratch_path(spark, "arrivals")
+    rows = alerts(spark, sf_dir)
+    for k in range(parts):
+        rows.filter(F.col("event_id").cast("bigint") % parts == k).coalesce(1).write.mode("append").parquet(path)
+    return st.flow_stream(spark, "parquet", path, rows.schema, maxFilesPerTrigger="1")
+
+
+@query(WINDOWS)
+def folded_metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from rows that arrive in six parts, the log folded after every second one."""
+    log = scratch_path(spark, "metrics")
+    metrics = st.window_metrics(
+        _arrivals(spark, sf_dir, 6), EVENT_TAXONOMY.classes, watermark="60 days")
+    lg.metrics_log_sink(
+        metrics, log, scratch_path(spark, "metrics-state"), {"availableNow": True},
+        EVENT_TAXONOMY.classes, compact_every=2).awaitTermination()
+    return _flat_windows(lg.read_metrics_log(spark, log, EVENT_TAXONOMY.classes))
+
+
+@query(f"""WITH {ALERTS}, arrived AS (SELECT *, CAST(event_id AS BIGINT) % 4 AS part FROM alerts),
+clocks AS (SELECT part, max(max(ts_event)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+  FROM arrived GROUP BY part)
+SELECT coalesce((ts_event // 10000 + 1) * 10000 <= newest - 30000, false) AS late, org_id, count(*) AS n
+FROM arrived JOIN clocks USING (part) GROUP BY ALL""")
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in time and rows behind the watermark, of a stream that arrives in four parts."""
+    kept, late = scratch_path(spark, "kept"), scratch_path(spark, "late")
+    st.split_late_rows(
+        _arrivals(spark, sf_dir, 4), kept, late, scratch_path(spark, "late-state"),
+        trigger={"availableNow": True}).awaitTermination()
+    both = spark.read.parquet(kept).withColumn("late", F.lit(False)).unionByName(
+        spark.read.parquet(late).withColumn("late", F.lit(True)))
+    return both.groupBy("late", "org_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EVENT_LOGITS} SELECT pred_class, org_id, count(*) AS n,
@@ -819,9 +855,10 @@ def org_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.org_counts(alerts(spark, sf_dir))
 
 
-@query(f"""WITH {ALERTS}, seen AS (SELECT * FROM alerts WHERE ts_scored <= {AS_OF}),
+def _live_sql(as_of: int) -> str:
+    return f"""WITH {ALERTS}, seen AS (SELECT * FROM alerts WHERE ts_scored <= {as_of}),
 recent AS (SELECT latency_ms FROM seen ORDER BY ts_scored DESC, event_id DESC LIMIT 500),
-fast AS (SELECT * FROM seen WHERE ts_scored > {AS_OF} - 86400000)
+fast AS (SELECT * FROM seen WHERE ts_scored > {as_of} - 86400000)
 SELECT 'rates' AS section, 'events_per_s' AS key, round(count(*) / 86400.0, 1) AS value FROM fast
 UNION ALL SELECT 'rates', 'threats_in_window', count(*) FILTER (is_attack) FROM fast
 UNION ALL SELECT 'totals', 'alerts', count(*) FROM seen
@@ -830,12 +867,28 @@ UNION ALL SELECT 'by_class', c.v, count(event_id)
   GROUP BY ALL
 UNION ALL SELECT 'by_org', org_id, count(*) FROM seen GROUP BY ALL
 UNION ALL SELECT 'latency', 'p50_ms', round(quantile_cont(latency_ms, 0.5), 1) FROM recent
-UNION ALL SELECT 'latency', 'p95_ms', round(quantile_cont(latency_ms, 0.95), 1) FROM recent""")
+UNION ALL SELECT 'latency', 'p95_ms', round(quantile_cont(latency_ms, 0.95), 1) FROM recent"""
+
+
+@query(_live_sql(AS_OF))
 def live_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.live_summary(
         alerts(spark, sf_dir), AS_OF, EVENT_TAXONOMY.classes, window_s=86400)
 
 
+# After the last event of the table.
+LIVE_AS_OF = 1706659260000
+
+
+@query(_live_sql(LIVE_AS_OF))
+def live_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live summary read from the state of a stream over the alerts."""
+    state = scratch_path(spark, "live")
+    lv.live_state_query(
+        _arrivals(spark, sf_dir, 3), state, window_s=86400, trigger={"availableNow": True}).awaitTermination()
+    return lv.live_view(spark, state, LIVE_AS_OF, EVENT_TAXONOMY.classes, window_s=86400)
+
+
 @query(f"WITH {ALERTS} " + " UNION ALL ".join(
     f"SELECT '{n}' AS statistic, round({e}, 1) AS value FROM alerts" for n, e in (
         ("p50", "quantile_cont(latency_ms, 0.5)"), ("p95", "quantile_cont(latency_ms, 0.95)"),

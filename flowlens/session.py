@@ -67,3 +67,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table of this job's own."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``; none if it does not exist."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not file_system.exists(hadoop_path):
+        return []
+    return sorted(f.getPath().getName() for f in file_system.listStatus(hadoop_path) if f.isDirectory())
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, replacing ``target``."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    file_system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.delete(new, True)
+    file_system.mkdirs(new.getParent())
+    if not file_system.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")

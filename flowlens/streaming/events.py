@@ -18,11 +18,13 @@ from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
 from flowlens.operators.scoring import Model, score_events
 from flowlens.schemas import ALERT_EVENT, CONTRACTS, DEFAULTS, FLOW_EVENT, REQUIRED
-from flowlens.session import path_exists
+from flowlens.session import drop_path, path_exists
 
 # Fixed values of the running queries.
-METRICS_WINDOW = "10 seconds"
-METRICS_WATERMARK = "30 seconds"
+METRICS_WINDOW_S = 10
+METRICS_WINDOW = f"{METRICS_WINDOW_S} seconds"
+METRICS_WATERMARK_S = 30
+METRICS_WATERMARK = f"{METRICS_WATERMARK_S} seconds"
 ALERTS_TRIGGER = "1 second"
 METRICS_TRIGGER = "10 seconds"
 
@@ -222,23 +224,6 @@ def metrics_query(
         trigger=trigger or {"processingTime": METRICS_TRIGGER}, **sink)
 
 
-def metrics_log_sink(
-    metrics: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Append every ``update`` emission to a Parquet log for ``latest_per_window``.
-
-    A batch owns one directory and overwrites it when repeated.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        metrics.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": METRICS_TRIGGER}))
-        .foreachBatch(write).start()
-    )
-
-
 def alerts_table_sink(
     alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -292,6 +277,49 @@ def publish_batch(df: DataFrame, path: str, batch_id: int) -> None:
         raise OSError(f"cannot publish {final}")
 
 
+def split_late_rows(
+    alerts: DataFrame, kept_path: str, late_path: str, checkpoint: str,
+    window_s: int = METRICS_WINDOW_S, watermark_s: int = METRICS_WATERMARK_S,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Store the alerts in time at ``kept_path`` and those behind the watermark at ``late_path``.
+
+    An alert is late if its window had ended ``watermark_s`` seconds before the newest event of
+    the earlier micro-batches, which is when a windowed count may have let the window go. Nothing
+    is lost: kept and late rows are the input. Each batch owns a folder per output, published
+    once, and notes the newest event time for the next one.
+    """
+    clocks = f"{late_path.rstrip('/')}/_clock"
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = f"{clocks}/batch={batch_id - 1}"
+        newest = spark.read.parquet(before).first()["newest"] if path_exists(spark, before) else None
+        rows = batch.persist()
+        try:
+            late = F.lit(False)
+            if newest is not None:
+                # Not with F.window, which drops rows without a time; those are kept.
+                end = (F.floor(F.col("ts_event") / (window_s * 1000)) + 1) * (window_s * 1000)
+                late = F.coalesce(end <= newest - watermark_s * 1000, F.lit(False))
+            judged = rows.withColumn("_late", late)
+            publish_batch(judged.filter("NOT _late").drop("_late"), kept_path, batch_id)
+            publish_batch(judged.filter("_late").drop("_late"), late_path, batch_id)
+            own = rows.agg(F.max("ts_event")).first()[0]
+        finally:
+            rows.unpersist()
+        newest = max((t for t in (newest, own) if t is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest bigint").coalesce(1).write.mode("overwrite").parquet(
+            f"{clocks}/batch={batch_id}")
+        # A replay needs the note before its own batch, never an older one.
+        drop_path(spark, f"{clocks}/batch={batch_id - 2}")
+
+    return (
+        alerts.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": METRICS_TRIGGER})).foreachBatch(split).start()
+    )
+
+
 def run_scoring_stream(
     raw: DataFrame,
     registry: str,

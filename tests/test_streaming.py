@@ -11,9 +11,11 @@ from flowlens.operators.scoring import Model
 from flowlens.schemas import ALERT_EVENT, FLOW_EVENT
 from flowlens.streaming.events import (
     alerts_query, alerts_table_sink, decode_alerts, decode_metrics, encode_event, flow_stream, latest_per_window,
-    metrics_log_sink, metrics_query, parse_flows, run_scoring_stream, validate_events,
-    window_metrics, write_registry,
+    metrics_query, parse_flows, run_scoring_stream, split_late_rows, validate_events, window_metrics,
+    write_registry,
 )
+from flowlens.streaming.live import live_state_query, live_view, merge_alerts
+from flowlens.streaming.logs import fold_log, metrics_log_sink, read_metrics_log
 
 NOW = {"availableNow": True}
 STATS = FeatureStats(("a", "b"), (0.0, 0.0), (1.0, 1.0))
@@ -116,7 +118,7 @@ def test_late_rows_are_dropped_one_batch_after_the_watermark_moves(spark, tmp_pa
     dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
                   for op in p["stateOperators"])
     assert dropped == 1
-    final = latest_per_window(spark.read.schema(METRICS).parquet(log))
+    final = read_metrics_log(spark, log)
     totals = {r["window_start"]: r["total"] for r in final.collect()}
     assert totals == {0: 1, 120_000: 2}
 
@@ -209,7 +211,7 @@ def test_replayed_batch_is_counted_once(spark, tmp_path):
     def total():
         stream = spark.readStream.schema(spark.read.parquet(f"{base}/alerts").schema).parquet(f"{base}/alerts")
         metrics_log_sink(window_metrics(stream), f"{base}/log", f"{base}/metrics", NOW).awaitTermination()
-        return latest_per_window(spark.read.parquet(f"{base}/log")).agg(F.sum("total")).first()[0]
+        return read_metrics_log(spark, f"{base}/log").agg(F.sum("total")).first()[0]
 
     score()
     before = total()
@@ -230,3 +232,105 @@ def test_metrics_messages(spark):
         [(json.dumps(g),) for g in good] + [(b,) for b in bad], "value string"))
     assert [r["by_class"] for r in rows.collect()] == [{"Web": 3}] * 2
     assert rejected.count() == 4
+
+
+def emission(spark, start, org, total):
+    by_class = {c: 0 for c in CLASSES} | {"Web": total}
+    return spark.createDataFrame([(start, start + 10_000, org, total, total, by_class)], METRICS)
+
+
+def test_a_long_log_has_few_folders(spark, tmp_path):
+    """Forty windows over three days, two emissions each, folded every fifth trigger."""
+    log, expected, number = str(tmp_path / "log"), {}, 0
+    for k in range(40):
+        start = k * 6_000_000
+        for total in (1, k + 2):
+            emission(spark, start, "o", total).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            expected[start] = total
+            if (number + 1) % 5 == 0:
+                fold_log(spark, log, number)
+                fold_log(spark, log, number)  # a repeated fold changes nothing
+                names = os.listdir(log)
+                assert sum(n.startswith("batch=") for n in names) <= 10
+                assert sum(n.startswith("open=") for n in names) <= 2
+                assert all(len(os.listdir(f"{log}/closed/{d}")) <= 2 for d in os.listdir(f"{log}/closed"))
+            number += 1
+    assert {r["window_start"]: r["total"] for r in read_metrics_log(spark, log).collect()} == expected
+    assert sorted(os.listdir(f"{log}/closed")) == ["date=1970-01-01", "date=1970-01-02", "date=1970-01-03"]
+    # A late change of a closed window reaches its day.
+    emission(spark, 0, "o", 99).write.parquet(f"{log}/batch={number}")
+    assert read_metrics_log(spark, log).filter("window_start = 0").first()["total"] == 99
+    for n in range(number, number + 2):
+        fold_log(spark, log, n)
+    assert read_metrics_log(spark, log).filter("window_start = 0").first()["total"] == 99
+    assert read_metrics_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_folded_log_survives_a_restart(spark, tmp_path):
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    for part in range(3):
+        for i in range(3):
+            write_lines(source, f"{part}-{i}.json", [alert(10 * part + i, 20_000 * part + i)])
+        stream = flow_stream(spark, "json", source, ALERT_ROWS, maxFilesPerTrigger="1")
+        metrics_log_sink(window_metrics(stream), log, state, NOW, compact_every=2).awaitTermination()
+    totals = {r["window_start"]: r["total"] for r in read_metrics_log(spark, log).collect()}
+    assert totals == {0: 3, 20_000: 3, 40_000: 3}
+
+
+def test_kept_and_late_rows_are_the_input(spark, tmp_path):
+    source, base = str(tmp_path / "in"), str(tmp_path)
+    # Windows of 10 s; with 30 s of patience the first window is let go at 40,000.
+    for i, times in enumerate(([5000, 39_999], [9999, 40_000], [9999, 10_000, 40_001], [50_000, None])):
+        write_lines(source, f"{i}.json", [alert(f"{i}-{t}", t) for t in times])
+        os.utime(f"{source}/{i}.json", (1_000_000 + i, 1_000_000 + i))
+
+    def run():
+        stream = flow_stream(spark, "json", source, ALERT_ROWS, maxFilesPerTrigger="1")
+        split_late_rows(stream, f"{base}/kept", f"{base}/late", f"{base}/s", trigger=NOW).awaitTermination()
+        return (spark.read.parquet(f"{base}/kept").count(),
+                [r["event_id"] for r in spark.read.parquet(f"{base}/late").collect()])
+
+    assert run() == (8, ["e2-9999"])
+    assert len(os.listdir(f"{base}/late/_clock")) <= 3
+    write_lines(source, "9.json", [alert("new", 10_001), alert("old", 1)])
+    kept, late = run()
+    assert kept == 8 and sorted(late) == ["e2-9999", "enew", "eold"]
+
+
+LIVE = ("event_id string, ts_event bigint, ts_scored bigint, latency_ms double, org_id string, "
+        "device_id string, pred_class string, confidence double, is_attack boolean, true_label string")
+
+
+def test_live_state_equals_the_batch_summary_after_each_batch(spark, tmp_path):
+    from flowlens.operators.alerts import live_summary
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = []
+    for part in range(3):
+        for i in range(120):
+            k = 120 * part + i
+            rows.append((f"e{k:04d}", k, 400 * k, None if k % 50 == 7 else float(k % 83), None if k % 31 == 0 else f"o{k % 3}",
+                         "d", CLASSES[k % 4] if k % 9 else "other", 0.5, k % 4 != 0, None))
+        new = spark.createDataFrame(rows[-120:] + ([("null", 1, None, 1.0, "o", "d", "Web", 0.1, True, None)] if not part else []), LIVE)
+        new.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LIVE).parquet(source)
+        live_state_query(stream, state, recent=100, slots=4, trigger=NOW).awaitTermination()
+        for as_of in (rows[-1][2] // 1000 * 1000 + 1000, rows[-1][2] // 1000 * 1000 + 31_000):
+            seen = spark.createDataFrame(rows, LIVE)
+            expected = sorted(map(repr, map(tuple, live_summary(seen, as_of, recent=100).collect())))
+            assert sorted(map(repr, map(tuple, live_view(spark, state, as_of, recent=100).collect()))) == expected
+    with pytest.raises(ValueError, match="gone on"):
+        live_view(spark, state, 5)
+
+
+def test_live_state_is_bounded():
+    import pandas as pd
+
+    body = {"totals": [], "seconds": [], "newest": [], "clock": 0}
+    for k in range(30):
+        times = range(20_000 * k, 20_000 * k + 20_000, 100)
+        body = merge_alerts(body, pd.DataFrame({
+            "event_id": [f"e{t}" for t in times], "org_id": "o", "pred_class": "Web", "is_attack": True,
+            "ts_scored": [float(t) for t in times], "latency_ms": 1.0}), 60, 50)
+    assert len(body["seconds"]) <= 61 and len(body["newest"]) == 50 and body["totals"] == [["o", "Web", 6000]]
+    assert body["newest"][0][0] == body["clock"] == 599_900
