@@ -47,8 +47,9 @@ RULES = (
 )
 
 
-# Both spellings, so that words need no lower-casing.
-STOP_FORMS = tuple(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize())))
+# Small, capitalised and in capitals, so that words need no lower-casing.
+STOP_FORMS = tuple(dict.fromkeys(
+    form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
 
 
 def _replaced(text: Column, characters: str, by: str) -> Column:
