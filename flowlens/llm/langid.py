@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: ByteTrees, text: str = "text") -> DataFrame
 
     The language whose tree gives the whole text the shortest code; ties go to the first name.
     ``score`` is its share of the probability of all trees. A null text, an empty one or one
-    without a letter is ``und`` with score 0 and null bits. Columns of these names are replaced.
+    without a letter is ``und`` with score 0 and null bits. Columns of these names are replaced, all others stay.
     """
     held = Shipped(docs.sparkSession, model)
 
@@ -242,12 +242,16 @@ def identify(docs: DataFrame, model: ByteTrees, text: str = "text") -> DataFrame
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
         has_letter = F.lit(False)
-    found = named.withColumn("_language", predict(F.when(has_letter, F.col(text)).otherwise("")))
+    # The row travels as one value, so that no column can clash with the work columns.
+    rows = named.select(
+        F.struct("*").alias("row"), has_letter.alias("has_letter"),
+        F.when(has_letter, F.col(text)).otherwise("").alias("text"))
+    found = rows.select("row", "has_letter", predict("text").alias("language"))
     return found.select(
-        *named.columns,
-        F.when(has_letter, F.col("_language.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(has_letter, F.col("_language.score")).otherwise(0.0).alias("score"),
-        F.when(has_letter, F.col("_language.bits_per_byte")).alias("bits_per_byte"),
+        "row.*",
+        F.when(F.col("has_letter"), F.col("language.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("has_letter"), F.col("language.score")).otherwise(0.0).alias("score"),
+        F.when(F.col("has_letter"), F.col("language.bits_per_byte")).alias("bits_per_byte"),
     )
 
 

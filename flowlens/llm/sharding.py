@@ -68,15 +68,17 @@ def assign_shards(
     ``bundles`` at most; the lighter groups are dealt by hash into ``bundles`` units. Spark sums
     the units, the driver combines that bounded list by differencing, and the shards come back by
     a join of bounded size. Rows with a null group form one group; null sizes count as 0. A column
-    called shard is replaced.
+    called shard is replaced, all others stay.
     """
     spark = rows.sparkSession
     group = F.col(group) if isinstance(group, str) else group
     size = F.col(size) if isinstance(size, str) else size
-    keyed = rows.drop("shard").withColumns({
-        "_group": F.xxhash64(group.cast("string")), "_check": F.md5(F.coalesce(group.cast("string"), F.lit(""))),
-        "_size": F.coalesce(size.cast("long"), F.lit(0)),
-    })
+    # The row travels as one value, so that no column can clash with the work columns.
+    keyed = rows.select(
+        F.struct(*[c for c in rows.columns if c != "shard"]).alias("_row"),
+        F.xxhash64(group.cast("string")).alias("_group"),
+        F.md5(F.coalesce(group.cast("string"), F.lit(""))).alias("_check"),
+        F.coalesce(size.cast("long"), F.lit(0)).alias("_size"))
     bundle = F.pmod(F.col("_group"), F.lit(bundles))
     groups = stored(
         keyed.groupBy("_group", "_check").agg(F.sum("_size").alias("bytes")), "groups")
@@ -97,8 +99,7 @@ def assign_shards(
         keyed.withColumn("_bundle", bundle)
         .join(F.broadcast(heavy_map), ["_group", "_check"], "left")
         .join(F.broadcast(light_map), "_bundle", "left")
-        .withColumn("shard", F.coalesce("_heavy", "_light"))
-        .select(*[c for c in rows.columns if c != "shard"], "shard")
+        .select("_row.*", F.coalesce("_heavy", "_light").alias("shard"))
     )
 
 
@@ -106,23 +107,25 @@ def number_slots(rows: DataFrame, order: Column | str, ranges: int = SLOT_RANGES
     """``rows`` with ``slot``: 0, 1, … inside each shard, without one task for a shard.
 
     Rows are numbered inside (shard, hash range of ``order``) and moved by the counts of the
-    ranges before. Numbers of rows with equal ``order`` are arbitrary, so ``rows`` must be stored.
+    ranges before. Numbers of rows with equal ``order`` are arbitrary, so ``rows`` must be stored. A
+    column called slot is replaced, all others stay.
     """
     from pyspark.sql import Window
 
     order = F.col(order) if isinstance(order, str) else order
     # The partition and position are fixed, as the rows are stored; they spread equal keys.
-    placed = stored(rows.drop("slot").withColumn(
-        "_range", F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(ranges))), "slots")
-    counts = placed.groupBy("shard", "_range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("shard", "_range").orderBy(F.xxhash64(order))
+    placed = stored(rows.select(
+        F.struct(*[c for c in rows.columns if c != "slot"]).alias("row"), F.col("shard").alias("part"),
+        F.xxhash64(order).alias("place"),
+        F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(ranges)).alias("range")), "slots")
+    counts = placed.groupBy("part", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("part", "range").orderBy("place")
     return (
-        placed.withColumn("_number", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), ["shard", "_range"])
-        .withColumn("slot", (F.col("_number") + F.col("_offset")).cast("long"))
-        .drop("_range", "_number", "_offset")
+        placed.withColumn("number", F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), ["part", "range"])
+        .select("row.*", (F.col("number") + F.col("offset")).cast("long").alias("slot"))
     )
 
 

@@ -285,13 +285,14 @@ def hex_fingerprint(fp: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id.
 
-    Of several rows with that id one stays. Rows with a null id all stay.
+    Of several rows with that id one stays. Rows with a null id all stay. All columns stay.
     """
     kept = simhash_groups(docs, budget).filter("doc_id = component_id").select(
         F.col("doc_id").alias("_kept_id"), F.col("tied").alias("_tied")).distinct()
     kept = stored(kept, "kept")
     # A merge join at any size: what is kept grows with the documents, so it is never broadcast.
-    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept_id"))
-    single = rows.filter(~F.col("_tied")).select(*docs.columns)
-    several = rows.filter("_tied").select(*docs.columns).dropDuplicates(["doc_id"])
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).join(
+        kept.hint("merge"), F.col("_id") == F.col("_kept_id"))
+    single = rows.filter(~F.col("_tied")).select("_row.*")
+    several = rows.filter("_tied").dropDuplicates(["_id"]).select("_row.*")
     return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))

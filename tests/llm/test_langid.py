@@ -89,6 +89,15 @@ def test_odd_texts_and_clashing_columns(spark):
     assert identify(docs, train(docs)).filter(accepted()).filter("text IS NULL").count() == 0
 
 
+def test_columns_named_like_work_columns_stay(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, sentence(lang, rng), lang, f"own{i}", i, True) for i, lang in enumerate(list(WORDS) * 3)]
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, _language string, row int, has_letter boolean")
+    got = identify(docs, train(docs)).select(*docs.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "aa")], "doc_id bigint, text string, lang string")
     assert {r.lang_pred for r in identify(docs, train(docs)).collect()} == {"und"}

@@ -54,6 +54,18 @@ def test_shards_are_balanced_and_groups_whole(spark, hot):
     assert max(sizes) - min(sizes) <= 0.01 * sum(sizes)
 
 
+def test_columns_named_like_work_columns_stay(spark):
+    from flowlens.llm.common import stored
+    from flowlens.llm.sharding import number_slots
+
+    rows = spark.createDataFrame(
+        [(i, f"g{i % 5}", i + 1, i * 10, "own", 7) for i in range(40)],
+        "i int, g string, b int, _size int, _range string, _row int")
+    placed = number_slots(stored(assign_shards(rows, "g", "b", 3), "rows"), "i")
+    assert placed.columns == [*rows.columns, "shard", "slot"]
+    assert sorted(tuple(r)[:6] for r in placed.collect()) == sorted(map(tuple, rows.collect()))
+
+
 def test_null_groups_and_empty_table(spark):
     rows = spark.createDataFrame([(1, None, None), (2, None, 5), (3, "a", 5)], "i int, g string, b int")
     got = {r.i: r.shard for r in assign_shards(rows, "g", "b", 2).collect()}

@@ -133,6 +133,12 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
 
 
+def test_columns_named_like_work_columns_and_long_texts_stay(spark):
+    rows = [(1, "long words " * 100_000, True, 5, "r"), (2, "long words " * 100_000, False, 6, "s"), (3, "x", None, 7, "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _tied boolean, _kept_id int, _row string")
+    assert sorted(map(tuple, drop_near_duplicates(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash_groups(docs).count() == 0
