@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.network import initial_weights
 from flowlens.functions.scalar import (
     argmax_index, class_index, class_name, columns_to_map, features_to_vector, is_finite,
-    signed_log1p, try_numeric,
+    model_version, signed_log1p, try_numeric,
 )
 from flowlens.labels import Taxonomy
 from flowlens.operators import alerts as al
@@ -38,10 +38,10 @@ from flowlens.plans.fixtures import (
     linear_model, millis, rounded, run_documents, table, vectors,
 )
 from flowlens.session import durable, scratch_path
-from flowlens.sources.flows import read_flow_csv, to_flow_events
+from flowlens.sources.flows import load_feature_stats, read_flow_csv, to_flow_events
 from flowlens.sources.runs import read_result_csv, read_run_documents
 from flowlens.sources.sinks import (
-    append_results, pending_keys, write_partitioned, write_splits, write_table,
+    append_results, pending_keys, write_named_csv, write_partitioned, write_splits, write_table,
 )
 from flowlens.streaming import events as st
 from flowlens.streaming import live as lv
@@ -136,6 +136,50 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_flow_csv(spark, path).drop("source_file")
 
 
+@query("SELECT CAST(event_id % 3 AS VARCHAR) AS part, event_type AS label, count(*) AS n, sum(event_id) AS ids "
+       "FROM events WHERE event_id % 3 < 2 GROUP BY ALL")
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow files of two column orders: the first two of three by name, rows counted by their file."""
+    path = scratch_path(spark, "csv")
+    rows = table(spark, sf_dir, "events")
+    for k, names in enumerate((["event_id", "value", "label"], ["label", "event_id", "value"], ["value", "event_id", "label"])):
+        part = rows.filter(F.col("event_id") % 3 == k).withColumnRenamed("event_type", "label").select(*names)
+        write_named_csv(part, path, f"part-{k}.csv")
+    flows = read_flow_csv(spark, path, max_files=2)
+    number = F.regexp_extract("source_file", r"part-(\d)\.csv$", 1)
+    return flows.groupBy(number.alias("part"), "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
+
+
+@query("""SELECT 'priority-' || substr(o_orderpriority, 1, 1) AS run_name, 'fedavg' AS method, 0.01::DOUBLE AS mu,
+  count(*) AS train_rows, round(avg(o_totalprice) / 1000000, 6) AS macro_f1, 2 AS rounds,
+  round(max(o_totalprice) / 1000000, 6) AS last_f1 FROM orders GROUP BY o_orderpriority""")
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run documents, one JSON file each beside a broken one, read back."""
+    path = scratch_path(spark, "runs")
+    price = F.col("o_totalprice").cast("double") / 1_000_000
+    runs = durable(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.concat(F.lit("priority-"), F.substring(F.first("o_orderpriority"), 1, 1)).alias("run_name"),
+        F.lit("fedavg").alias("method"), F.lit(0.01).alias("mu"), F.lit(2).alias("rounds"),
+        F.count(F.lit(1)).alias("train_rows"), F.struct(F.avg(price).alias("macro_f1")).alias("test_metrics"),
+        F.array(
+            F.struct(F.lit(1).alias("round"), F.min(price).alias("global_val_macro_f1")),
+            F.struct(F.lit(2).alias("round"), F.max(price).alias("global_val_macro_f1"))).alias("history"),
+    ).drop("o_orderpriority"))
+    for (name,) in runs.select("run_name").collect():
+        rp.run_detail(runs, name).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame([('{"run_name": "broken", ',)], "value string").coalesce(1).write.mode("append").text(path)
+    return rounded(read_run_documents(spark, path).select(
+        "run_name", "method", "mu", "train_rows", F.col("test_metrics.macro_f1").alias("macro_f1"), "rounds",
+        rp.last_round("global_val_macro_f1").alias("last_f1")))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size > 5 THEN p_brand END, 'unknown') || ':' || p_name AS version FROM part")
+def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_size") > 5, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", model_version(kind, "p_name").alias("version"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS run_name, o_orderstatus AS method, "
        "o_totalprice AS test_macro_f1, try_cast(o_orderpriority AS DOUBLE) AS alpha FROM orders")
 def result_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,6 +386,16 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.fit_feature_stats(line_flows(spark, sf_dir), LINE_FEATURES))
 
 
+@query("WITH " + LINES + " " + " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{c}' AS feature, round(avg({_log(c)}), 6) AS mean, "
+    f"round(stddev_pop({_log(c)}), 6) AS std FROM lines" for i, c in enumerate(LINE_FEATURES) if c != "tax"))
+def stored_feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature statistics written as a table and loaded without a dropped feature."""
+    path = scratch_path(spark, "stats")
+    write_table(pf.fit_feature_stats(line_flows(spark, sf_dir), LINE_FEATURES), path)
+    return rounded(load_feature_stats(spark, path, ["tax"]))
+
+
 @query("WITH " + LINES + " SELECT ["
        + ", ".join(f"'{c}'" for c in LINE_FEATURES) + "][i] AS feature, i - 1 AS place, "
        + "[" + ", ".join(f"round(avg({_log(c)}), 6)" for c in LINE_FEATURES) + "][i] AS mean, "
@@ -830,6 +884,21 @@ def scoring_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence")), 4)
 
 
+@query(f"""WITH {EVENT_LOGITS} SELECT event_id, ts_event, org_id, pred_class, round(confidence, 6) AS confidence,
+  pred_class <> 'Benign' AS is_attack, 'test:linear' AS model_version FROM scored""")
+def alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows as a stream, scored by a fixed model into a table of alerts; run twice on one checkpoint."""
+    raw, out, state = (scratch_path(spark, n) for n in ("flows", "alerts", "alerts-state"))
+    rows = flow_events(spark, sf_dir)
+    rows.write.parquet(raw)
+    for _ in range(2):
+        st.alerts_query(
+            st.flow_stream(spark, "parquet", raw, rows.schema), _event_model(), EVENT_MODEL_STATS, state,
+            fmt="parquet", path=out, trigger={"availableNow": True}).awaitTermination()
+    return rounded(spark.read.parquet(out).select(
+        "event_id", "ts_event", "org_id", "pred_class", "confidence", "is_attack", "model_version"))
+
+
 # --- Alerts --------------------------------------------------------------------------
 
 AS_OF = 1706745600000

@@ -61,3 +61,17 @@ def pending_keys(requested: DataFrame, done: DataFrame, keys: Sequence[str]) ->
     for term in same[1:]:
         condition = condition & term
     return requested.join(finished, condition, "left_anti")
+
+
+def write_named_csv(df: DataFrame, path: str, name: str) -> None:
+    """One CSV file of the given name in a folder of such files; for small tables, as one task writes it."""
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}/_{name}"
+    df.coalesce(1).write.mode("overwrite").csv(staging, header=True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    file_system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in file_system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    if not file_system.rename(part, target):
+        raise OSError(f"cannot write {target}")
+    file_system.delete(folder, True)
