@@ -183,8 +183,9 @@ def pack(
 
     Partitions pack their items best-fit and give out the nearly full bins. The others are items
     of the next round, merged into fewer partitions, until one partition has seen all that is
-    left or another round frees no bin. A task takes ``task_items`` items at most. ``item`` must
-    be unique and lengths from 1 to ``capacity``; bin numbers are arbitrary.
+    left or a round frees less than one bin in a hundred; bins of different tasks are then left
+    apart though some may fit each other. A task takes ``task_items`` items at most. ``item``
+    must be unique and lengths from 1 to ``capacity``; bin numbers are arbitrary.
     """
     limit = int(capacity * (1 - slack))
 
