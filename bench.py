@@ -64,7 +64,7 @@ def scored_lines(spark: SparkSession, sf_dir: str):
     dims = (len(LINE_FEATURES), 256, 128, 64, 8)
     lines = line_flows(spark, sf_dir)
     return lines.unionByName(lines).select(class_probabilities(
-        columns_to_vector(LINE_FEATURES), Model(dims, initial_weights(dims, 42))))
+        columns_to_vector(LINE_FEATURES), Model(dims, initial_weights(dims, 42)), single=True))
 
 
 # Operators as users run them. The registered queries round every double and rank by md5,
