@@ -2,8 +2,9 @@
 
 A text is coded byte by byte, each byte as the decisions on its way through a code tree. Several
 predictors look the decision up under different contexts. Their counts are exact and grow with the
-training corpus: a stored table that meets the contexts of each block of texts. A gate picks a weight set, the weighted predictions become one probability, and
-an adaptive map refines it. Weights and map learn while a text is coded.
+training corpus: a stored table that meets the contexts of each block of texts. A gate picks a
+weight set, the weighted predictions become one probability, and an adaptive map refines it.
+Weights and map learn all through a text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,10 @@ CONTEXTS = (2, 3, 5, 0)
 # The predictors of these numbers, known or not, select the weights.
 GATES = (1, 2)
 GATE = 2  # the longest; alone where ``mixed_bits`` is asked for one gate
-SLICE = 400_000  # bytes coded at once in a task
+SLICE = 2_000_000  # bytes coded at once in a task
 GRAMS = 2_000_000  # grams that a task holds before it hands them on, or looks up at once
-# Symbols after which the learned weights start anew, decisions between two updates.
-SEGMENT = 1024
-BATCH = 32
+# Decisions between two updates, at first and later in a long text.
+BATCH, STEADY, LARGEST = 32, 2048, 2048
 START_WEIGHT, RATE = 0.4, 0.015
 MAP_BINS, MAP_RATE, MAP_LIMIT = 24, 0.02, 8.0
 
@@ -226,41 +227,40 @@ class Shared:
 def coded_bits(tree: CodeTrees, grams: np.ndarray, odds: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Total code length in bits of every text, its end included.
 
-    ``odds`` are those of the decisions of ``grams``, among which are all grams of the texts.
+    ``odds``, a column per decision, are those of the decisions of ``grams``, among which are all
+    grams of the texts. They are read by rows: best given as the transpose of an array of rows.
     """
-    steps = tree.length[gram_pairs(grams)]
-    order = np.argsort(grams, kind="stable")
-    grams, begin = grams[order], (np.cumsum(steps) - steps)[order]
+    branch, _, steps = decisions(tree, gram_pairs(grams))
+    begin, steps, known = (np.cumsum(steps) - steps).astype(np.int32), steps.astype(np.int32), pa.array(grams)
+    odds = np.ascontiguousarray(odds.T).T
 
-    def coded(symbols: np.ndarray, offsets: np.ndarray, low: int, high: int) -> np.ndarray:
+    def way(symbols: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each decision of the symbols low .. high; the ends of each symbol's decisions."""
         before = max(0, low - 8)
         edges = np.unique(np.clip(offsets, before, high)) - before
-        found = pa.array(grams_of(symbols[before:high], edges)[low - before:]).dictionary_encode()
-        kinds = found.dictionary.to_numpy()
-        place, which = np.searchsorted(grams, kinds), found.indices.to_numpy()
-        pairs = gram_pairs(kinds)[which]
-        branch, _, steps = decisions(tree, pairs)
-        slot = ranges(begin[place][which], steps)
-        offsets = np.clip(offsets, low, high) - low
-        sizes = np.diff(offsets)
-        parts = -(-sizes // SEGMENT)
-        starts = np.repeat(offsets[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * SEGMENT
-        total = np.concatenate([[0], np.cumsum(steps)])
-        ends = np.append(starts[1:], high - low)
-        cost = mixed_bits(list(odds), [slot] * len(odds), branch, total[starts], total[ends], GATES)
-        return np.bincount(np.repeat(np.arange(len(parts)), parts), weights=cost, minlength=len(parts))
+        found = pa.array(grams_of(symbols[before:high], edges)[low - before:])
+        which = pc.index_in(found, value_set=known).to_numpy()
+        own = steps.take(which)
+        ends = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(own, out=ends[1:])
+        slot = np.arange(ends[-1], dtype=np.int32)
+        slot += np.repeat(begin.take(which) - ends[:-1].astype(np.int32), own)
+        return slot, ends
 
     result = np.zeros(len(texts))
     lengths = np.diff(utf8(texts)[1])
     for start, stop in slices(lengths, SLICE):
         symbols, offsets = symbols_of(texts.slice(start, stop - start))
         if int(lengths[start]) <= SLICE:
-            result[start:stop] = coded(symbols, offsets, 0, len(symbols))
-        else:  # one long text, whole segments at a time
-            window = SLICE // SEGMENT * SEGMENT
-            result[start] = sum(
-                coded(symbols, offsets, low, min(low + window, len(symbols))).sum()
-                for low in range(0, len(symbols), window))
+            slot, ends = way(symbols, offsets, 0, len(symbols))
+            ends = ends[offsets]
+            result[start:stop] = mixed_bits(odds, [slot] * len(odds), branch, ends[:-1], ends[1:], GATES)
+        else:  # one long text, a window at a time; its state goes on
+            lane = Lanes(1, len(odds), GATES)
+            for low in range(0, len(symbols), SLICE):
+                high = min(low + SLICE, len(symbols))
+                slot, _ = way(symbols, offsets, low, high)
+                result[start] += lane.code_on(odds.T, slot, branch, high == len(symbols))
     return result
 
 
@@ -289,7 +289,7 @@ class Mixer:
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Code lengths of a few texts, looked up here; ``block_bits`` does it for a table."""
-        grams, odds = np.unique(np.concatenate([np.zeros(0, np.uint64), *gram_slices(texts, 4 * SLICE)])), []
+        grams, odds = np.unique(np.concatenate([np.zeros(0, np.uint64), *gram_slices(texts, SLICE)])), []
         order, edges = dealt(grams, self.buckets)
         grams = grams[order]
         held = {r["bucket"]: r for r in self.table.collect()}
@@ -308,77 +308,134 @@ class Mixer:
             for r in rows)], axis=1)
 
 
+def batches(begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """(first decision, decisions) of a text's batches from ``begin`` up to ``end``.
+
+    ``BATCH`` decisions each; beyond ``STEADY`` decisions twice as many, beyond twice ``STEADY``
+    four times as many, and so on up to ``LARGEST``.
+    """
+    while begin < end:
+        size = BATCH
+        while size < LARGEST and begin >= STEADY * (size // BATCH):
+            size *= 2
+        yield begin, size
+        begin += size
+
+
+class Lanes:
+    """Texts coded side by side, a batch of decisions of each at a time; each learns by itself.
+
+    Which of the ``gates`` predictors know their context selects one of the weight sets. Weights
+    follow the gradient of the code length, the map follows the branches, both after each batch
+    and all through a text. A larger batch takes smaller steps, as many decisions teach alike.
+    """
+
+    def __init__(self, lanes: int, predictors: int, gates: tuple[int, ...]):
+        self.gates = gates
+        self.weights = np.full((1 << len(gates), predictors, lanes), START_WEIGHT, np.float32)
+        # A predictor that does not know its context adds nothing to a set.
+        self.terms = [[k for k in range(predictors) if k not in gates or number >> gates.index(k) & 1]
+                      for number in range(1 << len(gates))]
+        spots = np.linspace(-MAP_LIMIT, MAP_LIMIT, MAP_BINS, dtype=np.float32)
+        self.refined = np.tile(1 / (1 + np.exp(-spots)), lanes).astype(np.float32)
+        self.done = 0
+        self.rest = np.zeros(0, np.int32)
+
+    def code_on(self, odds: np.ndarray, slot: np.ndarray, branch: np.ndarray, last: bool) -> float:
+        """Code length of the next decisions of the only lane; an unfilled batch waits unless ``last``."""
+        slot = np.concatenate([self.rest, slot])
+        end = self.done + len(slot)
+        whole = self.done
+        for begin, size in batches(self.done, end):
+            if begin + size <= end or last:
+                whole = min(begin + size, end)
+        stop = whole - self.done
+        bits = self.code(odds, slot, branch, np.array([0]), np.array([stop]))
+        self.done, self.rest = whole, slot[stop:]
+        return float(bits[0])
+
+    def code(self, odds: np.ndarray, slot: np.ndarray, branch: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Code length of the decisions ``first .. stop`` of every lane, the longest lane first.
+
+        A decision's row of ``odds`` and its ``branch`` are those of its ``slot``.
+        """
+        length = stop - first
+        cost = np.zeros(len(length))
+        scale = np.float32((MAP_BINS - 1) / (2 * MAP_LIMIT))
+        middle = np.float32(MAP_LIMIT) * scale + np.float32(0.5)
+        bins = np.arange(len(length)) * MAP_BINS
+        for begin, size in batches(self.done, self.done + int(length.max(initial=0))):
+            at = begin - self.done
+            n = int(np.searchsorted(-length, -at, side="left"))
+            index = at + np.arange(size)[:, None]
+            real = None
+            if length[n - 1] < at + size:  # a batch shorter than the others repeats its last decision
+                real = index < length[:n]
+                index = np.minimum(index, length[:n] - 1)
+            index = index + first[:n]
+            index = slot.take(index)
+            rows = odds.take(index, axis=0)
+            x = [np.ascontiguousarray(rows[:, :, k]) for k in range(rows.shape[2])]
+            y = branch.take(index).astype(np.float32)
+            known = np.zeros(y.shape, np.int8)
+            for bit, k in enumerate(self.gates):
+                known |= (x[k] != 0).view(np.int8) << bit
+            stretched, sets = None, []
+            for number, own in enumerate(self.weights):
+                chosen = known == number
+                if chosen.any():
+                    sets.append((number, chosen))
+                    head, *others = self.terms[number]
+                    total = x[head] * own[head, :n]
+                    for k in others:
+                        total += x[k] * own[k, :n]
+                    if stretched is None:
+                        stretched = total
+                    else:
+                        np.copyto(stretched, total, where=chosen)
+            np.clip(stretched, -MAP_LIMIT, MAP_LIMIT, out=stretched)
+            mixed = np.exp(-stretched)
+            mixed += 1
+            np.reciprocal(mixed, out=mixed)
+            spot = (stretched * scale + middle).astype(np.int64)
+            spot += bins[:n]
+            error, off = y - mixed, y - self.refined.take(spot)
+            # The probability of the branch taken, half by the weights, half by the map.
+            taken = 1 - np.abs(np.float32(0.5) * (error + off))
+            np.maximum(taken, np.float32(1e-5), out=taken)
+            off += 1024
+            if real is not None:
+                taken[~real] = 1
+                error *= real
+                off *= real
+            # Four probabilities of at least 1e-5 have a product that single precision holds.
+            cost[:n] -= np.log2(np.multiply.reduce(taken.reshape(-1, 4, n), axis=1)).sum(axis=0, dtype=np.float64)
+            error *= np.float32(RATE * BATCH / size)
+            for number, chosen in sets:
+                gated = error * chosen
+                for k in self.terms[number]:
+                    self.weights[number, k, :n] += np.einsum("ij,ij->j", gated, x[k])
+            # Hits and misses of the map's bins in one sum: 1,024 for a hit, the miss beside it.
+            seen = np.bincount(spot.ravel(), weights=off.ravel(), minlength=n * MAP_BINS)
+            hits = np.rint(seen / 1024)
+            # At most a full step towards the mean of what was seen.
+            self.refined[:n * MAP_BINS] += ((seen - 1024 * hits) * (MAP_RATE / (1 + MAP_RATE * hits))).astype(np.float32)
+        return cost
+
+
 def mixed_bits(
-    odds: list[np.ndarray], slots: list[np.ndarray], branch: np.ndarray,
+    odds: np.ndarray | list[np.ndarray], slots: list[np.ndarray], branch: np.ndarray,
     first: np.ndarray, stop: np.ndarray, gates: tuple[int, ...] = (GATE,),
 ) -> np.ndarray:
-    """Code length of every segment ``first .. stop`` of decisions; segments learn independently.
+    """Code length of every text, whose decisions are ``first .. stop``; texts learn independently.
 
-    Segments are coded side by side, ``BATCH`` decisions of each at a time. Which of the ``gates``
-    predictors know their context selects one of the weight sets. Weights follow the gradient of the code length, the map
-    follows the branches, both after each batch.
+    ``odds`` are those of each predictor by slot, ``branch`` those of the slots; ``slots`` tell the
+    slot of each decision, the same for all predictors.
     """
+    rows = np.ascontiguousarray(np.asarray(odds).T)
     order = np.argsort(first - stop, kind="stable")
-    first, length = first[order], (stop - first)[order]
-    lanes = len(first)
-    result = np.zeros(lanes)
-    if not lanes or not length[0]:
-        return result
-    # All batches by step and lane; a batch shorter than the others repeats its last decision.
-    steps = -(-length // BATCH)
-    active = np.searchsorted(-steps, -np.arange(1, steps[0] + 1), side="right")
-    lane = ranges(np.zeros(len(active), np.int64), active)
-    step = np.repeat(np.arange(len(active)), active)
-    place = step[:, None] * BATCH + np.arange(BATCH)
-    real = place < length[lane, None]
-    index = first[lane, None] + np.minimum(place, length[lane, None] - 1)
-    inputs = [table[slot[index]] for table, slot in zip(odds, slots)]
-    target = branch[index].astype(np.float32)
-    known = np.zeros(target.shape, np.int8)
-    for bit, k in enumerate(gates):
-        known |= (inputs[k] != 0).astype(np.int8) << bit
-    weights = np.full((1 << len(gates), len(inputs), lanes, 1), START_WEIGHT, np.float32)
-    spots = np.linspace(-MAP_LIMIT, MAP_LIMIT, MAP_BINS, dtype=np.float32)
-    refined = np.tile(1 / (1 + np.exp(-spots)), lanes).astype(np.float32)
-    scale = np.float32((MAP_BINS - 1) / (2 * MAP_LIMIT))
-    middle = np.float32(MAP_LIMIT) * scale + np.float32(0.5)
-    row = (np.arange(lanes) * MAP_BINS)[:, None]
-    cost = np.zeros(lanes)
-    begin = 0
-    for n in active.tolist():
-        part = slice(begin, begin + n)
-        begin += n
-        x, y, gate, counts = [column[part] for column in inputs], target[part], known[part], real[part]
-        sums = []
-        for own in weights:
-            total = x[0] * own[0, :n]
-            for k in range(1, len(x)):
-                total += x[k] * own[k, :n]
-            sums.append(total)
-        stretched = sums[0]
-        for number in range(1, len(sums)):
-            np.copyto(stretched, sums[number], where=gate == number)
-        np.clip(stretched, -MAP_LIMIT, MAP_LIMIT, out=stretched)
-        mixed = 1 / (1 + np.exp(-stretched))
-        spot = (stretched * scale + middle).astype(np.int64)
-        spot += row[:n]
-        mapped = refined[spot]
-        # The probability of the branch taken, half by the weights, half by the map.
-        taken = np.abs(1 - y - np.float32(0.5) * (mixed + mapped))
-        np.maximum(taken, np.float32(1e-5), out=taken)
-        cost[:n] -= np.where(counts, np.log2(taken), 0).sum(axis=1, dtype=np.float64)
-        error = np.where(counts, np.float32(RATE) * (y - mixed), 0)
-        for number, own in enumerate(weights):
-            gated = np.where(gate == number, error, 0)
-            for k, column in enumerate(x):
-                own[k, :n] += np.einsum("ij,ij->i", gated, column)[:, None]
-        # Hits and misses of the map's bins in one sum: 1,024 for a hit, the miss beside it.
-        seen = np.bincount(spot.ravel(), weights=np.where(counts, 1024 + y - mapped, 0).ravel(),
-                           minlength=n * MAP_BINS)
-        hits = np.rint(seen / 1024)
-        # At most a full step towards the mean of what was seen.
-        refined[:n * MAP_BINS] += ((seen - 1024 * hits) * (MAP_RATE / (1 + MAP_RATE * hits))).astype(np.float32)
-    result[order] = cost
+    result = np.zeros(len(first))
+    result[order] = Lanes(len(first), len(odds), gates).code(rows, slots[0], branch, first[order], stop[order])
     return result
 
 
@@ -408,7 +465,7 @@ def train(docs: DataFrame, text: str = "text") -> Mixer:
             ], ["bucket", "grams", "counts"])
 
         for batch in batches:
-            for grams in gram_slices(batch["text"], 4 * SLICE):
+            for grams in gram_slices(batch["text"], SLICE):
                 held.append(np.unique(grams, return_counts=True))
                 rows += len(held[-1][0])
                 if rows >= GRAMS:
@@ -470,7 +527,7 @@ def block_bits(blocks: DataFrame, model: Mixer) -> DataFrame:
         for batch in batches:
             for block, sizes, data in zip(*(batch[c] for c in ("block", "text_sizes", "text_data"))):
                 texts = unpack_strings(sizes.as_py(), data.as_py())
-                parts = [pa.array(g).unique().to_numpy() for g in gram_slices(texts, SLICE)]
+                parts = [pa.array(g).unique().to_numpy() for g in gram_slices(texts, SLICE // 4)]
                 grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
                 order, edges = dealt(grams, buckets)
                 grams = grams[order]
@@ -508,9 +565,13 @@ def block_bits(blocks: DataFrame, model: Mixer) -> DataFrame:
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = unpack_strings(left["text_sizes"][0].as_py(), left["text_data"][0].as_py())
         grams = np.concatenate([np.zeros(0, np.uint64), *(expand_grams(b) for b in right["grams"].to_pylist())])
-        odds = np.concatenate([np.zeros((len(CONTEXTS), 0), np.float32), *(
-            expand(b, np.float32).reshape(len(CONTEXTS), -1) for b in right["odds"].to_pylist())], axis=1)
-        bits = coded_bits(held.get().tree, grams, odds, texts)
+        tree = held.get().tree
+        rows, at = np.empty((int(tree.length[gram_pairs(grams)].sum()), len(CONTEXTS)), np.float32), 0
+        for blob in right["odds"]:
+            part = expand(blob.as_py(), np.float32).reshape(len(CONTEXTS), -1)
+            rows[at:at + part.shape[1]] = part.T
+            at += part.shape[1]
+        bits = coded_bits(tree, grams, rows.T, texts)
         return pa.table({"block": left["block"].slice(0, 1), "bits": pa.array([bits.tolist()], pa.list_(pa.float64()))})
 
     asked = heads.mapInArrow(ask, "block bigint, bucket int, grams binary")
