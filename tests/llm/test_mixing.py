@@ -223,3 +223,37 @@ def test_blocks_meet_the_whole_table(spark, monkeypatch, block, grams):
     model = train(docs.filter("training"))
     got = {r.doc_id: -r.score / math.log10(2) for r in language_scores(docs, model, "training").collect()}
     assert np.allclose([got[i] for i in range(len(texts))], model.bits(pa.array(texts)), rtol=1e-5)
+
+
+def test_long_texts_learn_in_larger_batches_across_windows(monkeypatch):
+    monkeypatch.setattr(mixing, "STEADY", 128)
+    rng = np.random.default_rng(5)
+    inputs = [(rng.normal(size=1500) * (rng.random(1500) > 0.4)).astype(np.float32) for _ in mixing.CONTEXTS]
+    branch = rng.integers(0, 2, 1500).astype(np.int8)
+    sets = (inputs[1] != 0) + 2 * (inputs[2] != 0)
+    spots = np.linspace(-mixing.MAP_LIMIT, mixing.MAP_LIMIT, mixing.MAP_BINS)
+    mapped, weights, bits = 1 / (1 + np.exp(-spots)), np.full((4, 4), mixing.START_WEIGHT), 0.0
+    sizes = dict(mixing.batches(0, 1500))
+    assert [*sizes.items()][:7] == [(0, 32), (32, 32), (64, 32), (96, 32), (128, 64), (192, 64), (256, 128)]
+    cuts = [*sizes, 1500]
+    for low, high in zip(cuts, cuts[1:]):
+        size = sizes[low]
+        moved, seen, hits = np.zeros((4, 4)), np.zeros(len(spots)), np.zeros(len(spots))
+        for i in range(low, high):
+            x, y = np.array([float(c[i]) for c in inputs]), int(branch[i])
+            s = min(max(float(x @ weights[sets[i]]), -mixing.MAP_LIMIT), mixing.MAP_LIMIT)
+            p = 1 / (1 + math.exp(-s))
+            spot = int((s + mixing.MAP_LIMIT) * (mixing.MAP_BINS - 1) / (2 * mixing.MAP_LIMIT) + 0.5)
+            final = 0.5 * (p + mapped[spot])
+            bits -= math.log2(final if y else 1 - final)
+            moved[sets[i]] += mixing.RATE * mixing.BATCH / size * (y - p) * x
+            hits[spot] += 1
+            seen[spot] += y - mapped[spot]
+        weights += moved
+        mapped = mapped + seen * mixing.MAP_RATE / (1 + mixing.MAP_RATE * hits)
+    rows, slot = np.ascontiguousarray(np.array(inputs).T), np.arange(1500, dtype=np.int32)
+    got = mixed_bits(inputs, [slot] * 4, branch, np.array([0]), np.array([1500]), mixing.GATES)
+    assert math.isclose(got[0], bits, rel_tol=1e-4)
+    lane = mixing.Lanes(1, 4, mixing.GATES)
+    parts = [lane.code_on(rows, slot[a:b], branch, b == 1500) for a, b in ((0, 10), (10, 700), (700, 1490), (1490, 1500))]
+    assert math.isclose(sum(parts), got[0], rel_tol=1e-6)
