@@ -554,16 +554,18 @@ def fit_federated(
     store: str | None = None,
     checkpoint_every: int = 5,
     shard_rows: int = SHARD_ROWS,
+    start: np.ndarray | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
     """Federated averaging over a table from ``lay_out_clients``.
 
     Returns the global weights and one history entry per round. With ``store``
     rounds are checkpointed there, and a later call continues after the last one.
+    ``start`` are the weights before the first round, drawn from the seed by default.
     """
     spark = clients.sparkSession
     done, weights, history = load_rounds(spark, store) if store else (0, None, [])
     if weights is None:
-        weights = initial_weights(settings.dims, settings.seed)
+        weights = initial_weights(settings.dims, settings.seed) if start is None else start
     ids = [r[0] for r in clients.select("client_id").distinct().collect()]
     val = durable(val.select("features", "label"))
     any_large = not clients.filter("shards > 1").isEmpty()
@@ -637,12 +639,13 @@ def run_document(
 
 def fit_local_only(
     clients: DataFrame, test: DataFrame, settings: LocalTraining, rounds: int = 20,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int = SHARD_ROWS, start: np.ndarray | None = None,
 ) -> DataFrame:
     """Every client alone for ``rounds * epochs`` epochs, then scored on the common test set.
 
-    Returns ``client_id, macro_f1``.
+    Returns ``client_id, macro_f1``. ``start`` are the first weights, drawn from the seed by default.
     """
-    start = initial_weights(settings.dims, settings.seed)
+    if start is None:
+        start = initial_weights(settings.dims, settings.seed)
     alone = replace(settings, epochs=rounds * settings.epochs, mu=0.0)
     return evaluate_models(test, train_clients(clients, start, alone, shard_rows), settings.dims)

@@ -42,6 +42,34 @@ def dirichlet_counts(
     return plan
 
 
+def dirichlet_fractions(
+    classes: Sequence, num_clients: int, alpha: float, seed: int = 42
+) -> dict[Any, np.ndarray]:
+    """Each client's fraction of every class; a class's draw depends on seed and place only."""
+    return {
+        label: np.random.RandomState([seed, at]).dirichlet(np.full(num_clients, float(alpha)))
+        for at, label in enumerate(classes)
+    }
+
+
+def counts_from_fractions(
+    sizes: dict[Any, int], fractions: dict[Any, np.ndarray]
+) -> dict[Any, np.ndarray]:
+    """Whole rows by largest remainder, ties to the lower client.
+
+    The fractions are a plan that outlives the table: as a class grows, every client's rows grow
+    in proportion, and other classes stay as they are.
+    """
+    plan = {}
+    for label, share in fractions.items():
+        exact = share * sizes.get(label, 0)
+        counts = np.floor(exact).astype(np.int64)
+        left = sizes.get(label, 0) - int(counts.sum())
+        counts[np.argsort(counts - exact, kind="stable")[:left]] += 1
+        plan[label] = counts
+    return plan
+
+
 def shares_from_counts(counts: dict[Any, np.ndarray], num_clients: int) -> list[Share]:
     """Contiguous rank intervals per client, classes in the order of the plan."""
     shares: list[Share] = [[] for _ in range(num_clients)]
@@ -104,11 +132,14 @@ def assign_clients(
     min_samples: int = MIN_SAMPLES,
     classes: Sequence | None = None,
     portable: bool = False,
+    fractions: dict[Any, np.ndarray] | None = None,
 ) -> DataFrame:
     """Add ``client_id``: each row goes to exactly one of ``num_clients`` clients.
 
     ``alpha`` is the Dirichlet concentration or ``"iid"``. ``classes`` fixes the
     order in which the plan draws (default: the labels present, sorted).
+    ``fractions`` (class to one fraction per client) replaces the draw; a class that the plan
+    does not name is an error.
     """
     if alpha == "iid":
         shares = iid_plan(group_sizes(df, None).get(0, 0), num_clients)
@@ -116,7 +147,13 @@ def assign_clients(
     else:
         found = group_sizes(df, label)
         sizes = {c: found.get(c, 0) for c in (classes or sorted(found))}
-        shares = dirichlet_plan(sizes, num_clients, float(alpha), seed, min_samples)
+        if fractions is None:
+            shares = dirichlet_plan(sizes, num_clients, float(alpha), seed, min_samples)
+        else:
+            if unplanned := sorted(set(found) - set(fractions)):
+                raise ValueError(f"classes without a plan: {unplanned}")
+            counts = counts_from_fractions(sizes, fractions)
+            shares = rebalance_plan(shares_from_counts(counts, num_clients), min_samples)
         by = label
     intervals = [(g, lo, hi, k) for k, share in enumerate(shares) for g, lo, hi in share]
     return assign_intervals(df, intervals, by, "int", "client_id", keys, seed, portable)

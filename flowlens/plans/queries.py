@@ -993,11 +993,53 @@ def iid_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("label")
 
 
+# The plan of the skewed clients: fractions of every class, and the fewest rows of a client.
+FRACTIONS = pt.dirichlet_fractions(range(10), 4, 0.5)
+FEWEST = 100
+
+
+def _skewed_sql() -> str:
+    """CTEs up to ``skewed`` (vec_id, label, client_id): rounds of rows moved from the largest client."""
+    values = ", ".join(
+        f"({label}, {k}, {float(f)!r}::DOUBLE)" for label, row in FRACTIONS.items() for k, f in enumerate(row))
+    steps = [f"""plan(label, client, fraction) AS (VALUES {values}),
+exact AS (SELECT label, client, n, fraction * n AS part, floor(fraction * n) AS whole
+  FROM plan JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label)),
+counted AS (SELECT label, client, whole + CASE WHEN
+    row_number() OVER (PARTITION BY label ORDER BY whole - part, client) <=
+    n - sum(whole) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS rows FROM exact),
+ends AS (SELECT *, sum(rows) OVER (PARTITION BY label ORDER BY client) AS hi FROM counted),
+drawn AS (SELECT vec_id, label, row_number() OVER (
+    PARTITION BY label ORDER BY md5(concat_ws('|', 42, vec_id))) AS rank FROM embeddings),
+m0 AS MATERIALIZED (SELECT vec_id, drawn.label, client, row_number() OVER (
+    PARTITION BY client ORDER BY drawn.label, rank) AS place
+  FROM drawn JOIN ends ON drawn.label = ends.label AND rank > hi - rows AND rank <= hi)"""]
+    for k in range(pt.REPAIR_ROUNDS):
+        steps.append(f"""t{k} AS MATERIALIZED (SELECT client, count(vec_id) AS n
+  FROM (SELECT unnest(range(4)) AS client) LEFT JOIN m{k} USING (client) GROUP BY 1),
+s{k} AS MATERIALIZED (SELECT arg_min(client, n * 4 + client) AS poor, arg_max(client, n * 4 - client) AS rich,
+    min(n) AS low, max(n) AS high, greatest(0, least({FEWEST} - min(n), max(n) - {FEWEST})) AS need FROM t{k}),
+m{k + 1} AS MATERIALIZED (SELECT vec_id, label,
+    CASE WHEN client = rich AND place > high - need THEN poor ELSE client END AS client,
+    CASE WHEN client = rich AND place > high - need THEN low + place - (high - need) ELSE place END AS place
+  FROM m{k}, s{k})""")
+    return ", ".join(steps) + f""", skewed AS (
+  SELECT vec_id, label, CAST(client AS INTEGER) AS client_id FROM m{pt.REPAIR_ROUNDS})"""
+
+
 def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.assign_clients(vectors(spark, sf_dir), 4, 0.5, keys=["vec_id"], min_samples=50)
+    return pt.assign_clients(
+        vectors(spark, sf_dir), 4, 0.5, keys=["vec_id"], min_samples=FEWEST, portable=True, fractions=FRACTIONS)
 
 
-@query()
+@query(f"WITH {_skewed_sql()} SELECT * FROM skewed")
+def skewed_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's client under label skew, poor clients raised from the largest one."""
+    return _skewed(spark, sf_dir).select("vec_id", "label", "client_id")
+
+
+@query(f"""WITH {_skewed_sql()} SELECT client_id, count(*) AS rows, """ + ", ".join(
+    f"count(*) FILTER (label = {c}) AS class_{c}" for c in range(10)) + " FROM skewed GROUP BY 1")
 def client_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.client_distribution(_skewed(spark, sf_dir), range(10))
 
@@ -1005,8 +1047,8 @@ def client_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label, count(*) AS rows FROM embeddings GROUP BY 1")
 def skewed_clients_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Dirichlet partition loses and repeats no row: its class totals are the table's."""
-    by_client = _skewed(spark, sf_dir).groupBy("client_id", "label").agg(
-        F.count(F.lit(1)).alias("n"))
+    clients = pt.assign_clients(vectors(spark, sf_dir), 4, 0.5, keys=["vec_id"], min_samples=50)
+    by_client = clients.groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return by_client.groupBy("label").agg(F.sum("n").alias("rows"))
 
 
@@ -1068,17 +1110,135 @@ FROM totals CROSS JOIN range(10) c(v) WHERE c.v NOT IN (SELECT label FROM train)
 def fedavg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One full-batch step per client from zero weights, averaged: a closed form in SQL."""
     settings = fd.LocalTraining((64, 10), epochs=1, rate=0.5, batch=10**9, dropout=0.0, block=16)
+    # Shards of 32 rows: every client's one step is the sum of several tasks.
+    trained = fd.train_clients(_equal_clients(spark, sf_dir, 32), np.zeros(650), settings, shard_rows=32)
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return fd.federated_average(trained).select(
+        "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+# Four equal clients with their holdouts; a row's features end with the 1 of the bias.
+CLIENT_ROWS = """ranked AS (
+  SELECT vec_id, label, embedding, md5(concat_ws('|', 42, vec_id)) AS h,
+         row_number() OVER (ORDER BY md5(concat_ws('|', 42, vec_id))) AS rank,
+         count(*) OVER () AS n FROM embeddings),
+clients AS (
+  SELECT *, CAST(CASE WHEN rank <= (n // 4 + 1) * (n % 4) THEN (rank - 1) // (n // 4 + 1)
+    ELSE (n % 4) + (rank - 1 - (n // 4 + 1) * (n % 4)) // (n // 4) END AS INTEGER) AS client FROM ranked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY client ORDER BY h) AS place,
+         count(*) OVER (PARTITION BY client) AS size FROM clients),
+held AS MATERIALIZED (
+  SELECT vec_id, client, CAST(label AS INTEGER) AS label, list_append(CAST(embedding AS DOUBLE[]), 1::DOUBLE) AS x,
+         place <= greatest(1, CAST(floor(size * 0.1::DOUBLE) AS BIGINT)) AS is_val FROM placed),
+train AS MATERIALIZED (SELECT * FROM held WHERE NOT is_val),
+zeros AS (SELECT client, CAST(cls AS INTEGER) AS cls, list_resize([0::DOUBLE], 65, 0::DOUBLE) AS w
+  FROM (SELECT DISTINCT client FROM held), range(10) c(cls))"""
+
+
+def _linear_step(rows: str, before: str, after: str, rate: float, mu: float = 0.0) -> str:
+    """CTEs: every client's linear softmax model after one step on all of its ``rows``.
+
+    ``before`` and ``after`` hold (client, cls, w); ``mu`` pulls to zero weights.
+    ``after_p`` has each row's probability of each class before the step.
+    """
+    return f"""{after}_z AS (
+  SELECT client, vec_id, label, cls, x, exp(list_dot_product(x, w)) AS z FROM {rows} JOIN {before} USING (client)),
+{after}_p AS MATERIALIZED (SELECT *, z / sum(z) OVER (PARTITION BY client, vec_id) AS p FROM {after}_z),
+{after}_g AS (SELECT client, cls, j, sum(e * v) / count(*) AS g FROM (
+    SELECT client, cls, p - CASE WHEN label = cls THEN 1 ELSE 0 END AS e, unnest(x) AS v, unnest(range(65)) AS j
+    FROM {after}_p) GROUP BY ALL),
+{after} AS MATERIALIZED (SELECT client, cls, list(w[j + 1] - {rate}::DOUBLE * (g + {mu}::DOUBLE * w[j + 1]) ORDER BY j) AS w
+  FROM {after}_g JOIN {before} USING (client, cls) GROUP BY ALL)"""
+
+
+def _model_scores(name: str, rows: str, weights: str) -> str:
+    """CTEs: macro F1 and accuracy of every client's model on the rows of that client number."""
+    return f"""{name}_r AS MATERIALIZED (SELECT client, vec_id, label AS truth, arg_max(cls, list_dot_product(x, w)) AS guess
+  FROM {rows} JOIN {weights} USING (client) GROUP BY ALL),
+{name}_c AS (SELECT client, cls, sum(hit) AS hits, sum(own) AS support, 2.0::DOUBLE * sum(hit) / count(*) AS f1 FROM (
+    SELECT client, truth AS cls, CASE WHEN truth = guess THEN 1 ELSE 0 END AS hit, 1 AS own FROM {name}_r
+    UNION ALL SELECT client, guess, 0, 0 FROM {name}_r) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT client, avg(f1) AS macro_f1, sum(hits) / CAST(sum(support) AS DOUBLE) AS accuracy
+  FROM {name}_c GROUP BY 1)"""
+
+
+def _equal_clients(spark: SparkSession, sf_dir: str, shard_rows: int) -> DataFrame:
     clients = pt.assign_clients(
         vectors(spark, sf_dir), 4, "iid", keys=["vec_id"], portable=True)
     rows = pt.client_holdout(clients, keys=["vec_id"], portable=True)
-    # Shards of 32 rows: every client's one step is the sum of several tasks.
-    laid = fd.lay_out(rows, "vec_id", group_sizes(rows, "client_id"), 32, 42)
-    trained = fd.train_clients(laid, np.zeros(650), settings, shard_rows=32)
-    # Adding zero turns a rounded -0.0 into 0.0.
+    return fd.lay_out(rows, "vec_id", group_sizes(rows, "client_id"), shard_rows, 42)
+
+
+def _whole_batches(epochs: int, mu: float = 0.0) -> fd.LocalTraining:
+    return fd.LocalTraining((64, 10), epochs=epochs, rate=0.5, batch=10**9, dropout=0.0, mu=mu, block=16)
+
+
+@query(f"""WITH {CLIENT_ROWS}, {_linear_step("train", "zeros", "w1", 0.5, 0.2)}, {_linear_step("train", "w1", "w2", 0.5, 0.2)},
+sizes AS (SELECT client, count(*) AS n FROM train GROUP BY 1),
+cells AS (SELECT cls, n, unnest(w) AS v, unnest(range(65)) AS j FROM w2 JOIN sizes USING (client))
+SELECT CAST(CASE WHEN j = 64 THEN 640 + cls ELSE cls * 64 + j END AS INTEGER) AS pos,
+  round(sum(n * v) / sum(n), 6) + 0.0 AS value FROM cells GROUP BY 1, j, cls""")
+def fedprox_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of every client from zero weights, the second pulled back to them, averaged.
+
+    Shards of 32 rows: a step is the sum of several tasks.
+    """
+    trained = fd.train_clients(
+        _equal_clients(spark, sf_dir, 32), np.zeros(650), _whole_batches(2, mu=0.2), shard_rows=32)
     return fd.federated_average(trained).select(
         "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
+@query(f"""WITH {CLIENT_ROWS}, {_linear_step("train", "zeros", "w1", 0.5)}, {_linear_step("train", "w1", "w2", 0.5)},
+tests AS (SELECT k.client, vec_id, label, x FROM held, (SELECT DISTINCT client FROM held) k WHERE is_val),
+{_model_scores("scores", "tests", "w2")}
+SELECT client AS client_id, round(macro_f1, 6) AS macro_f1, round(avg(macro_f1) OVER (), 6) AS mean_f1,
+  round(min(macro_f1) OVER (), 6) AS worst_client_f1 FROM scores""")
+def local_only_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every client alone for two rounds from zero weights, scored on all holdouts; with the summary."""
+    rows = _equal_clients(spark, sf_dir, fd.SHARD_ROWS)
+    scores = fd.fit_local_only(rows, rows.filter("is_val"), _whole_batches(1), rounds=2, start=np.zeros(650))
+    summary = fd.local_only_summary(durable(scores))
+    return rounded(summary.select(
+        F.col("macro_f1").alias("mean_f1"), "worst_client_f1",
+        F.posexplode("per_client_test_f1").alias("client_id", "macro_f1")))
+
+
+# The clients of rounds 1 to 3, half of four, drawn with seed 42.
+SAMPLED = {1: (1, 3), 2: (0, 1), 3: (0, 2)}
+
+
+def _sampled_rounds_sql() -> str:
+    parts, rounds = [f"WITH {CLIENT_ROWS}, g0 AS (SELECT DISTINCT cls, w FROM zeros)"], []
+    parts.append("val AS (SELECT -1 AS client, vec_id, label, x FROM held WHERE is_val)")
+    for number, chosen in SAMPLED.items():
+        k, before = number, number - 1
+        parts.append(f"r{k} AS MATERIALIZED (SELECT * FROM train WHERE client IN {chosen})")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT client, cls, w FROM (SELECT DISTINCT client FROM r{k}), g{before})")
+        parts.append(_linear_step(f"r{k}", f"b{k}", f"w{k}", 0.5))
+        parts.append(f"""g{k} AS MATERIALIZED (SELECT cls, list(v ORDER BY j) AS w FROM (
+    SELECT cls, j, sum(n * v) / sum(n) AS v FROM (SELECT cls, n, unnest(w) AS v, unnest(range(65)) AS j
+      FROM w{k} JOIN (SELECT client, count(*) AS n FROM r{k} GROUP BY 1) USING (client)) GROUP BY ALL) GROUP BY 1),
+  o{k} AS MATERIALIZED (SELECT -1 AS client, cls, w FROM g{k})""")
+        parts.append(_model_scores(f"global{k}", "val", f"o{k}"))
+        parts.append(_model_scores(f"local{k}", "(SELECT * FROM held WHERE is_val)", f"w{k}"))
+        rounds.append(f"""SELECT {k} AS round, round(g.macro_f1, 6) AS global_val_macro_f1, round(g.accuracy, 6) AS global_val_accuracy,
+  (SELECT round(avg(macro_f1), 6) FROM local{k}) AS mean_client_f1,
+  (SELECT round(avg(loss), 6) FROM (SELECT client, avg(-ln(p)) AS loss FROM w{k}_p WHERE label = cls GROUP BY 1)) AS mean_client_loss,
+  round(650 * 4.0::DOUBLE * {len(chosen) + 1} / 1048576, 2) AS mb_communicated FROM global{k} g""")
+    return ", ".join(parts) + " " + " UNION ALL ".join(rounds)
+
+
+@query(_sampled_rounds_sql())
+def sampled_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of federated averaging from zero weights, two of four clients in each."""
+    rows = _equal_clients(spark, sf_dir, fd.SHARD_ROWS)
+    _, history = fd.fit_federated(
+        rows, rows.filter("is_val"), _whole_batches(1), rounds=3, fraction_fit=0.5, start=np.zeros(650))
+    return rounded(_history(spark, history))
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors with ``split``: train for the clients, val and test that no client trains on.
 

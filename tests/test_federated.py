@@ -14,7 +14,8 @@ from flowlens.operators.federated import (
     mean_weights, megabytes_communicated, round_summary, run_document, sample_clients, train_clients,
 )
 from flowlens.operators.partition import (
-    assign_clients, client_distribution, client_holdout, dirichlet_counts, dirichlet_plan, iid_plan,
+    assign_clients, client_distribution, client_holdout, counts_from_fractions, dirichlet_counts,
+    dirichlet_fractions, dirichlet_plan, iid_plan,
     partition_info, rebalance_plan, share_size, shares_from_counts,
 )
 
@@ -260,3 +261,26 @@ def test_run_document_is_one_that_is_read_again(spark, clients, tmp_path):
     assert np.mean([per_class[c]["f1"] for c in "abc"]) == pytest.approx(scores["macro_f1"])
     assert (row["num_clients"], row["rounds"], row["train_rows"], len(row["history"])) == (3, 2, 1200, 2)
     assert run_summary(read_run_documents(spark, str(tmp_path / "runs"))).first()["macro_f1"] == row["test_metrics"]["macro_f1"]
+
+
+def test_fractions_scale_with_a_class_and_leave_others_alone():
+    plan = dirichlet_fractions("ab", 3, 0.5, seed=7)
+    small = counts_from_fractions({"a": 10, "b": 999}, plan)
+    large = counts_from_fractions({"a": 10_000, "b": 999}, plan)
+    assert small["a"].sum() == 10 and large["a"].sum() == 10_000
+    assert (small["b"] == large["b"]).all()
+    assert np.abs(large["a"] / 10_000 - plan["a"]).max() <= 1e-4
+    # A class that is absent gets no rows; a remainder goes to the lower of equal clients.
+    assert counts_from_fractions({}, plan)["a"].tolist() == [0, 0, 0]
+    assert counts_from_fractions({"a": 2}, {"a": np.full(3, 1 / 3)})["a"].tolist() == [1, 1, 0]
+
+
+def test_a_class_without_a_plan_is_an_error(spark):
+    rows = spark.range(20).select(F.col("id"), (F.col("id") % 3).cast("int").alias("label"))
+    plan = dirichlet_fractions([0, 1], 2, 0.5)
+    with pytest.raises(ValueError, match="without a plan"):
+        assign_clients(rows, 2, 0.5, keys=["id"], fractions=plan)
+    whole = dirichlet_fractions([0, 1, 2], 2, 0.5)
+    found = assign_clients(rows, 2, 0.5, keys=["id"], min_samples=5, fractions=whole)
+    sizes = {r["client_id"]: r["count"] for r in found.groupBy("client_id").count().collect()}
+    assert sum(sizes.values()) == 20 and min(sizes.values()) >= 5
