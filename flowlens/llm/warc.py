@@ -32,22 +32,32 @@ LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 
 
-def train_dictionary(pages: DataFrame, payload: str, records: int = SAMPLE_RECORDS) -> bytes:
-    """A dictionary from a sample of the records; empty when they are too few to train on.
+def train_dictionary(pages: DataFrame, firsts: DataFrame, rows: int, records: int = SAMPLE_RECORDS) -> bytes:
+    """A dictionary from a sample of the records as they are archived, headers and revisits included.
 
-    ``records`` rows are expected, drawn by hash; at most ``SAMPLE_BYTES`` of each are looked at.
+    ``records`` of ``rows`` rows are expected, drawn by hash; at most ``SAMPLE_BYTES`` of each are
+    looked at. Where they are too few to train on, their last ``DICTIONARY_BYTES`` are the dictionary.
     """
-    rows = pages.count()
     if not rows:
         return b""
-    draw = F.pmod(F.xxhash64(F.lit("dictionary"), payload, F.monotonically_increasing_id()), F.lit(1 << 30))
-    sample = pages.filter(draw < F.lit(min(1.0, records / rows) * (1 << 30))).select(
-        F.substring(payload, 1, SAMPLE_BYTES).alias("head")).collect()
-    heads = sorted(r["head"].encode() for r in sample if r["head"])
+    draw = F.pmod(F.xxhash64(F.lit("dictionary"), "payload", F.monotonically_increasing_id()), F.lit(1 << 30))
+    sample = pages.filter(draw < F.lit(min(1.0, records / rows) * (1 << 30)))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch[name] for name in ("page_id", "url", "payload", "own", "first_id")]
+            yield pa.RecordBatch.from_arrays([pa.array([
+                page_record(number, address, payload.encode(), own, first)[:SAMPLE_BYTES]
+                for number, address, payload, own, first in zip(*(c.to_pylist() for c in columns))
+            ], pa.binary())], ["head"])
+
+    found = with_first(sample, firsts).mapInArrow(heads, "head binary").collect()
+    # A record of an empty page stands for all if the draw took none.
+    samples = sorted(bytes(r["head"]) for r in found) or [page_record(None, None, b"", True, None)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, heads, k=1024, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=1024, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -123,6 +133,12 @@ class ArchiveWriter:
         return self.name, self.records, self.size
 
 
+def with_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(page_id, url, payload, own, first_id): whether a page is a response, and whose payload it shares."""
+    own = F.col("page_id").eqNullSafe(F.col("first_id")) | F.col("short")
+    return rows.join(firsts, ["digest", "size"]).select("page_id", "url", "payload", own.alias("own"), "first_id")
+
+
 def write_archives(
     pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "page_id",
     url: str = "url", html: str = "html",
@@ -139,11 +155,13 @@ def write_archives(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload")})
-    firsts = stored(rows.groupBy("digest", "size").agg(F.max("page_id").alias("first_id")), "payloads")
-    held = Shipped(spark, train_dictionary(rows, "payload"))
-    own = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("size") < min_bytes)
-    ready = rows.join(firsts, ["digest", "size"]).select(
-        "page_id", "url", "payload", own.alias("own"), "first_id")
+    rows = rows.withColumn("short", F.col("size") < min_bytes)
+    firsts = stored(rows.groupBy("digest", "size").agg(
+        F.max("page_id").alias("first_id"), F.count("*").alias("n")), "payloads")
+    count = firsts.agg(F.sum("n")).first()[0] or 0
+    firsts = firsts.drop("n")
+    held = Shipped(spark, train_dictionary(rows, firsts, count))
+    ready = with_first(rows, firsts)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = held.get()

@@ -87,3 +87,17 @@ def test_files_are_rolled_and_empty_table(spark, tmp_path, monkeypatch):
     assert manifest.count() > 3
     assert read_archives(manifest, folder).count() == 60
     assert archive_pages(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dictionary_is_of_whole_records_and_stands_even_in_small_archives(spark, tmp_path):
+    for count, folder in ((3, "few"), (900, "many")):
+        rows = [(i, f"http://h.org/{i}", f"<html>page {i // 2}</html>", "") for i in range(count)]
+        manifest = write_archives(spark.createDataFrame(rows, SCHEMA), str(tmp_path / folder)).collect()
+        for m in manifest:
+            body = (tmp_path / folder / m.file).read_bytes()
+            magic, size = struct.unpack("<II", body[:8])
+            dictionary = body[8:8 + size]
+            assert magic == DICTIONARY_MAGIC
+            assert b"WARC-Payload-Digest" in dictionary and b"HTTP/1.1 200 OK" in dictionary
+            assert b"revisit" in dictionary
+            assert len(list(archive_records(io.BytesIO(body)))) == m.records + 1
