@@ -90,3 +90,20 @@ def test_probes_and_table_distances_lose_no_partner():
     for number in range(len(quantiser.centres)):
         own = lists == number
         assert (linked_pairs(quantiser, number, units, units[own], codes[own], errors[own], 0.98) == near[:, own]).all()
+
+
+def test_pairs_at_the_threshold_link_whatever_their_block():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        left = rng.normal(size=(1, 24))
+        right = left + rng.normal(size=(1, 24)) * 0.1
+        cosine = float((left * right).sum() / (np.sqrt((left * left).sum(1)) * np.sqrt((right * right).sum(1)))[0])
+        units = right / np.sqrt((right * right).sum(1))[:, None]
+        quantiser = Quantiser.fit(units, 1)
+        _, codes, errors = quantiser.encode(quantiser.pad(units))
+        far = rng.normal(size=(200, 24)) * 5
+        for others in (np.zeros((0, 24)), far):  # one candidate of one pair, and of many
+            rows = np.concatenate([left, others])
+            for threshold, linked in ((cosine, True), (np.nextafter(cosine, 2), False)):
+                found = linked_pairs(quantiser, 0, rows, right, codes, errors, threshold)
+                assert found[0, 0] == linked
