@@ -21,6 +21,8 @@ SEED = 42
 BLOCK = 8192
 FRONTIER = 1 << 18
 LINKS = 1 << 20
+# Block pairs of a task, where there are more than the shuffle setting has tasks for.
+TASK_PAIRS = 512
 
 
 def fingerprint_values(texts: pa.Array, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -216,24 +218,32 @@ def link_fingerprints(values: DataFrame, budget: int = MAX_BITS, block: int = BL
     depth = max(0, math.ceil(math.log2(max(total, 1) / block)))
     blocks = stored(trie_blocks(values, depth, block), "trie")
     flips = F.array(*[F.lit(m).cast("bigint") for m in masks_within(depth, budget)])
-    partner = blocks.select("*", F.explode(flips).alias("flip")).withColumn(
+    # Blocks meet by their names first; values travel only to pairs that may hold a link.
+    partner = blocks.select("base", "prefix", "bits", "id", F.explode(flips).alias("flip")).withColumn(
         "partner", F.col("base").bitwiseXOR(F.col("flip")))
 
     def side(name: str, condition: str, one: str, two: str) -> DataFrame:
         return partner.filter(condition).select(
             F.col(one).alias("x"), F.col(two).alias("y"), F.col("prefix").alias(f"{name}_prefix"),
-            F.col("bits").alias(f"{name}_bits"), F.col("id").alias(f"{name}_id"),
-            F.col("fps").alias(f"{name}_fps"))
+            F.col("bits").alias(f"{name}_bits"), F.col("id").alias(f"{name}_id"))
 
     differing = F.expr(
         "CASE WHEN least(a_bits, b_bits) = 0 THEN 0 ELSE bit_count(shiftrightunsigned("
         "a_prefix ^ b_prefix, CAST(64 - least(a_bits, b_bits) AS INT))) END")
-    pairs = (
+    named = stored(
         side("a", "base <= partner", "base", "partner")
         .join(side("b", "base >= partner", "partner", "base"), ["x", "y"])
         .filter("x < y OR a_id <= b_id").filter(differing <= budget)
-        .select("a_fps", "b_fps", (F.col("a_id") == F.col("b_id")).alias("own"))
-    )
+        .select("a_id", "b_id"), "pairs")
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                math.ceil(named.count() / TASK_PAIRS))
+
+    def held(name: str) -> DataFrame:
+        return blocks.select(F.col("id").alias(f"{name}_id"), F.col("fps").alias(f"{name}_fps"))
+
+    # A number of partitions that adaptive execution keeps: names are few bytes, their work is not.
+    pairs = named.join(held("a"), "a_id").repartition(tasks, "b_id").join(held("b"), "b_id").select(
+        "a_fps", "b_fps", (F.col("a_id") == F.col("b_id")).alias("own"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
