@@ -27,13 +27,14 @@ def order_key(value: Column) -> Column:
     """A whole number for a double, NULL and NaN apart, that is ordered like the doubles.
 
     It holds sign, exponent and fraction like the number's own bits; -0.0 equals 0.0. Powers of
-    two scale exactly, so nothing is rounded.
+    two scale exactly, so nothing is rounded. NaN gives NULL, as a constant may be folded before
+    a filter drops it.
     """
     size = F.abs(value)
     guess = F.floor(F.log2(size))
     low = F.pow(F.lit(2.0), guess)
     exponent = F.when(size < low, guess - 1).when(size >= low * 2, guess + 1).otherwise(guess)
-    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * 2.0**52).cast("bigint")
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * 2.0**52).try_cast("bigint")
     normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction
     key = (
         F.when(size == float("inf"), F.lit(2047 << 52))
