@@ -32,7 +32,9 @@ CONTEXTS = (2, 3, 5, 0)
 GATES = (1, 2)
 GATE = 2  # the longest; alone where ``mixed_bits`` is asked for one gate
 SLICE = 2_000_000  # bytes coded at once in a task
-GRAMS = 2_000_000  # grams that a task holds before it hands them on, or looks up at once
+GRAMS = 2_000_000  # grams that a task holds before it hands them on
+ASKED = 500_000  # grams of blocks that are looked up together
+PART = 200_000  # grams or symbols whose intermediate arrays a task holds
 # Decisions between two updates, at first and later in a long text.
 BATCH, STEADY, LARGEST = 32, 2048, 2048
 START_WEIGHT, RATE = 0.4, 0.015
@@ -87,13 +89,17 @@ def grams_of(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     0 stands for "before the text", other earlier symbols are one higher.
     """
-    at = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
     grams = symbols.astype(np.uint64)
-    for back in range(1, 6):
-        earlier = np.zeros(len(symbols), np.uint64)
-        earlier[back:] = symbols[:-back] + 1
-        earlier[at < back] = 0
-        grams |= earlier << np.uint64(54 - 9 * back)
+    for low in range(0, len(symbols), PART):
+        high = min(low + PART, len(symbols))
+        for back in range(1, 6):
+            begin = max(low, back)
+            if begin < high:
+                grams[begin:high] |= (symbols[begin - back:high - back] + 1).astype(np.uint64) << np.uint64(54 - 9 * back)
+    # The symbol at place n of a text has n symbols before it.
+    for place in range(5):
+        at = offsets[:-1] + place
+        grams[at[at < len(symbols)]] &= np.uint64(511 | (2**64 - 2**(54 - 9 * place)))
     return grams
 
 
@@ -188,47 +194,57 @@ class Shared:
     tree: CodeTrees
     short: np.ndarray = field(repr=False)
 
-    def odds(self, table: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Per predictor, the log odds at each decision of ``grams``, counted over all of ``table``.
-
-        ``table`` must hold every training gram whose last two symbols are those of one of ``grams``.
-        """
-        pairs = gram_pairs(grams)
-        _, node, steps = decisions(self.tree, pairs)
-        result = np.zeros((len(CONTEXTS), len(node)), np.float32)
-        inner = np.uint64(256)
-        table_contexts, contexts = contexts_of(table), contexts_of(grams)
-        for k, width in enumerate(CONTEXTS):
+    def counted(self, table: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per predictor, the decisions that ``table`` has under their contexts, in order, and their log odds."""
+        found = []
+        for context, width in zip(contexts_of(table), CONTEXTS):
             # A context's symbols first, then its decisions: far fewer than the table's grams have.
             ends = np.uint64(9)
             if width == 5:
                 kinds, weights = table, counts
-                context = table_contexts[k]
             else:
-                both = (table_contexts[k] << ends) | (table & np.uint64(511))
-                kinds, weights = summed(both, counts)
+                kinds, weights = summed((context << ends) | (table & np.uint64(511)), counts)
                 context = kinds >> ends
             before = (context >> np.uint64(45)).astype(np.int64) - 1
             own = np.where(before < 0, END, before) * SYMBOLS + (kinds & np.uint64(511)).astype(np.int64)
-            branch, at, own_steps = decisions(self.tree, own)
-            keys = np.repeat(context, own_steps) << np.uint64(8) | (at % inner.astype(np.uint32))
+            branch, at, steps = decisions(self.tree, own)
+            keys = np.repeat(context, steps) << np.uint64(8) | (at % np.uint32(256))
             order = np.argsort(keys, kind="stable")
             keys, branch = keys[order], branch[order]
-            weights = np.repeat(weights, own_steps)[order]
+            weights = np.repeat(weights, steps)[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            if len(first):
-                total = np.add.reduceat(weights, first)
-                hits = np.add.reduceat(weights * branch, first)
-                known, odds = keys[first], log_odds(total - hits, hits)
-                wanted = np.repeat(contexts[k], steps) << np.uint64(8) | (node % inner.astype(np.uint32))
-                place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                result[k] = np.where(known[place] == wanted, odds[place], 0)
-        word = CONTEXTS.index(0)
-        letters = np.repeat(contexts[word] & np.uint64(511), steps)
-        few = letters < 2
-        result[word, few] = self.short[letters[few].astype(np.int64), node[few]]
+            total = np.add.reduceat(weights, first) if len(first) else weights
+            hits = np.add.reduceat(weights * branch, first) if len(first) else weights
+            found.append((keys[first], log_odds(total - hits, hits)))
+        return found
+
+    def odds_of(self, counted: list[tuple[np.ndarray, np.ndarray]], grams: np.ndarray) -> np.ndarray:
+        """Per predictor, the log odds at each decision of ``grams``, those of ``PART`` grams at a time."""
+        ends = np.concatenate([[0], np.cumsum(self.tree.length[gram_pairs(grams)])])
+        result = np.zeros((len(CONTEXTS), int(ends[-1])), np.float32)
+        for low in range(0, len(grams), PART):
+            part = grams[low:low + PART]
+            own = result[:, ends[low]:ends[min(low + PART, len(grams))]]
+            _, node, steps = decisions(self.tree, gram_pairs(part))
+            for k, context in enumerate(contexts_of(part)):
+                known, odds = counted[k]
+                if len(known):
+                    wanted = np.repeat(context, steps) << np.uint64(8) | (node % np.uint32(256))
+                    place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                    own[k] = np.where(known[place] == wanted, odds[place], 0)
+                if CONTEXTS[k] == 0:
+                    letters = np.repeat(context & np.uint64(511), steps)
+                    few = letters < 2
+                    own[k, few] = self.short[letters[few].astype(np.int64), node[few]]
         return result
 
+    def odds(self, table: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Per predictor, the log odds at each decision of ``grams``, counted over all of ``table``.
+
+        ``table`` must hold every training gram whose last two symbols are those of one of ``grams``.
+        """
+        return self.odds_of(self.counted(table, counts), grams)
+
 
 def coded_bits(tree: CodeTrees, grams: np.ndarray, odds: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Total code length in bits of every text, its end included.
@@ -236,21 +252,26 @@ def coded_bits(tree: CodeTrees, grams: np.ndarray, odds: np.ndarray, texts: pa.A
     ``odds``, a column per decision, are those of the decisions of ``grams``, among which are all
     grams of the texts. They are read by rows: best given as the transpose of an array of rows.
     """
-    branch, _, steps = decisions(tree, gram_pairs(grams))
-    begin, steps, known = (np.cumsum(steps) - steps).astype(np.int32), steps.astype(np.int32), pa.array(grams)
+    pairs = gram_pairs(grams)
+    steps = tree.length[pairs].astype(np.int32)
+    begin, known = (np.cumsum(steps) - steps).astype(np.int32), pa.array(grams)
+    branch = np.concatenate([np.zeros(0, np.int8), *(
+        tree.branch[ranges(tree.first[pairs[low:low + PART]], steps[low:low + PART])]
+        for low in range(0, len(pairs), PART))])
+    del pairs
     odds = np.ascontiguousarray(odds.T).T
 
     def way(symbols: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each decision of the symbols low .. high; the ends of each symbol's decisions."""
         before = max(0, low - 8)
         edges = np.unique(np.clip(offsets, before, high)) - before
-        found = pa.array(grams_of(symbols[before:high], edges)[low - before:])
-        which = pc.index_in(found, value_set=known).to_numpy()
-        own = steps.take(which)
-        ends = np.zeros(len(own) + 1, np.int64)
-        np.cumsum(own, out=ends[1:])
+        which = pc.index_in(pa.array(grams_of(symbols[before:high], edges)[low - before:]), value_set=known).to_numpy()
+        ends = np.zeros(len(which) + 1, np.int32)
+        np.cumsum(steps.take(which), out=ends[1:])
         slot = np.arange(ends[-1], dtype=np.int32)
-        slot += np.repeat(begin.take(which) - ends[:-1].astype(np.int32), own)
+        for at in range(0, len(which), PART):
+            part = which[at:at + PART]
+            slot[ends[at]:ends[at + len(part)]] += np.repeat(begin.take(part) - ends[at:at + len(part)], steps.take(part))
         return slot, ends
 
     result = np.zeros(len(texts))
@@ -549,11 +570,12 @@ def block_bits(blocks: DataFrame, model: Mixer) -> DataFrame:
         if len(right):
             table, counts = expand_grams(right["grams"][0].as_py()), expand(right["counts"][0].as_py(), np.int64)
         shared, blobs = held.get(), []
+        counted = shared.counted(table, counts)
         parts: list[np.ndarray] = []
 
         def look_up() -> None:
             grams, which = np.unique(np.concatenate(parts), return_inverse=True)
-            odds = shared.odds(table, counts, grams)
+            odds = shared.odds_of(counted, grams)
             steps = shared.tree.length[gram_pairs(grams)]
             begin, ends = np.cumsum(steps) - steps, np.cumsum([len(p) for p in parts])
             for a, b in zip([0, *ends[:-1]], ends):
@@ -561,7 +583,7 @@ def block_bits(blocks: DataFrame, model: Mixer) -> DataFrame:
 
         for blob in asked:
             parts.append(expand_grams(blob))
-            if sum(len(p) for p in parts) >= GRAMS:
+            if sum(len(p) for p in parts) >= ASKED:
                 look_up()
                 parts = []
         if parts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -257,3 +258,23 @@ def test_long_texts_learn_in_larger_batches_across_windows(monkeypatch):
     lane = mixing.Lanes(1, 4, mixing.GATES)
     parts = [lane.code_on(rows, slot[a:b], branch, b == 1500) for a, b in ((0, 10), (10, 700), (700, 1490), (1490, 1500))]
     assert math.isclose(sum(parts), got[0], rel_tol=1e-6)
+
+
+def test_lookups_hold_parts_of_the_decisions(monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 5_000)
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 40, 10_000)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    grams, counts = np.unique(
+        mixing.grams_of(rng.integers(97, 123, offsets[-1]).astype(np.int16), offsets), return_counts=True)
+    pairs = np.bincount(mixing.gram_pairs(grams), weights=counts, minlength=mixing.SYMBOLS**2).astype(np.int64)
+    tree = mixing.CodeTrees.build(pairs.reshape(mixing.SYMBOLS, mixing.SYMBOLS))
+    shared = mixing.Shared(tree, np.zeros((2, mixing.SYMBOLS * 256), np.float32))
+    counted = shared.counted(grams, counts)
+    tracemalloc.start()
+    odds = shared.odds_of(counted, grams)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert odds.any(axis=0).all() and peak < 2 * odds.nbytes
+    monkeypatch.setattr(mixing, "PART", len(grams))
+    assert np.array_equal(odds, shared.odds_of(counted, grams))
