@@ -3,7 +3,8 @@
 Features are cut into bins once. A level of all trees of a round is one aggregate: tasks sum
 gradients and second derivatives by (class, node, feature, bin), the partial sums of a node meet in
 one group, which returns the node's best split. A table of at most ``local_rows`` rows is grown
-whole, a class in a task, in one job a round; both ways give the same trees.
+whole, a class in a task, in one job a round; both ways give the same trees. There the bins are
+stored once per class, and only a probability per row and class travels in a round.
 
 Margins are stored with the rows every few rounds; trees younger than that are applied on the fly.
 """
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from flowlens.functions.network import softmax_rows
 from flowlens.functions.scalar import argmax_index
 from flowlens.operators.scoring import list_rows, matrix_of
-from flowlens.session import durable
+from flowlens.session import bucketed, durable
 
 BINS = 64
-LOCAL_ROWS = 200_000
+# Rows whose bins one task holds. Below some 20 million a round of partial histograms, up to 2 GB,
+# would be more than the rows' probabilities.
+LOCAL_ROWS = 1_000_000
 STORE_ROUNDS = 10
 # The usual defaults of boosted trees.
 LAMBDA = 1.0
@@ -177,10 +180,12 @@ def feature_edges(train: DataFrame, width: int, bins: int = BINS) -> list[np.nda
 
 
 def _gradients(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = softmax_rows(margins)
-    g = p.copy()
-    g[np.arange(len(labels)), labels] -= 1.0
-    return g, np.maximum(2.0 * p * (1.0 - p), 1e-16)
+    return gradients_of(softmax_rows(margins), labels[:, None] == np.arange(margins.shape[1]))
+
+
+def gradients_of(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives from probabilities, and where the class is the row's own."""
+    return p - hit, np.maximum(2.0 * p * (1.0 - p), 1e-16)
 
 
 SPLITS = ("cls int, node int, feature int, cut int, gain double, g double, h double, gl double, hl double")
@@ -199,13 +204,14 @@ class Booster:
             for batch in batches:
                 bins = model.binned(matrix_of(batch["features"], features))
                 yield pa.RecordBatch.from_arrays(
-                    [binary_rows(bins), batch["label"], batch["is_val"],
-                     list_rows(np.zeros((len(bins), classes)))], ["bins", "label", "is_val", "margins"])
+                    [binary_rows(bins), batch["label"], batch["is_val"], batch["row"],
+                     list_rows(np.zeros((len(bins), classes)))], ["bins", "label", "is_val", "row", "margins"])
 
         both = train.select("features", F.col("label").cast("int"), F.lit(False).alias("is_val")).unionByName(
             val.select("features", F.col("label").cast("int"), F.lit(True).alias("is_val")))
-        self.table = durable(both.mapInArrow(
-            start, "bins binary, label int, is_val boolean, margins array<double>"))
+        self.table = durable(both.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+            start, "bins binary, label int, is_val boolean, row bigint, margins array<double>"))
+        self.by_class: DataFrame | None = None
 
     def scored(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Bins and current margins of a batch."""
@@ -217,7 +223,7 @@ class Booster:
     def shippable(self) -> Booster:
         """Without the DataFrame, for use in tasks."""
         twin = object.__new__(Booster)
-        twin.__dict__.update({k: v for k, v in self.__dict__.items() if k != "table"})
+        twin.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("table", "by_class")})
         return twin
 
     def absorb(self) -> None:
@@ -228,7 +234,8 @@ class Booster:
             for batch in batches:
                 _, margins = own.scored(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["bins"], batch["label"], batch["is_val"], list_rows(margins)], batch.schema.names)
+                    [batch["bins"], batch["label"], batch["is_val"], batch["row"], list_rows(margins)],
+                    batch.schema.names)
 
         self.table = durable(self.table.mapInArrow(add, self.table.schema))
         self.pending = []
@@ -248,29 +255,63 @@ class Booster:
             F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
         return row["loss"] / row["n"] if row["n"] else float("inf")
 
-    def local_round(self) -> list[Tree]:
-        """All trees of a round in one job: the rows of a class come to one task."""
-        own, features = self.shippable(), len(self.model.edges)
+    def class_bins(self) -> DataFrame:
+        """Bins and labels of the training rows, once per class, in buckets by class; stored once."""
+        if self.by_class is None:
+            features, classes = len(self.model.edges), self.model.classes
+
+            def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if not len(batch):
+                        continue
+                    bins = matrix_of_binary(batch["bins"], features).tobytes()
+                    labels = batch["label"].to_numpy().astype(np.int32).tobytes()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(classes, dtype=np.int32)), pa.array([batch["row"][0].as_py()] * classes),
+                        pa.array([bins] * classes, pa.binary()), pa.array([labels] * classes, pa.binary()),
+                    ], ["cls", "row", "bins", "labels"])
+
+            rows = self.table.filter("NOT is_val").select("bins", "label", "row").mapInArrow(
+                copy, "cls int, row bigint, bins binary, labels binary")
+            self.by_class = bucketed(rows, "tree_bins", 4 * classes, "cls")
+        return self.by_class
+
+    def class_probabilities(self) -> DataFrame:
+        """The probabilities that the training rows have each class, by class and run of rows."""
+        own = self.shippable()
 
         def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, margins = own.scored(batch)
-                g, h = _gradients(margins, batch["label"].to_numpy())
-                for k in range(own.model.classes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(g), k, np.int32)), batch["bins"], pa.array(np.ascontiguousarray(g[:, k])),
-                         pa.array(np.ascontiguousarray(h[:, k]))], ["cls", "bins", "g", "h"])
-
-        def build(key: tuple, rows: pa.Table) -> pa.Table:
-            bins = matrix_of_binary(rows["bins"].combine_chunks(), features)
-            tree = grow(bins, rows["g"].to_numpy(), rows["h"].to_numpy(), own.depth, own.rate, own.width)
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), *[
+                if not len(batch):
+                    continue
+                p = softmax_rows(own.scored(batch)[1])
+                classes = p.shape[1]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(classes, dtype=np.int32)), pa.array([batch["row"][0].as_py()] * classes),
+                    pa.array([np.ascontiguousarray(p[:, k]).tobytes() for k in range(classes)], pa.binary()),
+                ], ["p_cls", "p_row", "p"])
+
+        return self.table.filter("NOT is_val").select("bins", "row", "margins").mapInArrow(
+            derive, "p_cls int, p_row bigint, p binary")
+
+    def local_round(self) -> list[Tree]:
+        """All trees of a round in one job: the probabilities of a class come to the task of its bins."""
+        own, features = self.shippable(), len(self.model.edges)
+
+        def joined(table: pa.Table, by: str, column: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(table.sort_by(by)[column].to_pylist()), kind)
+
+        def build(key: tuple, rows: pa.Table, sent: pa.Table) -> pa.Table:
+            cls = rows["cls"][0].as_py()
+            bins = joined(rows, "row", "bins", np.uint8).reshape(-1, features)
+            p = joined(sent, "p_row", "p", np.float64)
+            g, h = gradients_of(p, joined(rows, "row", "labels", np.int32) == cls)
+            tree = grow(bins, g, h, own.depth, own.rate, own.width)
+            return pa.table([pa.array([cls], pa.int32()), *[
                 pa.array([v]) for v in (tree.feature, tree.cut, tree.value, tree.gain)
             ]], ["cls", "feature", "cut", "value", "gain"])
 
-        rows = self.table.filter("NOT is_val").select("bins", "label", "margins").mapInArrow(
-            derive, "cls int, bins binary, g double, h double")
-        found = rows.groupBy("cls").applyInArrow(
+        found = self.class_bins().groupBy("cls").cogroup(self.class_probabilities().groupBy("p_cls")).applyInArrow(
             build, "cls int, feature array<int>, cut array<int>, value array<double>, gain array<double>").collect()
         trees = [Tree.empty(self.depth) for _ in range(self.model.classes)]
         for row in found:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.network import epoch_places, epoch_seed, initial_weights, loss_and_gradient
 from flowlens.operators.baselines import fit_mlp_baseline, predict_mlp
+from flowlens.operators import boosting
 from flowlens.operators.boosting import (
     BoostedTrees, Tree, best_splits, binary_rows, fit_boosted_trees, grow, histograms, margins_of, matrix_of_binary,
 )
@@ -157,3 +158,18 @@ def test_odd_values(spark):
     assert model.binned(np.array([[np.nan], [-1.0], [0.0], [0.5], [1.0], [np.inf]]))[:, 0].tolist() == [0, 0, 1, 1, 2, 2]
     with pytest.raises(ValueError, match="255"):
         fit_boosted_trees(None, None, 2, 1, edges=[np.arange(300.0)])
+
+
+def test_a_round_sends_one_probability_per_row_and_class(spark):
+    rows = spark.range(300).select(
+        F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("features"),
+        (F.col("id") % 3).cast("int").alias("label"))
+    model = boosting.BoostedTrees([np.arange(1.0, 7.0), np.arange(1.0, 5.0)], [], 3)
+    booster = boosting.Booster(rows, rows.limit(0), model, 2, 0.1)
+    booster.local_round()
+    sent = booster.class_probabilities()
+    assert sent.columns == ["p_cls", "p_row", "p"]
+    assert sent.agg(F.sum(F.octet_length("p"))).first()[0] == 300 * 3 * 8
+    stored = booster.class_bins()
+    booster.local_round()
+    assert booster.class_bins() is stored
