@@ -13,8 +13,8 @@ from flowlens.operators.ranking import with_row_key
 from flowlens.operators.split import (
     STREAM_FRACTION, TRAIN_FRACTION, VAL_FRACTION, stratified_split,
 )
-from flowlens.session import path_exists
-from flowlens.sources.flows import SOURCE_FILE, parsed_flows, read_flow_csv
+from flowlens.session import held_settings, path_exists, wide_shuffle
+from flowlens.sources.flows import SOURCE_FILE, flow_csv_bytes, parsed_flows, read_flow_csv
 from flowlens.sources.sinks import write_partitioned, write_table
 
 STAGES = ("ingest_clean", "profile", "split", "feature_stats")
@@ -57,7 +57,9 @@ def run_stages(
         # The key spares the split stage reading every feature to rank the rows.
         # It hashes values only: moving the files must not reshuffle the splits.
         keyed = with_row_key(rows, of=[c for c in rows.columns if c != SOURCE_FILE])
-        write_partitioned(keyed, cleaned, "label_8", rebalance)
+        # Duplicates meet in as many tasks as the files have room for, however few a shuffle has.
+        with held_settings(spark, wide_shuffle(spark, flow_csv_bytes(spark, raw_dir, max_files))):
+            write_partitioned(keyed, cleaned, "label_8", rebalance)
         counts = counter.counts()
         loss = counter.loss("parsed", "clean")
         write_table(spark.createDataFrame(

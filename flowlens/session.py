@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side may hold this many narrow rows (tens of MB at most).
 MAX_BROADCAST_ROWS = 1_000_000
+# Input bytes of text for each partition of a wide shuffle, and the bytes that adaptive execution
+# may join into one: rows take ten times as much room in a task's memory.
+SHUFFLE_TEXT_BYTES = 32_000_000
+SHUFFLE_JOINED = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +59,31 @@ def bucketed(df: DataFrame, name: str, parts: int, *columns: str) -> DataFrame:
     return spark.table(table)
 
 
+@contextmanager
+def held_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """SQL settings for the jobs started inside, and the former ones after them."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def wide_shuffle(spark: SparkSession, text_bytes: int) -> dict[str, str]:
+    """Settings under which a task's share of a shuffled text table does not grow with the table."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {
+        "spark.sql.shuffle.partitions": str(max(parts, math.ceil(text_bytes / SHUFFLE_TEXT_BYTES))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHUFFLE_JOINED,
+    }
+
+
 def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint when ``rows``, a known bound on ``df``, is small; else leave it to AQE."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df

@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from flowlens.session import path_exists
+from flowlens.session import held_settings, path_exists
+
+# Values of a partitioned table whose files a task keeps open; beyond, Spark sorts the rows.
+OPEN_FILES = 64
 
 
 def write_partitioned(
@@ -17,12 +20,13 @@ def write_partitioned(
     By default rows stay where they are, and an input task writes one file per
     value it holds. ``rebalance`` shuffles them into well-sized files first:
     adaptive execution then splits a value with a third of all rows over many
-    tasks and packs small values together.
+    tasks and packs small values together. Up to ``OPEN_FILES`` values need no sort of a task's rows.
     """
     columns = [by] if isinstance(by, str) else list(by)
     if rebalance:
         df = df.hint("rebalance", *columns)
-    df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    with held_settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        df.write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def write_splits(

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from flowlens.labels import CLASSES
@@ -16,6 +17,9 @@ from flowlens.plans.fixtures import (
     LINE_FEATURES, LINE_KEYS, alerts, centralized_runs, federated_runs, line_flows, run_documents, table,
 )
 from flowlens.plans.queries import QUERIES
+from flowlens.session import held_settings, wide_shuffle
+from flowlens.sources.flows import flow_csv_bytes
+from flowlens.sources.sinks import write_partitioned
 from flowlens.streaming.events import parse_flows, window_metrics
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -119,3 +123,36 @@ def test_per_run_reports_stay_inside_the_row(spark):
     # One shuffle of pre-aggregated groups, one for the scalar target.
     main = main_results(centralized_runs(spark, SF_DIR), federated_runs(spark, SF_DIR))
     assert shuffles(main) <= 2
+
+
+def test_partitions_follow_the_text_and_settings_come_back(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Label,x\n" + "A,1\n" * 50)
+    (folder / "b.csv").mkdir()
+    (folder / "b.csv" / "part-0").write_text("Label,x\nA,2\n")
+    assert flow_csv_bytes(spark, str(folder)) == 8 + 200 + 12
+    assert flow_csv_bytes(spark, str(folder), 1) == 208
+    few, many = wide_shuffle(spark, 220), wide_shuffle(spark, 10**10)
+    name = "spark.sql.shuffle.partitions"
+    assert (few[name], many[name]) == ("8", "313")
+    with pytest.raises(KeyError), held_settings(spark, many):
+        assert spark.conf.get(name) == "313"
+        raise KeyError
+    assert spark.conf.get(name) == "8"
+
+
+def test_a_partitioned_write_sorts_no_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    save = DataFrameWriter.parquet
+
+    def watched(writer, path, **options):
+        seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return save(writer, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    rows = spark.range(100).select("id", F.concat(F.lit("c"), F.col("id") % 70).alias("label_8"))
+    write_partitioned(rows, str(tmp_path / "t"))
+    assert seen == ["64"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {tuple(r) for r in back.select("id", "label_8").collect()} == {(i, f"c{i % 70}") for i in range(100)}
