@@ -6,6 +6,7 @@ the same result in DuckDB SQL, where SQL can say it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -37,7 +38,7 @@ from flowlens.plans.fixtures import (
     dense_model, dense_weight, dirty_lines, federated_runs, flow_events, labelled_events, line_flows,
     linear_model, millis, rounded, run_documents, table, vectors,
 )
-from flowlens.session import durable, scratch_path
+from flowlens.session import durable, scratch_path, stored_bytes
 from flowlens.sources.flows import load_feature_stats, read_flow_csv, to_flow_events
 from flowlens.sources.runs import read_result_csv, read_run_documents
 from flowlens.sources.sinks import (
@@ -830,13 +831,22 @@ def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_windows(lg.read_metrics_log(spark, log, EVENT_TAXONOMY.classes))
 
 
+# Stored bytes of ``events`` for each file that arrives.
+ARRIVAL_BYTES = 2_000_000
+
+
 def _arrivals(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
-    """The alerts as a stream of ``parts`` files; the n-th holds the event ids of remainder n."""
+    """The alerts as a stream of ``parts`` batches; the n-th holds the event ids of remainder n.
+
+    All batches have the same number of files, which follows the size of the table.
+    """
     path = scratch_path(spark, "arrivals")
     rows = alerts(spark, sf_dir)
+    files = math.ceil(stored_bytes(spark, f"{sf_dir}/events.parquet") / parts / ARRIVAL_BYTES)
     for k in range(parts):
-        rows.filter(F.col("event_id").cast("bigint") % parts == k).coalesce(1).write.mode("append").parquet(path)
-    return st.flow_stream(spark, "parquet", path, rows.schema, maxFilesPerTrigger="1")
+        rows.filter(F.col("event_id").cast("bigint") % parts == k).repartition(files, "event_id").write.mode(
+            "append").parquet(path)
+    return st.flow_stream(spark, "parquet", path, rows.schema, maxFilesPerTrigger=str(files))
 
 
 @query(WINDOWS)

@@ -9,6 +9,8 @@ from flowlens.labels import CLASSES
 from flowlens.operators.profile import FeatureStats
 from flowlens.operators.scoring import Model
 from flowlens.schemas import ALERT_EVENT, FLOW_EVENT
+from flowlens.plans import queries
+from flowlens.streaming import events as st
 from flowlens.streaming.events import (
     alerts_query, alerts_table_sink, decode_alerts, decode_metrics, encode_event, flow_stream, latest_per_window,
     metrics_query, parse_flows, run_scoring_stream, split_late_rows, validate_events, window_metrics,
@@ -334,3 +336,16 @@ def test_live_state_is_bounded():
             "ts_scored": [float(t) for t in times], "latency_ms": 1.0}), 60, 50)
     assert len(body["seconds"]) <= 61 and len(body["newest"]) == 50 and body["totals"] == [["o", "Web", 6000]]
     assert body["newest"][0][0] == body["clock"] == 599_900
+
+
+def test_arrivals_of_several_files_are_whole_batches(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.01"
+    expected = {tuple(r) for r in queries.late_rows(spark, sf_dir).collect()}
+    written = []
+    monkeypatch.setattr(queries, "ARRIVAL_BYTES", 20_000)
+    stream = st.flow_stream
+    monkeypatch.setattr(st, "flow_stream", lambda *a, **k: written.append((a[2], k)) or stream(*a, **k))
+    assert {tuple(r) for r in queries.late_rows(spark, sf_dir).collect()} == expected
+    (path, options), = written
+    assert options == {"maxFilesPerTrigger": "3"}
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 12
