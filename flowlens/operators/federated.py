@@ -7,17 +7,20 @@ is what one task holds.
 A client's training is one sequence of mini-batches. The order of an epoch is a hash of the row
 keys, dropout depends on the numbers of epoch, batch and block: nothing depends on shards, tasks
 or other clients. A client of one shard is trained in one task. A larger one is sorted in ranges
-of the epoch's order, and its weights are handed from range to range, a job each; a mini-batch
-larger than a shard is computed by many tasks, whose gradients are summed in Spark. Weights are
-averaged with row counts.
+of the epoch's order and trained in stretches of ``STRETCH_ROWS`` rows, a job each: a task reads
+its stretch in order, holds an Arrow batch and a mini-batch of it, and hands the weights on. A
+mini-batch larger than a shard is computed by many tasks, whose gradients are summed in Spark.
+Weights are averaged with row counts.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,9 @@ from flowlens.schemas import ROUND_ENTRY, RUN_DOCUMENT
 from flowlens.session import bucketed, drop_path, durable, path_exists, scratch_path
 
 SHARD_ROWS = 250_000
+# Rows of a large client that one task trains on before it hands the weights on: enough that their
+# training outweighs the job, whatever the size of a shard.
+STRETCH_ROWS = 250_000
 # Models that one task scores hold at most this many numbers.
 MAX_WEIGHTS_PER_PASS = 8_000_000
 # Test rows that one task scores with its models.
@@ -159,13 +165,19 @@ def train_small(
     return df.groupBy("client_id", "shard").applyInArrow(train, RESULT_SCHEMA)
 
 
+def _stretch_batches(batch: int, shard_rows: int) -> int:
+    """Mini-batches of a stretch."""
+    return max(shard_rows, STRETCH_ROWS) // batch
+
+
 def _epoch_table(
     rows: DataFrame, settings: LocalTraining, epoch: int, shard_rows: int
 ) -> tuple[str, int, int]:
     """The rows in an epoch's order as a stored table, partitioned by ``range``.
 
-    Returns its path, the ranges of a mini-batch (0 where a range holds several of them) and the
-    number of ranges of the largest client. Ranges end with a mini-batch, or with a block of one.
+    Returns its path, the ranges of a mini-batch (0 where a range is a stretch of several of them)
+    and the number of ranges of the largest client. Ranges end with a mini-batch, or with a block
+    of one.
     """
     spark, batch = rows.sparkSession, settings.batch
     seed = epoch_seed(settings.seed, epoch)
@@ -173,7 +185,7 @@ def _epoch_table(
     place = F.col("rank") - 1
     if batch <= shard_rows:
         pieces = 0
-        at = F.floor(place / (shard_rows // batch * batch))
+        at = F.floor(place / (_stretch_batches(batch, shard_rows) * batch))
     else:
         piece = max(1, shard_rows // settings.block) * settings.block
         pieces = math.ceil(batch / piece)
@@ -190,26 +202,63 @@ def _held_state(held: pa.Table, start: np.ndarray) -> np.ndarray:
     return np.array(own) if len(own) else start.copy()
 
 
+def _client_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Arrow batches of rows that stand by client, cut where the client changes."""
+    for batch in batches:
+        ids = batch["client_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield int(ids[lo]), pa.Table.from_batches([batch.slice(lo, hi - lo)])
+
+
+def _whole_batches(
+    tables: Iterator[pa.Table], settings: LocalTraining
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of rows in order, cut after mini-batches; the last one may be shorter."""
+    x, y = np.empty((0, settings.dims[0]), settings.kind), np.empty(0, np.int64)
+    for table in tables:
+        more_x, more_y, _ = _arrays(table, settings)
+        x, y = np.concatenate([x, more_x]), np.concatenate([y, more_y])
+        whole = len(y) // settings.batch * settings.batch
+        if whole:
+            yield x[:whole], y[:whole]
+            x, y = x[whole:], y[whole:]
+    if len(y):
+        yield x, y
+
+
 def _hand_on(
     rows: DataFrame, current: DataFrame, start: np.ndarray, anchor: np.ndarray,
     settings: LocalTraining, seed: int, first_batch: int,
 ) -> DataFrame:
-    """Continue every client's state over one range of its epoch."""
+    """Continue every client's state over one stretch of its epoch.
 
-    def train(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
-        if not len(held):
-            return STATE.empty_table()
-        state, loss = _held_state(held, start), held["loss"][0].as_py()
-        if len(table):
-            table = table.sort_by("rank")
-            x, y, _ = _arrays(table, settings)
-            loss += train_rows(
-                state, settings.dims, x, y, settings.rate, settings.batch, seed, first_batch,
-                settings.dropout, settings.mu, anchor, settings.optimizer, settings.decay, settings.block)
-        return _result(held["state_client"][0].as_py(), held["n"][0].as_py() + len(table), loss, state, None)
+    A client's state goes before its rows, at rank 0. The task reads them in order and holds an
+    Arrow batch and a mini-batch, never the stretch.
+    """
 
-    state = current.withColumnRenamed("client_id", "state_client")
-    return rows.groupBy("client_id").cogroup(state.groupBy("state_client")).applyInArrow(train, RESULT_SCHEMA)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for client, runs in groupby(_client_runs(batches), itemgetter(0)):
+            first = next(runs)[1]
+            if first["rank"][0].as_py():
+                raise ValueError(f"rows of client {client} without its state")
+            state, n, loss = _held_state(first[:1], start), first["n"][0].as_py(), first["loss"][0].as_py()
+            tables, number = chain([first[1:]], map(itemgetter(1), runs)), first_batch
+            for x, y in _whole_batches(tables, settings):
+                loss += train_rows(
+                    state, settings.dims, x, y, settings.rate, settings.batch, seed, number,
+                    settings.dropout, settings.mu, anchor, settings.optimizer, settings.decay, settings.block)
+                n, number = n + len(y), number + len(y) // settings.batch
+            yield from _result(client, n, loss, state, None).to_batches()
+
+    spark = rows.sparkSession
+    states = current.drop("confusion").withColumn("rank", F.lit(0).cast("bigint"))
+    both = states.unionByName(
+        rows.select("client_id", "rank", "row_key", "features", "label"), allowMissingColumns=True)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), current.count())
+    return both.repartitionById(parts, F.col("client_id").cast("int")).sortWithinPartitions(
+        "client_id", "rank").mapInArrow(train, RESULT_SCHEMA)
 
 
 def _summed_step(
@@ -258,14 +307,14 @@ def train_large(
     df: DataFrame, start: np.ndarray, anchor: np.ndarray, settings: LocalTraining, shard_rows: int,
     first_epoch: int = 0,
 ) -> DataFrame:
-    """Clients of several shards: one job per range of an epoch, or per mini-batch above a shard.
+    """Clients of several shards: one job per stretch of an epoch, or per mini-batch above a shard.
 
-    The results are those of ``train_small``; no task holds more than ``shard_rows`` rows, or one
-    block of a mini-batch where that is more.
+    The results are those of ``train_small``; no task holds more than an Arrow batch and a
+    mini-batch, or ``shard_rows`` rows or one block of a mini-batch above a shard.
     """
     spark = df.sparkSession
     rows = df.filter(~F.col("is_val")).select("client_id", "row_key", "features", "label")
-    current = durable(df.select("client_id").distinct().select(
+    current = durable(df.select(F.col("client_id").cast("int")).distinct().select(
         "client_id", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("loss"),
         F.lit(None).cast("array<double>").alias("state"),
         F.lit(None).cast("array<bigint>").alias("confusion")))
@@ -274,10 +323,14 @@ def train_large(
         path, pieces, ranges = _epoch_table(rows, settings, epoch, shard_rows)
         table, at = spark.read.parquet(path), F.col("range")
         if not pieces:
-            batches = shard_rows // settings.batch
+            batches = _stretch_batches(settings.batch, shard_rows)
             for k in range(ranges):
-                current = durable(_hand_on(
-                    table.filter(at == k), current, start, anchor, settings, seed, k * batches))
+                stretch = table.filter(at == k)
+                clients = stretch.select("client_id").distinct()
+                moved = _hand_on(
+                    stretch, current.join(clients, "client_id", "left_semi"), start, anchor, settings,
+                    seed, k * batches)
+                current = durable(moved.unionByName(current.join(clients, "client_id", "left_anti")))
         else:
             for k in range(math.ceil(ranges / pieces)):
                 current = durable(_summed_step(

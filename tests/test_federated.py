@@ -7,6 +7,7 @@ from hypothesis import strategies as s
 from pyspark.sql import functions as F
 
 from flowlens.functions.network import first_state, initial_weights, row_order, train_epochs
+from flowlens.operators import federated
 from flowlens.operators.evaluate import overall_scores, per_class_scores
 from flowlens.operators.federated import (
     LocalTraining, as_vectors, client_confusion, client_results, evaluate_models, evaluate_weights,
@@ -18,6 +19,7 @@ from flowlens.operators.partition import (
     dirichlet_fractions, dirichlet_plan, iid_plan,
     partition_info, rebalance_plan, share_size, shares_from_counts,
 )
+from flowlens.session import held_settings
 
 # A published partition of 8 x 5000 rows, K = 4, alpha = 0.5, seed 42.
 PUBLISHED = [
@@ -186,6 +188,35 @@ def test_weights_do_not_depend_on_shards_or_neighbours(spark, batch, block, opti
     assert [r["client_id"] for r in client_results(laid, results, settings)] == [0, 1]
 
 
+@pytest.mark.parametrize("optimizer, dropout", [("sgd", 0.0), ("adamw", 0.3)])
+def test_weights_do_not_depend_on_stretches(spark, monkeypatch, optimizer, dropout):
+    """Clients in one task, of different numbers of stretches, over Arrow batches that cut mini-batches."""
+    df, _, _ = table(spark, n=900)
+    clients = df.withColumn("client_id", F.when(F.col("id") < 500, 0).when(F.col("id") < 700, 8).otherwise(-3))
+    settings = replace(SETTINGS, optimizer=optimizer, dropout=dropout, rate=0.05, mu=0.1)
+    start = initial_weights(SETTINGS.dims, 42)
+    whole, _ = weights_of(spark, clients, start, settings, 10_000)
+    monkeypatch.setattr(federated, "STRETCH_ROWS", 200)
+    with held_settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+        cut, laid = weights_of(spark, clients, start, settings, 64)
+    assert laid.filter("shards = 1").isEmpty() and sorted(cut) == [-3, 0, 8]
+    for k in whole:
+        np.testing.assert_allclose(cut[k]["weights"], whole[k]["weights"], atol=1e-9)
+        assert cut[k]["n"] == whole[k]["n"] and cut[k]["loss"] == pytest.approx(whole[k]["loss"])
+
+
+def test_jobs_of_a_large_client_do_not_grow_with_its_shards(spark):
+    jobs = {}
+    for n in (400, 1600):
+        df, _, _ = table(spark, n=n)
+        laid = lay_out_clients(df.withColumn("client_id", F.lit(0)), "id", shard_rows=64)
+        spark.sparkContext.setJobGroup(f"stretch-{n}", "jobs of one epoch")
+        train_clients(laid, initial_weights(SETTINGS.dims, 42), replace(SETTINGS, epochs=1), 64).collect()
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"stretch-{n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1600] <= jobs[400] + 5
+
+
 def test_a_carried_state_is_training_without_a_break():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(200, 6)), rng.integers(0, 3, 200)
