@@ -4,15 +4,18 @@ Features are cut into bins once. A level of all trees of a round is one aggregat
 gradients and second derivatives by (class, node, feature, bin), the partial sums of a node meet in
 one group, which returns the node's best split. A table of at most ``local_rows`` rows is grown
 whole, a class in a task, in one job a round; both ways give the same trees. There the bins are
-stored once per class, and only a probability per row and class travels in a round.
+held once per class, and only a probability per row and class travels in a round. Of two sibling
+nodes only the smaller one's rows are summed: sums are exact, so the other's are the difference.
 
-Margins are stored with the rows every few rounds; trees younger than that are applied on the fly.
+Rows are stored in blocks of an Arrow batch, with their margins, which are renewed every few rounds; trees
+younger than that are applied on the fly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,16 @@ from pyspark.sql import functions as F
 from flowlens.functions.network import softmax_rows
 from flowlens.functions.scalar import argmax_index
 from flowlens.operators.scoring import list_rows, matrix_of
-from flowlens.session import bucketed, durable
+from flowlens.session import durable, partition_keys
 
 BINS = 64
 # Rows whose bins one task holds. Below some 20 million a round of partial histograms, up to 2 GB,
 # would be more than the rows' probabilities.
 LOCAL_ROWS = 1_000_000
 STORE_ROUNDS = 10
+# Cells of sums, and rows at a time, that stay in a core's cache.
+PAIR_CELLS = 2**17
+BLOCK_ROWS = 2**15
 # The usual defaults of boosted trees.
 LAMBDA = 1.0
 MIN_CHILD = 1.0
@@ -64,17 +70,69 @@ class Tree:
             node = np.where(inner, 2 * node + 1 + right, node)
         return node
 
+    @cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, cuts and last level's values of the tree whose leaves lead on, to the left, to the last level."""
+        inner, value = self.feature >= 0, self.value.copy()
+        for first in 2 ** np.arange(len(value).bit_length() - 1) - 1:
+            ends = first + np.flatnonzero(~inner[first:2 * first + 1])
+            value[2 * ends + 1] = value[ends]
+        # No bin is above 255.
+        return np.where(inner, self.feature, 0).astype(np.int64), np.where(inner, self.cut, 255), value[len(value) // 2:]
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        """The value of the leaf that each row of bins ends in."""
+        feature, cut, value = self.whole
+        place, flat, start = np.zeros(len(bins), np.int64), bins.reshape(-1), np.arange(len(bins)) * bins.shape[1]
+        for level in range(len(feature).bit_length() - 1):
+            nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
+            right = flat.take(feature[nodes].take(place) + start) > cut[nodes].take(place)
+            place = 2 * place + right
+        return value.take(place)
+
+
+def _sums(
+    columns: np.ndarray, rows: np.ndarray | None, place: np.ndarray, cells: int, nodes: int, g: np.ndarray, h: np.ndarray,
+) -> np.ndarray:
+    """Sums of g and h by (column, node, value of the column); ``rows`` are the places' own."""
+    size = nodes * cells
+    out, block = np.zeros((len(columns), 2, size)), max(BLOCK_ROWS, 4 * size)
+    for start in range(0, len(place), block):
+        part = slice(start, start + block)
+        base, own = place[part] * cells, part if rows is None else rows[part]
+        for f, column in enumerate(columns):
+            at = base + column[own]
+            out[f, 0] += np.bincount(at, g[part], size)
+            out[f, 1] += np.bincount(at, h[part], size)
+    return out.reshape(len(columns), 2, nodes, cells)
+
+
+class Columns:
+    """Bins feature by feature, and two features' bins as one number: where cells are few, a pass serves both."""
+
+    def __init__(self, bins: np.ndarray, width: int) -> None:
+        self.width, self.bins = width, np.ascontiguousarray(bins.T)
+        self.pairs = self.bins[0::2] * np.uint16(width)
+        self.pairs[:len(self.bins) // 2] += self.bins[1::2]
+
+    def histograms(
+        self, place: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None,
+    ) -> np.ndarray:
+        """Sums of g and h by (node, feature, bin), over all rows or some."""
+        features, width = len(self.bins), self.width
+        if nodes * width**2 <= min(PAIR_CELLS, len(place)):
+            both = _sums(self.pairs, rows, place, width**2, nodes, g, h).reshape(-1, 2, nodes, width, width)
+            out = np.stack([both.sum(axis=4), both.sum(axis=3)], axis=1).reshape(-1, 2, nodes, width)[:features]
+        else:
+            out = _sums(self.bins, rows, place, width, nodes, g, h)
+        return np.ascontiguousarray(out.transpose(2, 0, 3, 1))
+
 
 def histograms(bins: np.ndarray, place: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     """Sums of g and h by (node, feature, bin); a negative place is in no node."""
     own = np.flatnonzero(place >= 0)
-    bins, place, g, h = bins[own], place[own] * width, g[own], h[own]
-    out = np.empty((nodes, bins.shape[1], width, 2))
-    for f in range(bins.shape[1]):
-        at = place + bins[:, f]
-        out[:, f, :, 0] = np.bincount(at, g, nodes * width).reshape(nodes, width)
-        out[:, f, :, 1] = np.bincount(at, h, nodes * width).reshape(nodes, width)
-    return out
+    return np.ascontiguousarray(
+        _sums(np.ascontiguousarray(bins[own].T), None, place[own], width, nodes, g[own], h[own]).transpose(2, 0, 3, 1))
 
 
 def best_splits(sums: np.ndarray) -> dict[str, np.ndarray]:
@@ -113,22 +171,42 @@ def set_splits(tree: Tree, nodes: np.ndarray, found: dict[str, np.ndarray], rate
     tree.value[2 * at + 2] = -rate * (g - gl) / (h - hl + LAMBDA)
 
 
+def summable(values: np.ndarray) -> np.ndarray:
+    """Values rounded so far, by 2**-52 of their largest possible sum, that sums in any order are exact."""
+    unit = 2.0 ** (int(np.frexp(np.abs(values).max(initial=0.0) * len(values))[1]) - 52)
+    return np.round(values / unit) * unit
+
+
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, width: int) -> Tree:
     """A tree grown level by level over rows held in memory."""
-    tree, node = Tree.empty(depth), np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
+    tree, node, own = Tree.empty(depth), np.zeros(len(bins), np.int64), np.arange(len(bins))
+    columns, g, h = Columns(bins, width), summable(g), summable(h)
+    flat, nodes = columns.bins.reshape(-1), np.zeros(min(len(bins), 1), np.int64)
+    sums = columns.histograms(node, 1, g, h)[:len(nodes)]
     for level in range(depth):
-        first = 2**level - 1
-        open_nodes, place = np.unique(node[node >= first], return_inverse=True)
-        if not len(open_nodes):
+        if not len(nodes):
             break
-        at = np.full(len(bins), -1)
-        at[node >= first] = place
-        set_splits(tree, open_nodes, best_splits(histograms(bins, at, len(open_nodes), g, h, width)), rate)
-        feature = tree.feature[node]
-        inner = (feature >= 0) & (node >= first)
-        right = bins[rows, np.maximum(feature, 0)] > tree.cut[node]
-        node = np.where(inner, 2 * node + 1 + right, node)
+        found = best_splits(sums)
+        set_splits(tree, nodes, found, rate)
+        split = found["feature"] >= 0
+        parents, sums = nodes[split], sums[split]
+        if not len(parents) or level == depth - 1:
+            break
+        inner = np.zeros(len(tree.feature), bool)
+        inner[parents] = True
+        right = flat[np.maximum(tree.feature, 0).astype(np.int64)[node] * len(bins) + own] > tree.cut[node]
+        node = np.where(inner[node], 2 * node + 1 + right, node)
+        left = 2 * parents + 1
+        count = np.bincount(node, minlength=len(tree.feature))
+        on_left = count[left] <= count[left + 1]
+        smaller = np.full(len(tree.feature), -1)
+        smaller[np.where(on_left, left, left + 1)] = np.arange(len(parents))
+        place = smaller[node]
+        rows = np.flatnonzero(place >= 0)
+        few = columns.histograms(place[rows], len(parents), g[rows], h[rows], rows)
+        many, on_left = sums - few, on_left[:, None, None, None]
+        nodes = np.stack([left, left + 1], axis=1).reshape(-1)
+        sums = np.stack([np.where(on_left, few, many), np.where(on_left, many, few)], axis=1).reshape(-1, *few.shape[1:])
     return tree
 
 
@@ -165,7 +243,7 @@ def margins_of(rounds: list[list[Tree]], bins: np.ndarray, classes: int) -> np.n
     margins = np.zeros((len(bins), classes))
     for trees in rounds:
         for k, tree in enumerate(trees):
-            margins[:, k] += tree.value[tree.leaves(bins)]
+            margins[:, k] += tree.values(bins)
     return margins
 
 
@@ -188,9 +266,45 @@ def gradients_of(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return p - hit, np.maximum(2.0 * p * (1.0 - p), 1e-16)
 
 
+def cross_entropy(p: np.ndarray, labels: np.ndarray) -> float:
+    """Sum over the rows."""
+    return -float(np.log(np.maximum(p[np.arange(len(p)), labels], 1e-16)).sum())
+
+
 SPLITS = ("cls int, node int, feature int, cut int, gain double, g double, h double, gl double, hl double")
 
 
+BLOCKS = "is_val boolean, row bigint, n int, labels binary, bins binary, margins binary"
+
+
+@dataclass(frozen=True)
+class Block:
+    """Rows of a training run: ``row`` is the first one's number."""
+
+    is_val: bool
+    row: int
+    labels: np.ndarray
+    bins: np.ndarray
+    margins: np.ndarray
+
+    @staticmethod
+    def all_of(batches: Iterator[pa.RecordBatch], features: int, classes: int) -> Iterator[Block]:
+        for batch in batches:
+            for i in range(len(batch)):
+                labels, bins, margins = (
+                    np.frombuffer(batch[name][i].as_buffer(), kind)
+                    for name, kind in (("labels", np.int32), ("bins", np.uint8), ("margins", np.float64)))
+                yield Block(
+                    batch["is_val"][i].as_py(), batch["row"][i].as_py(), labels,
+                    bins.reshape(-1, features), margins.reshape(-1, classes))
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([self.is_val]), pa.array([self.row]), pa.array([len(self.labels)], pa.int32()),
+            *(pa.array([v.tobytes()]) for v in (self.labels, self.bins, self.margins)),
+        ], ["is_val", "row", "n", "labels", "bins", "margins"])
+
+
 class Booster:
     """The stored rows of a training run, and the trees that their margins do not hold yet."""
 
@@ -202,28 +316,33 @@ class Booster:
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bins = model.binned(matrix_of(batch["features"], features))
-                yield pa.RecordBatch.from_arrays(
-                    [binary_rows(bins), batch["label"], batch["is_val"], batch["row"],
-                     list_rows(np.zeros((len(bins), classes)))], ["bins", "label", "is_val", "row", "margins"])
+                bins, labels = model.binned(matrix_of(batch["features"], features)), batch["label"].to_numpy()
+                held, rows = batch["is_val"].to_numpy(zero_copy_only=False), batch["row"].to_numpy()
+                for side in (False, True):
+                    own = held == side
+                    if own.any():
+                        yield Block(side, int(rows[own][0]), labels[own], bins[own],
+                                    np.zeros((own.sum(), classes))).batch()
 
         both = train.select("features", F.col("label").cast("int"), F.lit(False).alias("is_val")).unionByName(
             val.select("features", F.col("label").cast("int"), F.lit(True).alias("is_val")))
-        self.table = durable(both.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-            start, "bins binary, label int, is_val boolean, row bigint, margins array<double>"))
+        self.table = durable(both.withColumn("row", F.monotonically_increasing_id()).mapInArrow(start, BLOCKS))
         self.by_class: DataFrame | None = None
+        # A class, and last the validation loss, to each hash partition.
+        self.keys = partition_keys(self.table.sparkSession, classes + 1)
+        self.loss = float("inf")
 
-    def scored(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Bins and current margins of a batch."""
+    def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        """Blocks with their current margins."""
         features, classes = len(self.model.edges), self.model.classes
-        bins = matrix_of_binary(batch["bins"], features)
-        stored = matrix_of(batch["margins"], classes)
-        return bins, stored + margins_of(self.pending, bins, classes)
+        for block in Block.all_of(batches, features, classes):
+            yield replace(block, margins=block.margins + margins_of(self.pending, block.bins, classes))
 
     def shippable(self) -> Booster:
-        """Without the DataFrame, for use in tasks."""
+        """Without DataFrames and the trees that margins hold, for use in tasks."""
         twin = object.__new__(Booster)
         twin.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("table", "by_class")})
+        twin.model = BoostedTrees(self.model.edges, [], self.model.classes)
         return twin
 
     def absorb(self) -> None:
@@ -231,13 +350,10 @@ class Booster:
         own = self.shippable()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, margins = own.scored(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["bins"], batch["label"], batch["is_val"], batch["row"], list_rows(margins)],
-                    batch.schema.names)
+            for block in own.scored(batches):
+                yield block.batch()
 
-        self.table = durable(self.table.mapInArrow(add, self.table.schema))
+        self.table = durable(self.table.mapInArrow(add, BLOCKS))
         self.pending = []
 
     def validation_loss(self) -> float:
@@ -245,79 +361,92 @@ class Booster:
         own = self.shippable()
 
         def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, margins = own.scored(batch)
-                p = softmax_rows(margins)[np.arange(len(margins)), batch["label"].to_numpy()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-float(np.log(np.maximum(p, 1e-16)).sum())]), pa.array([len(p)])], ["loss", "n"])
+            for block in own.scored(batches):
+                loss = cross_entropy(softmax_rows(block.margins), block.labels)
+                yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([len(block.labels)])], ["loss", "n"])
 
         row = self.table.filter("is_val").mapInArrow(losses, "loss double, n bigint").agg(
             F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
         return row["loss"] / row["n"] if row["n"] else float("inf")
 
+    def release(self) -> None:
+        if self.by_class is not None:
+            self.by_class.unpersist()
+
     def class_bins(self) -> DataFrame:
-        """Bins and labels of the training rows, once per class, in buckets by class; stored once."""
+        """Bins of the training rows, and which are of the class, once per class, a class to a partition; held."""
         if self.by_class is None:
-            features, classes = len(self.model.edges), self.model.classes
+            features, classes, keys = len(self.model.edges), self.model.classes, self.keys
 
             def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if not len(batch):
-                        continue
-                    bins = matrix_of_binary(batch["bins"], features).tobytes()
-                    labels = batch["label"].to_numpy().astype(np.int32).tobytes()
+                for block in Block.all_of(batches, features, classes):
+                    bins = np.ascontiguousarray(block.bins.T).tobytes()
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.arange(classes, dtype=np.int32)), pa.array([batch["row"][0].as_py()] * classes),
-                        pa.array([bins] * classes, pa.binary()), pa.array([labels] * classes, pa.binary()),
-                    ], ["cls", "row", "bins", "labels"])
-
-            rows = self.table.filter("NOT is_val").select("bins", "label", "row").mapInArrow(
-                copy, "cls int, row bigint, bins binary, labels binary")
-            self.by_class = bucketed(rows, "tree_bins", 4 * classes, "cls")
+                        pa.array(keys[:classes], pa.int32()), pa.array([block.row] * classes),
+                        pa.array([bins] * classes, pa.binary()),
+                        pa.array([(block.labels == k).tobytes() for k in range(classes)], pa.binary()),
+                    ], ["cls", "row", "bins", "hits"])
+
+            rows = self.table.filter("NOT is_val").mapInArrow(copy, "cls int, row bigint, bins binary, hits binary")
+            self.by_class = rows.repartition(len(keys), "cls").sortWithinPartitions("cls").persist()
+            # A plan made before they are held would shuffle them again.
+            self.by_class.count()
         return self.by_class
 
     def class_probabilities(self) -> DataFrame:
-        """The probabilities that the training rows have each class, by class and run of rows."""
+        """The probabilities that the training rows have each class, by class and run of rows.
+
+        Under the last key come the loss and number of the validation rows.
+        """
         own = self.shippable()
 
         def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                p = softmax_rows(own.scored(batch)[1])
-                classes = p.shape[1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(classes, dtype=np.int32)), pa.array([batch["row"][0].as_py()] * classes),
-                    pa.array([np.ascontiguousarray(p[:, k]).tobytes() for k in range(classes)], pa.binary()),
-                ], ["p_cls", "p_row", "p"])
-
-        return self.table.filter("NOT is_val").select("bins", "row", "margins").mapInArrow(
-            derive, "p_cls int, p_row bigint, p binary")
+            for block in own.scored(batches):
+                p, keys = softmax_rows(block.margins), own.keys[:-1]
+                sent = [p[:, k].tobytes() for k in range(len(keys))]
+                if block.is_val:
+                    keys = own.keys[-1:]
+                    sent = [np.array([cross_entropy(p, block.labels), len(p)]).tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int32()), pa.array([block.row] * len(keys)), pa.array(sent)],
+                    ["p_cls", "p_row", "p"])
+
+        return self.table.mapInArrow(derive, "p_cls int, p_row bigint, p binary")
 
     def local_round(self) -> list[Tree]:
-        """All trees of a round in one job: the probabilities of a class come to the task of its bins."""
+        """All trees of a round in one job: the probabilities of a class come to the task of its bins.
+
+        ``loss`` then is the validation loss before these trees.
+        """
         own, features = self.shippable(), len(self.model.edges)
 
-        def joined(table: pa.Table, by: str, column: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(table.sort_by(by)[column].to_pylist()), kind)
+        def joined(table: pa.Table, by: str, column: str, kind: type) -> list[np.ndarray]:
+            values = table[column]
+            return [np.frombuffer(values[int(i)].as_buffer(), kind) for i in np.argsort(table[by].to_numpy())]
 
         def build(key: tuple, rows: pa.Table, sent: pa.Table) -> pa.Table:
-            cls = rows["cls"][0].as_py()
-            bins = joined(rows, "row", "bins", np.uint8).reshape(-1, features)
             p = joined(sent, "p_row", "p", np.float64)
-            g, h = gradients_of(p, joined(rows, "row", "labels", np.int32) == cls)
-            tree = grow(bins, g, h, own.depth, own.rate, own.width)
-            return pa.table([pa.array([cls], pa.int32()), *[
+            if not len(rows):
+                return pa.table([sent["p_cls"][:1], *[
+                    pa.array([v]) for v in (np.zeros(0, np.int32), np.zeros(0, np.int32), sum(p), np.zeros(0))
+                ]], ["cls", "feature", "cut", "value", "gain"])
+            bins = np.concatenate([v.reshape(features, -1) for v in joined(rows, "row", "bins", np.uint8)], axis=1)
+            g, h = gradients_of(np.concatenate(p), np.concatenate(joined(rows, "row", "hits", np.bool_)))
+            tree = grow(bins.T, g, h, own.depth, own.rate, own.width)
+            return pa.table([rows["cls"][:1], *[
                 pa.array([v]) for v in (tree.feature, tree.cut, tree.value, tree.gain)
             ]], ["cls", "feature", "cut", "value", "gain"])
 
         found = self.class_bins().groupBy("cls").cogroup(self.class_probabilities().groupBy("p_cls")).applyInArrow(
             build, "cls int, feature array<int>, cut array<int>, value array<double>, gain array<double>").collect()
-        trees = [Tree.empty(self.depth) for _ in range(self.model.classes)]
+        trees, self.loss = [Tree.empty(self.depth) for _ in range(self.model.classes)], float("inf")
         for row in found:
-            trees[row["cls"]] = Tree(
-                np.array(row["feature"], np.int32), np.array(row["cut"], np.int32), np.array(row["value"]),
-                np.array(row["gain"]))
+            if row["cls"] == self.keys[-1]:
+                self.loss = row["value"][0] / row["value"][1]
+            else:
+                trees[self.keys.index(row["cls"])] = Tree(
+                    np.array(row["feature"], np.int32), np.array(row["cut"], np.int32), np.array(row["value"]),
+                    np.array(row["gain"]))
         return trees
 
     def level(self, trees: list[Tree], level: int) -> DataFrame:
@@ -327,9 +456,8 @@ class Booster:
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                bins, margins = own.scored(batch)
-                g, h = _gradients(margins, batch["label"].to_numpy())
+            for block in own.scored(batches):
+                bins, (g, h) = block.bins, _gradients(block.margins, block.labels)
                 for k, tree in enumerate(trees):
                     node = tree.leaves(bins, level)
                     open_nodes, place = np.unique(node[node >= first], return_inverse=True)
@@ -352,7 +480,7 @@ class Booster:
                 pa.array(found[name]) for name in ("feature", "cut", "gain", "g", "h", "gl", "hl")
             ], ["cls", "node", "feature", "cut", "gain", "g", "h", "gl", "hl"])
 
-        return self.table.filter("NOT is_val").select("bins", "label", "margins").mapInArrow(
+        return self.table.filter("NOT is_val").mapInArrow(
             partial, "cls int, node int, sums binary").groupBy("cls", "node").applyInArrow(choose, SPLITS)
 
     def spread_round(self) -> list[Tree]:
@@ -410,19 +538,24 @@ def fit_boosted_trees(
         raise ValueError("more than 255 edges of a feature")
     model = BoostedTrees(edges, [], classes)
     booster = Booster(train, val, model, max_depth, rate)
-    rows = {r["is_val"]: r["count"] for r in booster.table.groupBy("is_val").count().collect()}
+    rows = {r["is_val"]: r["n"] for r in booster.table.groupBy("is_val").agg(F.sum("n").alias("n")).collect()}
     local, stops = rows.get(False, 0) <= local_rows, rows.get(True, 0) > 0
     best, best_loss = 0, float("inf")
-    for number in range(1, max_trees + 1):
-        trees = booster.local_round() if local else booster.spread_round()
-        model.rounds.append(trees)
-        booster.pending.append(trees)
-        if stops:
-            model.losses.append(booster.validation_loss())
+    for number in range(max_trees + 1):
+        # A local round scores all rows once: it also tells the loss of the rounds before it.
+        ahead = booster.local_round() if local and number < max_trees else None
+        if stops and number:
+            model.losses.append(booster.loss if ahead else booster.validation_loss())
             if model.losses[-1] < best_loss:
                 best, best_loss = number, model.losses[-1]
             elif number - best >= patience:
                 break
+        if number == max_trees:
+            break
+        trees = ahead or booster.spread_round()
+        model.rounds.append(trees)
+        booster.pending.append(trees)
         if len(booster.pending) >= STORE_ROUNDS:
             booster.absorb()
+    booster.release()
     return BoostedTrees(edges, model.rounds[:best] if stops else model.rounds, classes, model.losses)

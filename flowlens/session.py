@@ -59,6 +59,14 @@ def bucketed(df: DataFrame, name: str, parts: int, *columns: str) -> DataFrame:
     return spark.table(table)
 
 
+def partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """A whole number (int) for each of ``parts`` hash partitions or buckets, which falls there."""
+    rows = spark.range(32 * parts).select(
+        F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("part")
+    ).groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()
+    return [row["key"] for row in rows]
+
+
 @contextmanager
 def held_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """SQL settings for the jobs started inside, and the former ones after them."""

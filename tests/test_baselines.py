@@ -173,3 +173,42 @@ def test_a_round_sends_one_probability_per_row_and_class(spark):
     stored = booster.class_bins()
     booster.local_round()
     assert booster.class_bins() is stored
+
+
+def test_sums_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(7)
+    bins = rng.integers(0, 12, (6000, 7)).astype(np.uint8)
+    g, h = rng.normal(size=6000) / 3, rng.uniform(0.01, 0.5, 6000)
+    order = rng.permutation(6000)
+    tree, other = grow(bins, g, h, 6, 0.1, 12), grow(bins[order], g[order], h[order], 6, 0.1, 12)
+    assert (tree.feature >= 0).sum() > 30
+    for name in ("feature", "cut", "value", "gain"):
+        assert getattr(tree, name).tolist() == getattr(other, name).tolist()
+    assert tree.values(bins).tolist() == tree.value[tree.leaves(bins)].tolist()
+
+
+def test_two_features_in_a_pass():
+    rng = np.random.default_rng(8)
+    bins, place = rng.integers(0, 256, (200_000, 3)).astype(np.uint8), rng.integers(0, 2, 200_000)
+    g, h = boosting.summable(rng.normal(size=200_000)), boosting.summable(rng.uniform(size=200_000))
+    rows = np.flatnonzero(place == 1)
+    columns, plain = boosting.Columns(bins, 256), histograms(bins, place - 1, 1, g, h, 256)
+    assert columns.histograms(np.zeros(len(rows), int), 1, g[rows], h[rows], rows).tolist() == plain.tolist()
+    assert columns.histograms(place, 2, g, h)[1:].tolist() == plain.tolist()
+
+
+def test_a_round_ships_and_counts_only_what_it_needs(spark):
+    train, val, _, _ = blobs(spark, 300)
+    train = train.withColumn("label", F.expr("cast(id % 10 as int)"))
+    val = val.withColumn("label", F.expr("cast(id % 10 as int)"))
+    booster = boosting.Booster(train, val, boosting.BoostedTrees([np.arange(-1.0, 3.0)] * 5, [], 10), 3, 0.1)
+    for _ in range(2):
+        trees = booster.local_round()
+        assert booster.loss == pytest.approx(booster.validation_loss(), rel=1e-12)
+        booster.model.rounds.append(trees)
+        booster.pending.append(trees)
+    # Trees that the stored margins hold stay at the driver; a class has a task to itself.
+    booster.absorb()
+    assert len(booster.model.rounds) == 2 and booster.shippable().model.rounds == booster.shippable().pending == []
+    assert booster.class_bins().groupBy(F.spark_partition_id()).agg(
+        F.countDistinct("cls").alias("n")).filter("n > 1").count() == 0
